@@ -157,12 +157,16 @@ def _scan(match: int):
         if len(bucket) < 2:
             return
         parts = [(seg[:hi][::-1], seg[hi:]) for _, _, _, at, seg in bucket for hi in [at & 1023]]
+        found: dict[int, list[tuple[int, int]]] = {}
         for left, right, members in maximal_repeats(parts, match):
             for m in members:
-                n, rd, rk, at, _ = bucket[m]
+                n, _, _, at, _ = bucket[m]
                 lo, hi = max(at >> 10 & 1023, match - right), min(at & 1023, left)
                 if n == 1 and lo <= hi:
-                    yield rd, rk, (at >> 20) - hi, (at >> 20) - lo + match
+                    found.setdefault(m, []).append(((at >> 20) - hi, (at >> 20) - lo + match))
+        for m, own in found.items():
+            for s, e in merged(own):
+                yield bucket[m][1], bucket[m][2], s, e
 
     def run(batches):
         key, bucket = None, []
