@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,39 +32,73 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 30_000
 WEIGHTS = (1.0, 1e-3, 1e-3)
-CACHED, CACHED_CHARS = 300_000, 48
+CACHED, CACHED_CHARS, TEXTS = 1_000_000, 48, 256
+#: The vocabulary's own pre-tokenizer, and parts that neither its normaliser nor case changes cut otherwise.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = regex.compile(r"[\x21-\x7E\u00A1-\u012F\u0131-\u024F]+")
 
 
 class WordCoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are those of its parts
-    between spaces and line ends. Parts met before are looked up; the cache is emptied when it is full.
+    The vocabulary drops white space and never merges across it, so a text's ids are those of its parts between spaces and
+    line ends; and those of a part are those of its pieces, the matches of SPLIT, each of which ends with the one token of it that
+    has the mark for a word's end. Parts and pieces met before are looked up, new pieces of many texts are encoded in one
+    call. Only parts of plain Latin characters, which normalisation leaves alone, are cut into pieces. Both caches are
+    emptied when they are full.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        cache = self.cache
-        parts = text.replace("\n", " ").split(" ")
-        new = [p for p in set(parts) if p not in cache]
-        if new:
-            if len(cache) > CACHED:
-                cache.clear()
-                new = list(set(parts) | {""})
-            cache.update(zip(new, self._encode(new)))
-        out = b"".join(map(cache.__getitem__, parts))
+        self.parts: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+        tokens = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces):
+            return self._each(pieces)
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[s:e] for s, e in zip(at, at[1:])]
+
+    def _learn(self, parts: list[str]) -> None:
+        plain = {p: SPLIT.findall(p.lower()) for p in parts if PLAIN.fullmatch(p)}
+        if len(self.pieces) > CACHED:
+            self.pieces.clear()
+        known = self.pieces
+        new = list({x for pieces in plain.values() for x in pieces if x not in known})
+        known.update(zip(new, self._encode(new) if new else ()))
+        for p, pieces in plain.items():
+            self.parts[p] = known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces))
+        other = [p for p in parts if p not in plain]
+        self.parts.update(zip(other, self._each(other) if other else ()))
+        for x in new:
+            if len(x) > CACHED_CHARS:
+                del known[x]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.parts) > CACHED:
+            self.parts = {"": b""}
+        known = self.parts
+        new = list({p for parts in cut for p in parts if p not in known})
+        self._learn(new)
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
         for p in new:
             if len(p) > CACHED_CHARS:
-                del cache[p]
+                del known[p]
         return out
 
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
 
 @lru_cache(2)
 def coder(path: str) -> WordCoder:
@@ -79,11 +114,12 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
         c, end = coder(vocabulary), END_ID.to_bytes(4, "little")
         for b in batches:
             rows: list[tuple] = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = c.encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
+            for few in (b.slice(i, TEXTS) for i in range(0, len(b), TEXTS)):
+                for key, ids in zip(few.column(0).to_pylist(), c.encode_all([t or "" for t in few.column(1).to_pylist()])):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: len(names)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
