@@ -32,9 +32,10 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 30_000
 WEIGHTS = (1.0, 1e-3, 1e-3)
-CACHED, CACHED_CHARS, TEXTS = 1_000_000, 48, 256
+CACHED, LONG_PART, TEXTS = 250_000, 1000, 256
 #: The vocabulary's own pre-tokenizer, and parts that neither its normaliser nor case changes cut otherwise.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LATIN = regex.compile(r"[\x00-\x7E\xA0-\u012F\u0131-\u024F]*")
 PLAIN = regex.compile(r"[\x21-\x7E\u00A1-\u012F\u0131-\u024F]+")
 
 
@@ -44,15 +45,15 @@ class WordCoder:
     The vocabulary drops white space and never merges across it, so a text's ids are those of its parts between spaces and
     line ends; and those of a part are those of its pieces, the matches of SPLIT, each of which ends with the one token of it that
     has the mark for a word's end. Parts and pieces met before are looked up, new pieces of many texts are encoded in one
-    call. Only parts of plain Latin characters, which normalisation leaves alone, are cut into pieces. Both caches are
-    emptied when they are full.
+    call. Only parts of plain Latin characters, which normalisation leaves alone, are cut into pieces. When the known ones are too
+    many they become the older ones, from which those that come up again are taken over.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.parts: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         tokens = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(tokens.values()) + 1, bool)
         self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
@@ -68,32 +69,53 @@ class WordCoder:
         raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [raw[s:e] for s, e in zip(at, at[1:])]
 
+    def _recalled(self, parts: list[str]) -> list[str]:
+        """Moves what older knows to the known ones; returns the others."""
+        older = self.older
+        self.known.update((p, older[p]) for p in parts if p in older)
+        return [p for p in parts if p not in older]
+
     def _learn(self, parts: list[str]) -> None:
-        plain = {p: SPLIT.findall(p.lower()) for p in parts if PLAIN.fullmatch(p)}
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-        known = self.pieces
-        new = list({x for pieces in plain.values() for x in pieces if x not in known})
+        """Adds the parts to the known ones. Most are a word, or a word and a mark; only the others are searched for pieces."""
+        known, pieces, other, cut = self.known, set(), [], {}
+        parts = self._recalled(parts)
+        marked, words, marks = [], [], []
+        for p in parts:
+            if not (p.isprintable() if p.isascii() else PLAIN.fullmatch(p)):
+                other.append(p)
+                continue
+            low = p.lower()
+            if low.isalpha():
+                if low == p:
+                    pieces.add(p)
+                    continue
+                cut[p] = [low]
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                marked.append(p)
+                words.append(low[:-1])
+                marks.append(low[-1])
+                continue
+            else:
+                cut[p] = SPLIT.findall(low)
+        pieces.update(words, marks, *cut.values())
+        new = self._recalled([p for p in pieces if p not in known])
         known.update(zip(new, self._encode(new) if new else ()))
-        for p, pieces in plain.items():
-            self.parts[p] = known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces))
-        other = [p for p in parts if p not in plain]
-        self.parts.update(zip(other, self._each(other) if other else ()))
-        for x in new:
-            if len(x) > CACHED_CHARS:
-                del known[x]
+        for p, word, mark in zip(marked, words, marks):
+            known[p] = known[word] + known[mark]
+        for p, own in cut.items():
+            known[p] = b"".join(map(known.__getitem__, own))
+        known.update(zip(other, self._each(other) if other else ()))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.parts) > CACHED:
-            self.parts = {"": b""}
-        known = self.parts
-        new = list({p for parts in cut for p in parts if p not in known})
+        known = self.known
+        cut = [(t.lower() if t.isascii() or LATIN.fullmatch(t) else t).replace("\n", " ").split(" ") for t in texts]
+        new = [p for p in set().union(*cut) if p not in known]
         self._learn(new)
         out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        for p in new:
-            if len(p) > CACHED_CHARS:
-                del known[p]
+        if any(len(p) > LONG_PART for p in new):  # these would make the cache large
+            self.known, self.older = {"": b""}, {}
+        elif len(known) > CACHED:
+            self.known, self.older = {"": b""}, known
         return out
 
     def encode(self, text: str) -> bytes:
