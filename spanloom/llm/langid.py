@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 PROFILE = 300
 SAMPLE = 3000
 WORDS = re.compile(r"[^\W\d_]+")
-MOST_GRAMS, MOST_WORDS = 1 << 18, 200_000
+MOST_GRAMS, MOST_WORDS = 1 << 18, 100_000
 
 
 def grams_of(word: str) -> list[str]:
@@ -140,9 +142,10 @@ def speaks(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "tex
     """The rows of docs, with all their columns, that have a language: those of which lang_pred isn't "und"."""
 
     @F.pandas_udf("string")
-    def predicted(texts):
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranker = Ranker(profiles)
-        return texts.map(lambda t: ranker.predict(t)[0])
+        for texts in batches:
+            yield texts.map(lambda t: ranker.predict(t)[0])
 
     return docs.where(predicted(F.col(text_col)) != "und")
 
