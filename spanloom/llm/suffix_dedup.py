@@ -240,7 +240,8 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, k: int = KGRAM, hot: int
     spark, texts = docs.sparkSession, keyed(docs, id_col, text_col)
     n = scratch.partitions(spark)
     anchors = scratch.table(texts.mapInArrow(_anchor_rows(match, k), "kh long, sh long, rd long, rk long, at long"), "anchors")
-    shared = anchors.groupBy("kh").count().where("count > 1").select("kh")
+    # a table of its own, so that the join's sides are plain exchanges and a hot k-gram's rows can be split
+    shared = scratch.table(anchors.groupBy("kh").count().where("count > 1").select("kh"), "kgrams")
     found = scratch.table(anchors.join(shared, "kh", "left_semi").withColumn("n", F.lit(1).cast("long")), "shared")
     scratch.drop(anchors)
     spans, steps = None, [x for x in (64, 16, 4, 1) if 4 * x <= match]  # blocks of offsets keep three quarters of a window in common
