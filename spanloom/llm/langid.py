@@ -2,7 +2,7 @@
 
 A profile is the PROFILE most frequent character n-grams (n = 1 to 3, words framed by "_"), ranked. A text gets the
 language whose profile has the least out-of-place distance to its own: the sum over its n-grams of how far the rank
-differs, and PROFILE for an n-gram that the profile lacks. Equal counts rank by a hash of the n-gram; of equal distances
+differs, and PROFILE for an n-gram that the profile lacks. Equal counts rank by the n-gram's code points; of equal distances
 the first language in alphabetical order wins.
 
 Profiles are learned from labelled rows: of each language about SAMPLE rows at most, chosen by a hash, whole texts. The
@@ -13,104 +13,126 @@ letter, or where nothing was learned. Rows stand alone, so null or repeated ids
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = 300
 SAMPLE = 3000
-WORDS = re.compile(r"[^\W\d_]+")
-MOST_GRAMS, MOST_WORDS = 1 << 18, 100_000
-
-
-def grams_of(word: str) -> list[str]:
-    framed = f"_{word}_"
-    return [framed[i : i + n] for n in (1, 2, 3) for i in range(len(framed) - n + 1) if framed[i : i + n] != "_"]
+OTHERS = re.compile(r"[\W\d_]+")
+FRAME = ord("_")
+BLOCK = 1 << 20
+DENSE = 1 << 18
+
+
+def key_of(gram: str) -> int:
+    """An n-gram as a long: 21 bits for each of its characters."""
+    key = 0
+    for c in gram:
+        key = key << 21 | ord(c)
+    return key
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the n-grams of framed words, given as code points."""
+    letters, codes = np.unique(x, return_inverse=True) if x.max() >= 1024 else (np.flatnonzero(np.bincount(x)), None)
+    if codes is None:
+        place = np.zeros(1024, np.int64)
+        place[letters] = np.arange(len(letters))
+        codes = place[x]
+    a, letters = len(letters), letters.astype(np.int64)
+    inner = codes[1:-1][x[1:-1] != FRAME]
+    two = codes[:-1] * a + codes[1:]
+    three = (two[:-1] * a + codes[2:])[x[1:-1] != FRAME]  # none that spans two words
+    found = []
+    for grams, size in ((inner, a), (two, a * a), (three, a**3)):
+        if size <= DENSE:
+            counts = np.bincount(grams)
+            grams = np.flatnonzero(counts)
+            counts = counts[grams]
+        else:
+            grams, counts = np.unique(grams, return_counts=True)
+        keys = letters[grams % a]
+        if size > a:
+            keys = keys | letters[grams // a % a] << 21
+        if size > a * a:
+            keys = keys | letters[grams // (a * a)] << 42
+        found.append((keys, counts))
+    return np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all n-grams of a text and their counts, keys in order; long texts are counted by blocks that end with a word."""
+    words = OTHERS.sub("_", text.lower()).strip("_")
+    keys, counts, at = [], [], 0
+    while at < len(words):
+        end = len(words) if len(words) - at <= BLOCK else words.find("_", at + BLOCK)
+        end = len(words) if end < 0 else end
+        k, c = _counted(np.frombuffer(f"_{words[at:end]}_".encode("utf-32-le", "surrogatepass"), np.uint32))
+        keys.append(k)
+        counts.append(c)
+        at = end + 1
+    if len(keys) <= 1:
+        return (keys[0], counts[0]) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+    unique, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return unique, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+
+
+def top(text: str) -> np.ndarray:
+    """Keys of the text's PROFILE most frequent n-grams, in order of rank."""
+    keys, counts = gram_counts(text)
+    if len(keys) > PROFILE:
+        often = counts >= np.partition(counts, len(counts) - PROFILE)[len(counts) - PROFILE]
+        keys, counts = keys[often], counts[often]
+    return keys[np.lexsort((keys, -counts))][:PROFILE]
 
 
 class Ranker:
-    """Ranks the n-grams of texts. Words are kept as arrays of n-gram numbers; both tables are emptied when full."""
+    """Distances of texts to the profiles, which are lists of keys by rank."""
 
-    def __init__(self, profiles: dict[str, list[str]]):
+    def __init__(self, profiles: dict[str, list[int]]):
         self.langs = sorted(profiles)
-        self.profiles = [profiles[x] for x in self.langs]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.ties = np.zeros(4096, np.uint64)
-        self.ranks = np.full((len(self.langs), 4096), PROFILE, np.int32)
-        for k, profile in enumerate(self.profiles):
-            for rank, gram in enumerate(profile):
-                self.ranks[k, self._number(gram)] = rank
-
-    def _number(self, gram: str) -> int:
-        if (n := self.numbers.get(gram)) is None:
-            n = self.numbers[gram] = len(self.numbers)
-            if n == len(self.ties):
-                self.ties = np.concatenate([self.ties, np.zeros_like(self.ties)])
-                self.ranks = np.concatenate([self.ranks, np.full_like(self.ranks, PROFILE)], axis=1)
-            self.ties[n] = xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"))
-        return n
-
-    def _word(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is None:
-            known = np.array([self._number(g) for g in grams_of(word)], np.int32)
-            if len(word) <= 40:
-                self.words[word] = known
-        return known
-
-    def top(self, text: str) -> np.ndarray:
-        """Numbers of the text's PROFILE most frequent n-grams, in order of rank."""
-        if len(self.numbers) > MOST_GRAMS or len(self.words) > MOST_WORDS:
-            self._clear()
-        counted = Counter(WORDS.findall(text.lower()))
-        if not counted:
-            return np.empty(0, np.int64)
-        arrays = [self._word(w) for w in counted]
-        weights = np.repeat(np.fromiter(counted.values(), np.int64, len(counted)), [len(a) for a in arrays])
-        counts = np.bincount(np.concatenate(arrays), weights=weights).astype(np.int64)
-        there = np.flatnonzero(counts)
-        if len(there) > PROFILE:
-            cut = np.partition(counts[there], len(there) - PROFILE)[len(there) - PROFILE]
-            there = there[counts[there] >= cut]
-        return there[np.lexsort((self.ties[there], -counts[there]))][:PROFILE]
+        self.keys = np.array(sorted({k for p in profiles.values() for k in p}), np.int64)
+        self.ranks = np.full((len(self.langs), len(self.keys) + 1), PROFILE, np.int32)  # the last is for n-grams of no profile
+        for n, lang in enumerate(self.langs):
+            self.ranks[n, np.searchsorted(self.keys, np.array(profiles[lang], np.int64))] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        top = self.top(text or "")
-        if not len(top) or not self.langs:
+        own = top(text or "")
+        if not len(own) or not self.langs:
             return "und", 0.0
-        away = np.abs(self.ranks[:, top] - np.arange(len(top), dtype=np.int32)).sum(axis=1)
+        at = np.searchsorted(self.keys, own)
+        at[(at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != own)] = len(self.keys)
+        away = np.abs(self.ranks[:, at] - np.arange(len(own), dtype=np.int32)).sum(axis=1)
         best = int(np.argmin(away))
-        return self.langs[best], 1.0 - min(int(away[best]) / (PROFILE * len(top)), 1.0)
+        return self.langs[best], 1.0 - min(int(away[best]) / (PROFILE * len(own)), 1.0)
 
 
-def _gram_counts(batches):
+def _gram_rows(batches):
     for b in batches:
-        found: dict[str, Counter] = {}
+        rows: list[list] = [[], [], []]
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = found.setdefault(lang, Counter())
-            for word, n in Counter(WORDS.findall((text or "").lower())).items():
-                for g in grams_of(word):
-                    own[g] += n
-        rows = [(lang, g, n) for lang, own in found.items() for g, n in own.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
+            keys, counts = gram_counts(text or "")
+            rows[0] += [lang] * len(keys)
+            rows[1].append(keys)
+            rows[2].append(counts)
+        if rows[1]:
+            lang = pa.array(rows[0], pa.string())
+            both = pa.table([lang, pa.array(np.concatenate(rows[1])), pa.array(np.concatenate(rows[2]))], ["lang", "gram", "n"]).group_by(["lang", "gram"]).aggregate([("n", "sum")])
+            yield from both.select(["lang", "gram", "n_sum"]).rename_columns(["lang", "gram", "n"]).to_batches()
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
+def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, list[int]]:
     """Profiles from (key, text, lang), lang not null: of each language about sample rows at most, chosen by a hash of the row."""
     sizes = labelled.groupBy("lang").count()
     chosen = labelled.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) * F.col("count") < F.lit(sample << 30))
-    counts = chosen.select("lang", "text").mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.select("lang", "text").mapInArrow(_gram_rows, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    profiles: dict[str, list[str]] = {}
+    profiles: dict[str, list[int]] = {}
     for r in counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).orderBy("lang", "rank").collect():  # PROFILE rows a language
         profiles.setdefault(r["lang"], []).append(r["gram"])
     return profiles
@@ -120,7 +142,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def language_id(docs: DataFrame, profiles: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_id(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row."""
 
     def run(batches):
@@ -138,7 +160,7 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
 
-def speaks(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text") -> DataFrame:
+def speaks(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that have a language: those of which lang_pred isn't "und"."""
 
     @F.pandas_udf("string")

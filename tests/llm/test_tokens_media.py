@@ -182,15 +182,20 @@ def test_language_id(spark, rows):
     assert langid.language_id(frame(spark, rows), {}).where("lang_pred <> 'und'").count() == 0
 
 
-def test_ranks_against_a_plain_version():
-    profiles = {"a": ["_t", "th", "e"], "b": ["x", "_t"]}
-    ranker = langid.Ranker(profiles)
-    text = "The tea then\nthat"
-    counts = Counter(g for w in text.lower().split() for g in langid.grams_of(w))
-    top = [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], langid.xxhash.xxh64_intdigest(x[0])))][:300]
-    away = {k: sum(abs(p.index(g) - i) if g in p else 300 - i if False else (abs(p.index(g) - i) if g in p else 300 - i) for i, g in enumerate(top)) for k, p in profiles.items()}
+@pytest.mark.parametrize("text", ["The tea then\nthat", "a", "Ünïcode 日本語 12x_y 😀 z", "one two " * 50, "日" * 40 + "本 " * 3])
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_ranks_against_a_plain_version(text, block, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    profiles = {"a": ["_t", "th", "e"], "b": ["x", "_t", "日本"]}
+    ranker = langid.Ranker({k: [langid.key_of(g) for g in p] for k, p in profiles.items()})
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    counts = Counter(g for w in words for f in [f"_{w}_"] for n in (1, 2, 3) for i in range(len(f) - n + 1) for g in [f[i : i + n]] if g != "_")
+    keys, found = langid.gram_counts(text)
+    assert dict(zip(keys.tolist(), found.tolist())) == {langid.key_of(g): n for g, n in counts.items()}
+    ranked = sorted(counts, key=lambda g: (-counts[g], langid.key_of(g)))[:300]
+    away = {k: sum(abs(p.index(g) - i) if g in p else 300 - i for i, g in enumerate(ranked)) for k, p in profiles.items()}
     lang, score = ranker.predict(text)
-    assert lang == min(sorted(away), key=away.get) and score == pytest.approx(1 - away[lang] / (300 * len(top)))
+    assert lang == min(sorted(away), key=away.get) and score == pytest.approx(1 - away[lang] / (300 * len(ranked)))
 
 
 def test_held_out_accuracy(spark):
