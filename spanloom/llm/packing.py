@@ -13,9 +13,12 @@ rows and ids are packed as they come; an empty table gives an empty result; only
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core: threads of the tokenizer would only wait for each other
+
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -32,7 +35,7 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 30_000
 WEIGHTS = (1.0, 1e-3, 1e-3)
-CACHED, LONG_PART, TEXTS = 250_000, 1000, 256
+CACHED, LONG_PART, SHORT, TEXTS = 500_000, 1000, 8, 256
 #: The vocabulary's own pre-tokenizer, and parts that neither its normaliser nor case changes cut otherwise.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile(r"[\x00-\x7E\xA0-\u012F\u0131-\u024F]*")
@@ -113,11 +116,16 @@ class WordCoder:
         self._learn(new)
         out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
         if any(len(p) > LONG_PART for p in new):  # these would make the cache large
-            self.known, self.older = {"": b""}, {}
+            self.forget()
         elif len(known) > CACHED:
             self.known, self.older = {"": b""}, known
         return out
 
+    def forget(self) -> None:
+        """Frees the memory for what runs next in this worker; short words, which come again and again, stay."""
+        short = {p: ids for p, ids in self.known.items() if len(p) <= SHORT}
+        self.known, self.older = short if len(short) <= CACHED // 4 else {"": b""}, {}
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -144,6 +152,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
                         rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: len(names)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
+        c.forget()
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, schema)
 
