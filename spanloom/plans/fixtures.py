@@ -15,7 +15,7 @@ MARKED = (
     "J. **Karl Novak** came; USA and UK Ltd stayed",
     "**Stteen Erachtz** spoke with Bank Group of Jordan",
     "in April or August nobody called",
-    "Mr. **Ümit Öztürk** and Mrs **Zoë Quill** left, Anna Anna too.",
+    "Mr. **Ümit Öztürk** and Mrs **Zoë Quill** left, **Ümit** and Anna Anna too.",
     "Orre Orre Orre Orre went to **Peter Keller**   Smith",
     "a plain line about Maria Stone Avenue, which is a street",
 )

@@ -166,6 +166,29 @@ ORACLE_SQL = {
     "reject_reason": DOCS + "SELECT doc_id, line_no, s AS span_start, text, coalesce(failed, '-') AS failed FROM judged",
     "rule_score": DOCS + "SELECT score::DOUBLE AS score, count(*) AS n FROM judged GROUP BY ALL",
     "decisions": DOCS + "SELECT doc_id, line_no, s AS span_start, text, reps, score::DOUBLE AS score, decision FROM judged",
+    "boundary_refine": DOCS + f"""
+      , b AS (SELECT text, string_split(text, ' ') AS w, count(*) AS n FROM dets WHERE pattern = 'bare' GROUP BY ALL), k AS (
+        SELECT *, list_transform(w, lambda x: lower(x) IN {_in('first')} OR lower(x) IN {_in('last')}) AS known FROM b
+      ), p AS (SELECT text, n, unnest(CASE WHEN len(w) = 4 AND (known[1] AND known[2] OR known[3] AND known[4]) THEN [w[1] || ' ' || w[2], w[3] || ' ' || w[4]] ELSE [text] END) AS part FROM k
+      ), q AS (SELECT text, n, part, string_split(part, ' ') AS w FROM p)
+      SELECT text, n, CASE WHEN len(w) <> 2 THEN part
+        WHEN lower(w[1]) IN {_in('organization')} AND lower(w[2]) NOT IN {_in('organization')} AND (lower(w[2]) IN {_in('first')} OR lower(w[2]) IN {_in('last')}) THEN w[2]
+        WHEN lower(w[2]) IN {_in('organization')} AND lower(w[1]) NOT IN {_in('organization')} AND (lower(w[1]) IN {_in('first')} OR lower(w[1]) IN {_in('last')}) THEN w[1] ELSE part END AS refined FROM q""",
+    "features": DOCS + f"""
+      , sizes AS (SELECT doc_id, line_no, min(s) AS lo, count(*) AS n_detections, any_value(grp) AS grp FROM grouped GROUP BY doc_id, line_no, grp), j AS (
+        SELECT judged.*, sizes.n_detections FROM judged JOIN (SELECT r.doc_id, r.line_no, r.grp, min(r.s) FILTER (r.best = 1) AS s FROM ranked r GROUP BY ALL) o USING (doc_id, line_no, s) JOIN sizes USING (doc_id, line_no, grp))
+      SELECT doc_id, line_no, s AS span_start, n AS token_count, length(text) AS char_length, len(list_filter(ws, lambda w: length(w) = 1)) AS initials, len(list_filter(ws, lambda w: w IN {_in('first')})) AS known_first,
+        len(list_filter(ws, lambda w: w IN {_in('last')})) AS known_last, round_even(len(list_filter(ws, lambda w: w IN {_in('common')})) / n, 4) AS common_share, (ws[1] IN {_in('ambiguous')})::INT AS first_ambiguous,
+        len(list_filter(ws, lambda w: w IN {_in('location')} OR w IN {_in('organization')})) AS place_or_org, list_contains(pats, 'titled')::INT AS titled, list_contains(pats, 'dictionary')::INT AS dictionary,
+        list_contains(pats, 'bare')::INT AS bare, n_detections, reps FROM j WHERE failed IS NULL""",
+    "propagate_names": DOCS + f"""
+      , f AS (SELECT DISTINCT doc_id, raw[1] AS tok FROM judged WHERE decision = 'accepted' AND n >= 2 AND length(raw[1]) >= 2 AND ws[1] NOT IN {_in('common')} AND ws[1] NOT IN {_in('ambiguous')} AND ws[1] NOT IN {_in('calendar')})
+      SELECT x.doc_id, x.line_no, x.s AS span_start, x.e AS span_end, x.tok AS text FROM flagged x JOIN f ON f.doc_id = x.doc_id AND f.tok = x.tok WHERE NOT EXISTS (FROM cands y WHERE {HIT})""",
+    "caps": DOCS + f"""
+      , edges AS (SELECT DISTINCT doc_id, unnest([ws[1], ws[-1]]) AS key FROM judged WHERE decision = 'accepted' AND n >= 2)
+      SELECT doc_id, line_no, s AS span_start, text, CASE WHEN decision = 'accepted' AND n = 1 AND key IN {_in('common')} AND key IN {_in('last')} AND key NOT IN {_in('first')} AND NOT list_contains(pats, 'titled')
+        AND (doc_id, key) NOT IN (SELECT (doc_id, key) FROM edges) THEN 'review' ELSE decision END AS decision FROM judged""",
+    "evidence_source": DOCS + "SELECT CASE WHEN list_contains(pats, 'titled') THEN 'titled' WHEN list_contains(pats, 'dictionary') THEN 'dictionary' WHEN list_contains(pats, 'dictionary_single_token') THEN 'dictionary_single_token' ELSE 'bare' END AS pattern, decision, count(*) AS n FROM judged GROUP BY ALL",
     "persons": DOCS + "SELECT doc_id, key, display, occurrences, decision, best_score::DOUBLE AS best_score FROM people",
     "low_confidence": DOCS + "SELECT doc_id, key, count(*) AS n FROM judged WHERE failed = 'corroboration' GROUP BY ALL",
     "document_counters": DOCS + "SELECT doc_id, count(*) AS n_candidates, count(*) FILTER (decision = 'accepted') AS n_accepted, count(*) FILTER (decision = 'review') AS n_review, count(*) FILTER (decision = 'rejected') AS n_rejected, count(DISTINCT key) AS n_names FROM judged GROUP BY doc_id",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, detect, evaluate, feedback, lexicon
+from ..operators import candidates, detect, evaluate, feedback, lexicon, refine
 from ..sources import readers
 from ..streaming import sessions
 from . import fixtures
@@ -129,6 +129,32 @@ def decisions(spark, d):
     return judged_of(spark, d).select("doc_id", "line_no", F.col("start").alias("span_start"), "text", "reps", F.col("score").cast("double").alias("score"), "decision")
 
 
+@query
+def boundary_refine(spark, d):
+    names = candidates.canonical(candidates.overlap_groups(detect.bare_spans(docs_of(spark, d)))).groupBy("text").agg(F.count("*").alias("n"))
+    return names.select("text", "n", F.explode(refine.split_names(F.col("text"))).alias("part")).select("text", "n", refine.rescue_edge(F.col("part")).alias("refined"))
+
+
+@query
+def features(spark, d):
+    return refine.features(judged_of(spark, d))
+
+
+@query
+def propagate_names(spark, d):
+    return _spans(refine.undetected(detect.words(docs_of(spark, d)), judged_of(spark, d)))
+
+
+@query
+def caps(spark, d):
+    return refine.capped(judged_of(spark, d)).select("doc_id", "line_no", F.col("start").alias("span_start"), "text", "decision")
+
+
+@query
+def evidence_source(spark, d):
+    return judged_of(spark, d).groupBy(refine.strongest(F.col("patterns")).alias("pattern"), "decision").agg(F.count("*").alias("n"))
+
+
 @query
 def persons(spark, d):
     return candidates.persons(judged_of(spark, d)).withColumn("best_score", F.col("best_score").cast("double"))
