@@ -48,21 +48,19 @@ def _runs(ws: DataFrame) -> DataFrame:
     return cut.withColumn("run", F.expr(f"sum(new) over ({by})")).groupBy("doc_id", "line_no", "run").agg(F.array_sort(F.collect_list(F.struct("ix", "start", "end", "tok", "key", "t"))).alias("ws"))
 
 
-def _out(rows: DataFrame, pattern: str) -> DataFrame:
-    return rows.select("doc_id", "line_no", F.col("part")[0]["start"].alias("start"), F.element_at("part", -1)["end"].alias("end"), F.concat_ws(" ", F.col("part.tok")).alias("text"), F.lit(pattern).alias("pattern"), F.lit(CONFIDENCE[pattern]).cast("decimal(6,4)").alias("confidence"))
+def _found(parts: Column, pattern: str) -> Column:
+    """array<array of words> to array<struct<part, pattern>>."""
+    return F.transform(parts, lambda p: F.struct(p.alias("part"), F.lit(pattern).alias("pattern")))
 
 
-def titled_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One to four name words after one or more titles."""
-    runs = _runs(words(docs, text)).where("ws[0].t")
-    return _out(runs.select("doc_id", "line_no", F.slice(F.filter("ws", lambda w: ~w["t"]), 1, 4).alias("part")).where("size(part) > 0"), "titled")
+def _titled() -> Column:
+    names = F.slice(F.filter("ws", lambda w: ~w["t"]), 1, 4)
+    return F.filter(_found(F.array(names), "titled"), lambda f: F.col("ws")[0]["t"] & (F.size(f["part"]) > 0))
 
 
-def bare_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Two to four linked capitalised words; what a title leads is the titled detector's."""
-    runs = _runs(words(docs, text)).where("not ws[0].t and size(ws) > 1")
+def _bare() -> Column:
     parts = F.transform(F.sequence(F.lit(0), F.expr("(size(ws) - 1) div 4")), lambda k: F.slice("ws", k * 4 + 1, 4))
-    return _out(runs.select("doc_id", "line_no", F.explode(parts).alias("part")).where("size(part) > 1"), "bare")
+    return F.filter(_found(parts, "bare"), lambda f: ~F.col("ws")[0]["t"] & (F.size(f["part"]) > 1))
 
 
 def _take(ws: Column) -> Column:
@@ -79,17 +77,38 @@ def _take(ws: Column) -> Column:
         return F.when(i < state["next"], state).otherwise(taken).cast(kind)
 
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,n:int>>").alias("found")).cast(kind)
-    return F.aggregate(F.sequence(F.lit(0), F.size(ws) - 1), start, step, lambda s: s["found"])
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0))), start, step, lambda s: s["found"])
+
+
+def _dictionary() -> Column:
+    names = F.filter("ws", lambda w: ~w["t"])
+    some = F.exists("ws", lambda w: ~w["t"] & (has(w["key"], "first") | has(w["key"], "last")))
+    taken = F.when(some, _take(names)).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+    return F.transform(taken, lambda f: F.struct(F.slice(names, f["at"] + 1, f["n"]).alias("part"), F.when(f["n"] > 1, "dictionary").otherwise("dictionary_single_token").alias("pattern")))
+
+
+def _spans(docs: DataFrame, text: str, found: Column) -> DataFrame:
+    """The spans that found names in each run of words; the text is read, cut and shuffled once whatever found asks for."""
+    rows = _runs(words(docs, text)).select("doc_id", "line_no", F.inline(found))
+    confidence = F.coalesce(*[F.when(F.col("pattern") == k, F.lit(v)) for k, v in CONFIDENCE.items()]).cast("decimal(6,4)")
+    return rows.select("doc_id", "line_no", F.col("part")[0]["start"].alias("start"), F.element_at("part", -1)["end"].alias("end"), F.concat_ws(" ", F.col("part.tok")).alias("text"), "pattern", confidence.alias("confidence"))
+
+
+def titled_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One to four name words after one or more titles."""
+    return _spans(docs, text, _titled())
+
+
+def bare_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Two to four linked capitalised words; what a title leads is the titled detector's."""
+    return _spans(docs, text, _bare())
 
 
 def dictionary_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Windows of two or three known names, and the known names that are left."""
-    runs = _runs(words(docs, text)).withColumn("ws", F.filter("ws", lambda w: ~w["t"])).where("size(ws) > 0")
-    found = runs.where(F.exists("ws", lambda w: has(w["key"], "first") | has(w["key"], "last"))).select("doc_id", "line_no", "ws", F.explode(_take(F.col("ws"))).alias("f"))
-    parts = found.select("doc_id", "line_no", F.slice("ws", F.col("f.at") + 1, F.col("f.n")).alias("part"))
-    return _out(parts.where("size(part) > 1"), "dictionary").unionByName(_out(parts.where("size(part) = 1"), "dictionary_single_token"))
+    return _spans(docs, text, _dictionary())
 
 
 def detections(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All detectors."""
-    return titled_spans(docs, text).unionByName(bare_spans(docs, text)).unionByName(dictionary_spans(docs, text))
+    """All detectors in one pass."""
+    return _spans(docs, text, F.concat(_titled(), _bare(), _dictionary()))

@@ -100,7 +100,7 @@ def overlap_merge(spark, d):
 @query
 def canonical_span(spark, d):
     c = candidates.canonical(candidates.overlap_groups(detect.detections(docs_of(spark, d))))
-    return _spans(c).withColumns({"x": F.lit(1)}).drop("x").join(c.select("doc_id", "line_no", F.col("start").alias("span_start"), F.col("evidence").cast("double").alias("evidence"), F.concat_ws(",", "patterns").alias("patterns")), ["doc_id", "line_no", "span_start"])
+    return c.select("doc_id", "line_no", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "text", F.col("evidence").cast("double").alias("evidence"), F.concat_ws(",", "patterns").alias("patterns"))
 
 
 @query
