@@ -23,9 +23,11 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def spans(line: Column, pattern: str) -> Column:
-    """array<struct<start, end, tok, gap>> of the pattern's matches; gap is what follows up to the next."""
-    found, between = F.regexp_extract_all(line, F.lit(pattern), 0), F.split(line, pattern, -1)
+def places(found: Column, between: Column) -> Column:
+    """array<struct<start, end, tok, gap>> of a pattern's matches and what lies between them; gap is what follows up to the next.
+
+    Both must be columns: expressions would be worked out again for each match.
+    """
     length = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.length(x))
     at = lambda i: length(between, i + 1) + length(found, i)
     return F.transform(found, lambda tok, i: F.struct(at(i).alias("start"), (at(i) + F.length(tok)).alias("end"), tok.alias("tok"), F.element_at(between, i + 2).alias("gap")))
@@ -33,7 +35,8 @@ def spans(line: Column, pattern: str) -> Column:
 
 def words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, line_no, ix, start, end, tok, key, linked): capitalised words; linked if one belongs to the word before it."""
-    rows = lines(docs, text).where(F.col("line").rlike(r"\p{Lu}")).select("doc_id", "line_no", spans(F.col("line"), WORD).alias("ws"))
+    rows = lines(docs, text).where(F.col("line").rlike(r"\p{Lu}")).select("doc_id", "line_no", F.regexp_extract_all("line", F.lit(WORD), 0).alias("found"), F.split("line", WORD, -1).alias("between"))
+    rows = rows.select("doc_id", "line_no", places(F.col("found"), F.col("between")).alias("ws"))
     before = lambda ws, i: F.get(ws, i - 1)
     joins = lambda w: w["gap"].rlike(BLANKS) | (w["gap"].rlike(AFTER_POINT) & ((F.length(w["tok"]) == 1) | has(F.lower(w["tok"]), "title")))
     marked = F.transform("ws", lambda w, i: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["tok"].alias("tok"), F.lower(w["tok"]).alias("key"), F.coalesce(joins(before(F.col("ws"), i)), F.lit(False)).alias("linked")))
