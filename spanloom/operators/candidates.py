@@ -10,7 +10,7 @@ from .lexicon import LISTS, has
 PLACE = ("doc_id", "line_no")
 ACCEPT, REVIEW = "0.75", "0.45"
 #: Validators in order; the first that fails rejects.
-ORDER = ("length", "structure", "punctuation", "repetition", "initial", "corroboration", "blacklist", "organization", "location", "stopword")
+ORDER = ("length", "structure", "punctuation", "repetition", "initial", "language", "corroboration", "blacklist", "campaign", "organization", "location", "stopword")
 
 
 def overlap_groups(spans: DataFrame) -> DataFrame:
@@ -24,13 +24,41 @@ def rank(pattern: Column) -> Column:
     return F.when(pattern == "titled", 0).when(pattern == "dictionary", 1).when(pattern == "dictionary_single_token", 2).otherwise(3)
 
 
+def plausible(key: Column) -> Column:
+    """Whether a word beside a known name may belong to it."""
+    barred = [has(key, x) for x in ("ambiguous", "calendar", "stopword", "location", "organization")]
+    refused = barred[0]
+    for other in barred[1:]:
+        refused = refused | other
+    return (F.length(key) >= 2) & ~refused & (has(key, "first") | has(key, "last") | ~has(key, "common"))
+
+
+def middle_initial(name: Column) -> Column:
+    """A word, one or more initials, a word."""
+    return name.rlike(r"^\S{2,}(?: \p{Lu})+ \S{2,}$")
+
+
+def _wider(best: Column, spans: Column) -> Column:
+    """The first bare span around a lone known name, of two words whose other one is plausible, or with middle initials."""
+    words = lambda s: F.split(F.lower(s["text"]), " ")
+    others = lambda s: F.filter(words(s), lambda w: w != F.lower(best["text"]))
+    fits = lambda s: middle_initial(s["text"]) | ((F.size(words(s)) == 2) & F.forall(others(s), plausible))
+    return F.get(F.filter(spans, lambda s: (s["start"] <= best["start"]) & (s["end"] >= best["end"]) & fits(s)), F.lit(0))
+
+
 def canonical(groups: DataFrame) -> DataFrame:
-    """One row for each group: the best pattern's widest span, with the evidence of all."""
-    best = F.struct(-rank(F.col("pattern")), F.col("end") - F.col("start"), -F.col("start"))
-    return groups.groupBy(*PLACE, "grp").agg(
-        F.max_by(F.struct("start", "end", "text"), best).alias("one"), F.sum("confidence").alias("evidence"),
+    """One row for each group: the best pattern's widest span, with the evidence of all; a lone known name may be widened."""
+    order = F.struct(-rank(F.col("pattern")), F.col("end") - F.col("start"), -F.col("start"))
+    span = F.struct("start", "end", "text")
+    rows = groups.groupBy(*PLACE, "grp").agg(
+        F.max_by(F.struct("start", "end", "text", "pattern"), order).alias("best"), F.sum("confidence").alias("evidence"),
         F.array_sort(F.collect_set("pattern")).alias("patterns"), F.count("*").alias("n_detections"),
-    ).select(*PLACE, "one.*", "evidence", "patterns", "n_detections")
+        F.array_sort(F.collect_list(F.when(F.col("pattern") == "bare", span))).alias("bares"),
+    )
+    lone = F.col("best.pattern") == "dictionary_single_token"
+    plain = F.struct("best.start", "best.end", "best.text")
+    one = F.coalesce(F.when(lone, _wider(F.col("best"), F.col("bares"))), plain)
+    return rows.withColumn("one", one).select(*PLACE, "one.*", "evidence", "patterns", "n_detections")
 
 
 def trim_stopwords(name: Column) -> Column:
@@ -53,6 +81,21 @@ def repetitions(cands: DataFrame) -> DataFrame:
     return cands.groupBy("doc_id", F.lower("text").alias("key")).agg(F.count("*").alias("reps"))
 
 
+def is_sure(patterns: Column, reps: Column) -> Column:
+    """Whether knowledge backs a name: a title, a dictionary pair, or a known word found four times."""
+    strong = F.arrays_overlap(patterns, F.array(F.lit("titled"), F.lit("dictionary"), F.lit("document_name")))
+    return strong | (F.array_contains(patterns, "dictionary_single_token") & (reps >= 4))
+
+
+def all_common(key: Column) -> Column:
+    return F.forall(F.split(key, " "), lambda w: has(w, "common"))
+
+
+def decide(score: Column, sure: Column, common: Column) -> Column:
+    reached = lambda least: score >= F.lit(least).cast("decimal(4,2)")
+    return F.when(reached(ACCEPT) & sure, "accepted").when(reached(REVIEW) & ~(~sure & common), "review").otherwise("rejected")
+
+
 def judged(cands: DataFrame) -> DataFrame:
     """Adds reps, failed (the first validator that rejects), score and decision. All rules are expressions over one row."""
     rows = cands.withColumn("key", F.lower("text")).join(repetitions(cands), ["doc_id", "key"]).withColumn("ws", F.split("key", " ")).withColumn("raw", F.split("text", " "))
@@ -67,6 +110,8 @@ def judged(cands: DataFrame) -> DataFrame:
         "punctuation": F.col("text").rlike(r"[0-9!@#$%^&*()_+=\[\]{}<>/|~`\\]"),
         "repetition": F.size(F.array_distinct("ws")) < n,
         "initial": F.forall("raw", lambda w: F.length(w) == 1),
+        "language": F.col("text").rlike(r"(?:(?!\p{IsLatin})\p{L})") | F.exists("ws", lambda w: has(w, "marker")),
+        "campaign": F.exists(pairs, lambda p: has(p, "campaign")) | F.exists("ws", lambda w: has(w, "slogan")),
         "corroboration": ~(strong | single | ((F.col("reps") >= 4) & ~((n == 1) & has(F.col("key"), "calendar")))),
         "blacklist": F.exists(pairs, lambda p: has(p, "blacklist")),
         "organization": F.exists("ws", lambda w: has(w, "organization")),
@@ -78,13 +123,8 @@ def judged(cands: DataFrame) -> DataFrame:
     title = F.when(F.array_contains("patterns", "titled"), F.lit("0.30")).otherwise("0.00").cast("decimal(6,4)")
     initials = F.when(F.exists("raw", lambda w: F.length(w) == 1), F.lit("0.05")).otherwise("0.00").cast("decimal(6,4)")
     score = F.when(F.col("failed").isNotNull(), F.lit(0)).otherwise(F.col("evidence") + F.lit("0.20").cast("decimal(6,4)") + ratio + title + initials).cast("decimal(8,4)")
-    sure = strong | (F.array_contains("patterns", "dictionary_single_token") & (F.col("reps") >= 4))
-    common = F.forall("ws", lambda w: has(w, "common"))
-    decision = (
-        F.when(F.col("score") >= F.lit(ACCEPT).cast("decimal(4,2)"), F.when(sure, "accepted").when(common, "rejected").otherwise("review"))
-        .when(F.col("score") >= F.lit(REVIEW).cast("decimal(4,2)"), F.when(~sure & common, "rejected").otherwise("review")).otherwise("rejected")
-    )
-    return rows.withColumn("score", score).withColumn("decision", decision).drop("ws", "raw")
+    rows = rows.withColumn("score", score)
+    return rows.withColumn("decision", decide(F.col("score"), is_sure(F.col("patterns"), F.col("reps")), all_common(F.col("key")))).drop("ws", "raw")
 
 
 def persons(cands: DataFrame) -> DataFrame:

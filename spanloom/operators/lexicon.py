@@ -17,6 +17,9 @@ LISTS = {
     "ambiguous": ["orre", "april"],
     "blacklist": ["happy birthday", "dear john"],
     "occupation": ["doctor", "engineer"],
+    "marker": ["und", "avec", "nicht"],
+    "campaign": ["clean city", "open day"],
+    "slogan": ["save", "vote", "welcome"],
 }
 
 

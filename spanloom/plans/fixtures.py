@@ -18,6 +18,13 @@ MARKED = (
     "Mr. **Ümit Öztürk** and Mrs **Zoë Quill** left, **Ümit** and Anna Anna too.",
     "Orre Orre Orre Orre went to **Peter Keller**   Smith",
     "a plain line about Maria Stone Avenue, which is a street",
+    "2024-01-05 10:11:12.345 1234 5678 I ActivityManager: Anna Keller started",
+    "write to **Peter Novak** at www.novak.co.uk or anna@mail.office.ac.in today",
+    "queued by android.os.Handler for Maria Lopez and David Smith",
+    "-Uid 10294-Pkg com.example-POL Anna Lopez",
+    "the doctor **Anna Smith** wrote; see http://Anna Keller and David Stone @work",
+    "they Vote John Smith; Karl Und Keller; Клара Novak came. Clean City Laura Lopez",
+    "\"He met **Quentin Keller** and **Peter Q Novak** there\" said a neighbour",
 )
 
 

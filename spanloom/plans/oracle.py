@@ -87,9 +87,18 @@ planted AS (
   SELECT *, sum((reach IS NULL OR s >= reach)::INT) OVER (PARTITION BY doc_id, line_no ORDER BY s, e DESC, pattern ROWS UNBOUNDED PRECEDING) AS grp FROM reached
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, grp ORDER BY rk, e - s DESC, s) AS best FROM grouped
-), cands AS (
-  SELECT doc_id, line_no, any_value(s) FILTER (best = 1) AS s, any_value(e) FILTER (best = 1) AS e, any_value(text) FILTER (best = 1) AS text, sum(conf) AS evidence,
+), bests AS (
+  SELECT doc_id, line_no, grp, any_value(s) FILTER (best = 1) AS s, any_value(e) FILTER (best = 1) AS e, any_value(text) FILTER (best = 1) AS text, any_value(pattern) FILTER (best = 1) AS top, sum(conf) AS evidence,
     list_sort(list(DISTINCT pattern)) AS pats FROM ranked GROUP BY doc_id, line_no, grp
+), odd AS (
+  SELECT b.doc_id, b.line_no, b.grp, r.s, r.e, r.text, list_filter(string_split(lower(r.text), ' '), lambda w: w <> lower(b.text))[1] AS other, len(string_split(r.text, ' ')) AS size
+  FROM bests b JOIN ranked r USING (doc_id, line_no, grp) WHERE b.top = 'dictionary_single_token' AND r.pattern = 'bare' AND r.s <= b.s AND r.e >= b.e
+), wide AS (
+  SELECT doc_id, line_no, grp, arg_min(s, s) AS ws, arg_min(e, s) AS we, arg_min(text, s) AS wtext FROM odd
+  WHERE regexp_matches(text, '^\S{{2,}}( \p{{Lu}})+ \S{{2,}}$') OR size = 2 AND (other IS NULL OR length(other) >= 2 AND other NOT IN {_in('ambiguous')} AND other NOT IN {_in('calendar')} AND other NOT IN {_in('stopword')}
+    AND other NOT IN {_in('location')} AND other NOT IN {_in('organization')} AND (other IN {_in('first')} OR other IN {_in('last')} OR other NOT IN {_in('common')})) GROUP BY ALL
+), cands AS (
+  SELECT doc_id, line_no, grp, coalesce(ws, s) AS s, coalesce(we, e) AS e, coalesce(wtext, text) AS text, evidence, pats FROM bests LEFT JOIN wide USING (doc_id, line_no, grp)
 ), counted AS (
   SELECT *, lower(text) AS key, count(*) OVER (PARTITION BY doc_id, lower(text)) AS reps, string_split(lower(text), ' ') AS ws, string_split(text, ' ') AS raw FROM cands
 ), tested AS (
@@ -103,8 +112,10 @@ planted AS (
     WHEN regexp_matches(text, '[0-9!@#$%^&*()_+=\[\]{{}}<>/|~`\\]') THEN 'punctuation'
     WHEN len(list_distinct(ws)) < n THEN 'repetition'
     WHEN len(list_filter(raw, lambda w: length(w) <> 1)) = 0 THEN 'initial'
+    WHEN regexp_matches(regexp_replace(text, '\p{{Latin}}', '', 'g'), '\p{{L}}') OR len(list_filter(ws, lambda w: w IN {_in('marker')})) > 0 THEN 'language'
     WHEN NOT (strong OR list_contains(pats, 'dictionary_single_token') AND NOT (ws[1] IN {_in('ambiguous')} OR n = 1 AND key IN {_in('calendar')}) OR reps >= 4 AND NOT (n = 1 AND key IN {_in('calendar')})) THEN 'corroboration'
     WHEN len(list_filter(pairs, lambda p: p IN {_in('blacklist')})) > 0 THEN 'blacklist'
+    WHEN len(list_filter(pairs, lambda p: p IN {_in('campaign')})) > 0 OR len(list_filter(ws, lambda w: w IN {_in('slogan')})) > 0 THEN 'campaign'
     WHEN len(list_filter(ws, lambda w: w IN {_in('organization')})) > 0 THEN 'organization'
     WHEN len(list_filter(pairs, lambda p: p IN {_in('location')})) > 0 AND NOT (len(list_filter(ws, lambda w: w IN {_in('first')} AND w NOT IN {_in('location')})) > 0 OR n > 1 AND reps >= 4) THEN 'location'
     WHEN len(list_filter(ws, lambda w: w IN {_in('stopword')})) > 0 THEN 'stopword' END AS failed FROM tested
@@ -175,8 +186,7 @@ ORACLE_SQL = {
         WHEN lower(w[1]) IN {_in('organization')} AND lower(w[2]) NOT IN {_in('organization')} AND (lower(w[2]) IN {_in('first')} OR lower(w[2]) IN {_in('last')}) THEN w[2]
         WHEN lower(w[2]) IN {_in('organization')} AND lower(w[1]) NOT IN {_in('organization')} AND (lower(w[1]) IN {_in('first')} OR lower(w[1]) IN {_in('last')}) THEN w[1] ELSE part END AS refined FROM q""",
     "features": DOCS + f"""
-      , sizes AS (SELECT doc_id, line_no, min(s) AS lo, count(*) AS n_detections, any_value(grp) AS grp FROM grouped GROUP BY doc_id, line_no, grp), j AS (
-        SELECT judged.*, sizes.n_detections FROM judged JOIN (SELECT r.doc_id, r.line_no, r.grp, min(r.s) FILTER (r.best = 1) AS s FROM ranked r GROUP BY ALL) o USING (doc_id, line_no, s) JOIN sizes USING (doc_id, line_no, grp))
+      , sizes AS (SELECT doc_id, line_no, grp, count(*) AS n_detections FROM grouped GROUP BY ALL), j AS (SELECT judged.*, n_detections FROM judged JOIN sizes USING (doc_id, line_no, grp))
       SELECT doc_id, line_no, s AS span_start, n AS token_count, length(text) AS char_length, len(list_filter(ws, lambda w: length(w) = 1)) AS initials, len(list_filter(ws, lambda w: w IN {_in('first')})) AS known_first,
         len(list_filter(ws, lambda w: w IN {_in('last')})) AS known_last, round_even(len(list_filter(ws, lambda w: w IN {_in('common')})) / n, 4) AS common_share, (ws[1] IN {_in('ambiguous')})::INT AS first_ambiguous,
         len(list_filter(ws, lambda w: w IN {_in('location')} OR w IN {_in('organization')})) AS place_or_org, list_contains(pats, 'titled')::INT AS titled, list_contains(pats, 'dictionary')::INT AS dictionary,
