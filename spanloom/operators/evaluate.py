@@ -41,3 +41,37 @@ def run_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     b, a = before.select("name", F.col("decision").alias("b")), after.select("name", F.col("decision").alias("a"))
     change = F.concat(F.coalesce("b", F.lit("absent")), F.lit("->"), F.coalesce("a", F.lit("absent")))
     return b.join(a, "name", "full").groupBy(change.alias("transition")).agg(F.count("*").alias("n"))
+
+
+def one_to_one(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(doc_id, line_no, n_gold, n_predicted, n_matched): in order, each gold span takes the first overlapping prediction still free.
+
+    A fold over the spans of one line; spans of two lines never overlap.
+    """
+    spans = lambda df, name: df.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
+    rows = spans(gold, "gs").join(spans(predicted, "ps"), ["doc_id", "line_no"], "full")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    rows = rows.select("doc_id", "line_no", F.coalesce(F.col("gs").cast("array<struct<start:int,end:int>>"), none).alias("gs"), F.coalesce(F.col("ps").cast("array<struct<start:int,end:int>>"), none).alias("ps"))
+
+    def take(used, g):
+        free = F.filter("ps", lambda p: (p["start"] < g["end"]) & (g["start"] < p["end"]) & ~F.array_contains(used, p["start"]))
+        return F.when(F.size(free) > 0, F.concat(used, F.slice(F.transform(free, lambda p: p["start"]), 1, 1))).otherwise(used)
+
+    used = F.aggregate("gs", F.array().cast("array<int>"), take)
+    return rows.select("doc_id", "line_no", F.size("gs").alias("n_gold"), F.size("ps").alias("n_predicted"), F.size(used).alias("n_matched"))
+
+
+def promotion_gate(before: DataFrame, after: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """One row (worst_drop, promote) of two tables of shape_recall(): no shape may lose more than the tolerance."""
+    recall = lambda df, name: df.select("shape", (F.col("n_found") / F.col("n_gold")).alias(name))
+    rows = recall(before, "b").join(recall(after, "a"), "shape")
+    return rows.agg(F.bround(F.max(F.col("b") - F.col("a")), 4).alias("worst_drop"), (F.max(F.col("b") - F.col("a")) <= tolerance).alias("promote"))
+
+
+def what_if(scored: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.7, 0.9)) -> DataFrame:
+    """scored: (name, decision, p). (scenario, threshold, n_accepted): accepted names cleaned up, review names promoted, or both."""
+    rows = scored.select("decision", "p", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), F.explode(F.array(*map(F.lit, ("cleanup", "promote", "both")))).alias("scenario"))
+    sure = F.col("p") >= F.col("threshold")
+    kept = (F.col("decision") == "accepted") & ((F.col("scenario") == "promote") | sure)
+    risen = (F.col("decision") == "review") & (F.col("scenario") != "cleanup") & sure
+    return rows.groupBy("scenario", "threshold").agg(F.count_if(kept | risen).alias("n_accepted"))

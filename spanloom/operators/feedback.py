@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluate import with_overlap, without_overlap
+
 PRIVATE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "digits": r"[0-9]{6,}"}
 
 
@@ -30,3 +32,26 @@ def privacy_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, kind): which kinds of private data a text has, never the text."""
     kinds = F.filter(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in PRIVATE.items()]), lambda k: k.isNotNull())
     return docs.select("doc_id", F.explode(kinds).alias("kind"))
+
+
+def labelled(spans: DataFrame, gold: DataFrame) -> DataFrame:
+    """spans with label 1 where they overlap a gold span, else 0; spans start once in a line."""
+    hit = with_overlap(spans, gold).select("doc_id", "line_no", "start", F.lit(1).alias("label"))
+    return spans.join(hit, ["doc_id", "line_no", "start"], "left").fillna(0, ["label"])
+
+
+def weighted(rows: DataFrame, confirmed: Column, times: int = 3) -> DataFrame:
+    """Adds copy: confirmed rows come several times, the others once."""
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(confirmed, times).otherwise(1))))
+
+
+def without_sources(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't held out for evaluation."""
+    return rows.join(held.select(key).distinct(), key, "left_anti")
+
+
+def first_name_gold(gold: DataFrame, words: DataFrame) -> DataFrame:
+    """Every other place in its document of the first word of a gold name of several words."""
+    first = gold.where("instr(text, ' ') > 0").select("doc_id", F.split("text", " ")[0].alias("tok")).distinct()
+    found = words.join(first, ["doc_id", "tok"]).select("doc_id", "line_no", "start", "end", F.col("tok").alias("text"))
+    return without_overlap(found, gold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .candidates import rank
+from .candidates import decide, dominance, rank
 from .evaluate import without_overlap
 from .lexicon import has
 
@@ -70,3 +70,26 @@ def capped(judged: DataFrame) -> DataFrame:
 def strongest(patterns: Column) -> Column:
     """The pattern of highest priority."""
     return F.array_min(F.transform(patterns, lambda p: F.struct(rank(p).alias("r"), p.alias("p"))))["p"]
+
+
+def promoted(judged: DataFrame) -> DataFrame:
+    """Lone words under review that are the first word of an accepted full name of their document are decided anew with its evidence."""
+    names = propagatable(judged).select("doc_id", F.lower("tok").alias("key")).distinct().withColumn("vouched", F.lit(True))
+    rows = judged.join(names, ["doc_id", "key"], "left")
+    lone = F.col("vouched") & (F.col("decision") == "review") & (F.instr("text", " ") == 0)
+    score = F.when(lone, F.col("score") + F.lit("0.60").cast("decimal(6,4)")).otherwise(F.col("score")).cast("decimal(8,4)")
+    rows = rows.withColumn("score", score)
+    return rows.withColumn("decision", F.when(lone, decide(F.col("score"), F.lit(True), F.lit(False))).otherwise(F.col("decision"))).drop("vouched")
+
+
+def lone_capped(judged: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Accepted single words without a title go to review in the documents (doc_id) that are structured or short and no prose."""
+    rows = judged.join(flagged.select("doc_id").distinct().withColumn("flagged", F.lit(True)), "doc_id", "left")
+    lone = F.col("flagged") & (F.col("decision") == "accepted") & (F.instr("text", " ") == 0) & ~F.arrays_overlap("patterns", F.array(F.lit("titled"), F.lit("document_name")))
+    return rows.withColumn("decision", F.when(lone, "review").otherwise(F.col("decision"))).drop("flagged")
+
+
+def merged_collection(names: DataFrame) -> DataFrame:
+    """collection() with longer names counted as the shorter name that dominates them; one pass, no chains."""
+    core = dominance(names.select("name", F.col("total_occurrences").alias("n"))).select("name", F.coalesce("core", "name").alias("core"))
+    return names.join(core, "name").groupBy(F.col("core").alias("name")).agg(F.sum("total_occurrences").alias("total_occurrences"), F.min("decision").alias("decision"), F.count("*").alias("n_forms"))

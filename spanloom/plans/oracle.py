@@ -3,6 +3,7 @@ windows, the greedy dictionary scan from a recursion."""
 
 from __future__ import annotations
 
+from ..operators.context import GENERIC_DOMAINS, LOG_LINE, PACKAGE_ROOTS, SECOND_LABELS, TABLE_ROW
 from ..operators.feedback import PRIVATE
 from ..operators.lexicon import LISTS
 from .fixtures import MARKED
@@ -158,6 +159,26 @@ for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'
     HTML = f"replace({HTML}, '{_name}', '{_char}')"
 HTML = f"trim(regexp_replace(regexp_replace(regexp_replace({HTML}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
 
+#: Words that may name code on a line: the character before each is kept where it tells a host.
+NEAR = "line[greatest(s - 150, 0) + 1:e + 150]"
+DOTTED = r"regexp_extract_all(" + NEAR + r", '(?:://|@|^|[^.A-Za-z0-9_])[a-z][a-z0-9_]*(?:\.[A-Za-z0-9_]+)+')"
+CODE = f"""
+      , found AS (SELECT DISTINCT doc_id, line_no, s, unnest({DOTTED}) AS raw FROM judged JOIN lines USING (doc_id, line_no)
+      ), bare_names AS (SELECT *, regexp_replace(raw, '^(://|[^a-z])', '') AS name, raw LIKE '@%' OR raw LIKE '://%' AS led FROM found
+      ), labelled AS (SELECT *, string_split(name, '.') AS ls FROM bare_names
+      ), hosts AS (SELECT *, NOT regexp_matches(name, '[A-Z_]') AND ls[1] NOT IN ({_list(PACKAGE_ROOTS)[1:-1]}) AND length(ls[1]) <> 2
+          AND (led OR ls[1] = 'www' OR ls[-1] IN ({_list(GENERIC_DOMAINS)[1:-1]}) OR regexp_matches(ls[-1], '^[a-z]{{2}}$') AND ls[-2] IN ({_list(SECOND_LABELS)[1:-1]})) AS host FROM labelled
+      ), code AS (SELECT DISTINCT doc_id, line_no, s FROM hosts WHERE NOT host AND (len(ls) >= 4 OR len(ls) = 3 AND regexp_matches(name, '^[a-z0-9_]+\\.[a-z0-9_]+\\.[A-Z]')
+          OR contains(regexp_extract(name, '^([a-z0-9_]+(?:\\.[a-z0-9_]+)+)(?:\\.|$)', 1), '_')))"""
+BEFORE_LINE = "JOIN lines USING (doc_id, line_no)"
+PEOPLE_LIST = "coalesce(list(struct_pack(name := display, occurrences := occurrences) ORDER BY display, occurrences) FILTER (decision = '{0}'), [])"
+SCAN = f""", words_of AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM planted), files AS (
+        SELECT doc_id, CASE WHEN len(w) < 30 OR len(list_filter(w, lambda x: x IN {_in('stopword')})) / len(w) >= 0.15 THEN 'ok' ELSE 'skipped: not_english' END AS status FROM words_of
+      ), named AS (SELECT doc_id, count(*) AS n, string_agg(display, '; ' ORDER BY display) AS names FROM people WHERE decision = 'accepted' GROUP BY doc_id
+      ), scan_rows AS (SELECT doc_id, status, CASE WHEN status = 'ok' THEN coalesce(n, 0) ELSE 0 END AS num_names, CASE WHEN status = 'ok' THEN coalesce(names, '') ELSE '' END AS names FROM files LEFT JOIN named USING (doc_id))"""
+VOUCHED = f""", f AS (SELECT DISTINCT doc_id, lower(raw[1]) AS key FROM judged WHERE decision = 'accepted' AND n >= 2 AND length(raw[1]) >= 2
+        AND ws[1] NOT IN {_in('common')} AND ws[1] NOT IN {_in('ambiguous')} AND ws[1] NOT IN {_in('calendar')})"""
+
 ORACLE_SQL = {
     "clean_text": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, '') || ' ' || chr(9) || chr(13) || chr(10) || 'end' || chr(1) || chr(13), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g') AS cleaned FROM documents""",
     "doc_metrics": "SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS n_lines, length(coalesce(text, '')) AS n_code_points FROM documents",
@@ -234,5 +255,53 @@ ORACLE_SQL = {
     "class_balance": "SELECT *, least(positive, negative) >= 10 AND greatest(positive, negative) <= 3 * least(positive, negative) AS trainable FROM (SELECT count(*) FILTER (quality = 1) AS positive, count(*) FILTER (quality = 0) AS negative FROM labels)",
     "privacy_scan": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM documents WHERE regexp_matches(text, '{p}')" for k, p in PRIVATE.items()),
     "latency_quantiles": "SELECT event_type, n, value AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE k = floor(0.95 * (n - 1))",
+    "context_rules": DOCS + CODE + f"""
+      , ctx AS (SELECT j.*, line[:j.s] AS pre, line[j.e + 1:] AS post, code.s IS NOT NULL OR regexp_matches(line[1:100], '{LOG_LINE}') OR regexp_matches(line[1:300], '{TABLE_ROW}') AS machine
+        FROM judged j JOIN lines USING (doc_id, line_no) LEFT JOIN code ON code.doc_id = j.doc_id AND code.line_no = j.line_no AND code.s = j.s
+      ), r AS (SELECT * EXCLUDE (failed, score), CASE WHEN failed IN ('length', 'structure') THEN failed WHEN machine THEN 'system_log' WHEN failed IS NOT NULL THEN failed
+          WHEN regexp_matches(lower(pre[-10:]), 'http://|https://|www\\.') OR ltrim(post, ' ' || chr(9))[1:1] = '@' THEN 'context' END AS failed, score
+        FROM ctx
+      ), t AS (SELECT * EXCLUDE (score), CASE WHEN failed IS NOT NULL THEN 0 ELSE score + CASE WHEN lower(regexp_extract(pre, '([A-Za-z'']+)\\s*$', 1)) IN {_in('occupation')} THEN 0.10 ELSE 0 END END::DECIMAL(8, 4) AS score FROM r)
+      SELECT doc_id, line_no, s AS span_start, text, coalesce(failed, '-') AS failed, score::DOUBLE AS score,
+        CASE WHEN score >= 0.75 AND sure THEN 'accepted' WHEN score >= 0.45 AND NOT sure AND common THEN 'rejected' WHEN score >= 0.45 THEN 'review' ELSE 'rejected' END AS decision FROM t""",
+    "sentence_starts": DOCS + r"""SELECT doc_id, line_no, s AS span_start, regexp_matches(line[:s], '(^|[.!?][’”]?)[ \t"''‘“(]*$') AS opens,
+        (length(tail) - length(replace(tail, '"', ''))) % 2 = 1 OR length(replace(tail, '”', '')) > length(replace(tail, '“', '')) AS quoted
+      FROM (SELECT *, CASE WHEN s = 0 THEN '' ELSE line[greatest(s - 199, 1):s] END AS tail FROM flagged JOIN lines USING (doc_id, line_no))""",
+    "neighbour_words": DOCS + r"""SELECT doc_id, line_no, s AS span_start, array_to_string(list_reverse(regexp_extract_all(line[:s], '[A-Za-z'']+'))[1:3], ' ') AS before,
+        array_to_string(regexp_extract_all(line[e + 1:], '[A-Za-z'']+')[1:3], ' ') AS after FROM judged JOIN lines USING (doc_id, line_no)""",
+    "promoted_names": DOCS + VOUCHED + "SELECT doc_id, line_no, s AS span_start, text, CASE WHEN decision = 'review' AND n = 1 AND (doc_id, key) IN (SELECT (doc_id, key) FROM f) THEN CASE WHEN score + 0.60 >= 0.75 THEN 'accepted' ELSE 'review' END ELSE decision END AS decision FROM judged",
+    "lone_caps": DOCS + f"""
+      , w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM planted), flat AS (SELECT doc_id FROM w WHERE len(w) < 30 AND (len(w) = 0 OR len(list_filter(w, lambda x: x IN {_in('stopword')})) / len(w) < 0.15))
+      SELECT doc_id, line_no, s AS span_start, text, CASE WHEN decision = 'accepted' AND n = 1 AND NOT list_contains(pats, 'titled') AND doc_id IN (FROM flat) THEN 'review' ELSE decision END AS decision FROM judged""",
+    "collection_merge": DOCS + r""", x AS (SELECT name, total_occurrences AS n, unnest([regexp_replace(name, '^\S+ ', ''), regexp_replace(name, ' \S+$', '')]) AS core FROM names
+      ), f AS (SELECT x.name, arg_max(x.core, (c.total_occurrences, x.core)) AS core FROM x JOIN names c ON c.name = x.core WHERE x.core <> x.name AND contains(x.core, ' ') AND c.total_occurrences >= greatest(3, 3 * x.n) GROUP BY x.name)
+      SELECT coalesce(core, name) AS name, sum(total_occurrences)::BIGINT AS total_occurrences, min(decision) AS decision, count(*) AS n_forms FROM names LEFT JOIN f USING (name) GROUP BY 1""",
+    "person_export": DOCS + """SELECT doc_id, first(text ORDER BY line_no, s) AS person_name, count(*) AS occurrences, CASE WHEN bool_or(decision = 'accepted') THEN 'accepted' ELSE 'review' END AS decision, max(score)::DOUBLE AS best_score,
+        string_agg('line ' || line_no || ', col ' || (s + 1), '; ' ORDER BY line_no, s) AS locations, first(array_to_string(pats, ', ') ORDER BY score DESC, line_no, s) AS why FROM judged GROUP BY doc_id, key HAVING bool_or(decision <> 'rejected')""",
+    "json_export": DOCS + "SELECT doc_id, to_json(struct_pack(doc_id := doc_id, accepted := a, review := r, rejected := x))::VARCHAR AS json FROM (SELECT doc_id, " + ", ".join(PEOPLE_LIST.format(k) + f" AS {v}" for k, v in (("accepted", "a"), ("review", "r"), ("rejected", "x"))) + " FROM people GROUP BY doc_id)",
+    "report_export": DOCS + """SELECT doc_id, 'accepted: ' || len(a) || chr(10) || array_to_string(list_concat(a, ['review: ' || len(r)], r), chr(10)) AS report FROM (SELECT doc_id,
+        coalesce(list('  ' || display || ' x' || occurrences ORDER BY '  ' || display || ' x' || occurrences) FILTER (decision = 'accepted'), []) AS a,
+        coalesce(list('  ' || display || ' x' || occurrences ORDER BY '  ' || display || ' x' || occurrences) FILTER (decision = 'review'), []) AS r FROM people GROUP BY doc_id)""",
+    "scan_export": DOCS + SCAN + "SELECT * FROM scan_rows",
+    "scan_metrics": DOCS + SCAN + """, one AS (SELECT count(*)::DOUBLE AS files, count(*) FILTER (status = 'ok')::DOUBLE AS ok, sum(num_names)::DOUBLE AS names, round_even(100 * count(*) FILTER (status = 'ok') / count(*), 2) AS coverage_percent FROM scan_rows)
+      SELECT metric, value FROM (UNPIVOT one ON files, ok, names, coverage_percent INTO NAME metric VALUE value)""",
+    "one_to_one_matches": DOCS + GOLD + """, g AS (SELECT doc_id, line_no, list(struct_pack(s := s, e := e) ORDER BY s, e) AS gs FROM gold GROUP BY ALL), p AS (SELECT doc_id, line_no, list(struct_pack(s := s, e := e) ORDER BY s, e) AS ps FROM acc GROUP BY ALL
+      ), steps AS (
+        WITH RECURSIVE steps AS (
+          SELECT doc_id, line_no, coalesce(gs, []) AS gs, coalesce(ps, []) AS ps, 1 AS i, []::BIGINT[] AS used FROM g FULL JOIN p USING (doc_id, line_no)
+          UNION ALL
+          SELECT doc_id, line_no, gs, ps, i + 1, list_concat(used, list_filter(range(1, len(ps) + 1), lambda k: ps[k].s < gs[i].e AND gs[i].s < ps[k].e AND NOT list_contains(used, k))[1:1]) FROM steps WHERE i <= len(gs)
+        ) SELECT * FROM steps WHERE i > len(gs)
+      )SELECT doc_id, line_no, len(gs) AS n_gold, len(ps) AS n_predicted, len(used) AS n_matched FROM steps""",
+    "promotion_gate": DOCS + GOLD + f""", sh AS (SELECT text LIKE '% %' AS multi, count(*) AS n, count(*) FILTER (EXISTS (FROM acc y WHERE {HIT})) AS b, count(*) FILTER (EXISTS (FROM acc y WHERE y.text LIKE '% %' AND {HIT})) AS a FROM gold x GROUP BY 1)
+      SELECT round_even(max(b / n - a / n), 4) AS worst_drop, max(b / n - a / n) <= 0.02 AS promote FROM sh""",
+    "threshold_what_if": DOCS + """SELECT scenario, threshold, count(*) FILTER (decision = 'accepted' AND (scenario = 'promote' OR score::DOUBLE / 2 >= threshold) OR decision = 'review' AND scenario <> 'cleanup' AND score::DOUBLE / 2 >= threshold) AS n_accepted
+      FROM judged, (VALUES ('cleanup'), ('promote'), ('both')) AS a(scenario), (VALUES (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)) AS b(threshold) GROUP BY ALL""",
+    "gold_labels": DOCS + GOLD + f"SELECT doc_id, line_no, s AS span_start, text, (EXISTS (FROM gold y WHERE {HIT}))::INT AS label FROM judged x",
+    "gold_extension": DOCS + GOLD + f", f AS (SELECT DISTINCT doc_id, string_split(text, ' ')[1] AS tok FROM gold WHERE text LIKE '% %') SELECT x.doc_id, x.line_no, x.s AS span_start, x.e AS span_end, x.tok AS text FROM flagged x SEMI JOIN f ON f.doc_id = x.doc_id AND f.tok = x.tok WHERE NOT EXISTS (FROM gold y WHERE {HIT})",
+    "weighted_training_rows": "SELECT doc_id, unnest(range(1, CASE WHEN source = 'web' THEN 4 ELSE 2 END)) AS copy FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "roster_vouchers": "WITH messages AS (SELECT conv_id * 10000 + turn AS doc_id, text FROM conversations), " + spans_of("messages") + """, m AS (SELECT doc_id // 10000 AS conv_id, doc_id % 10000 AS turn, key AS name, decision FROM judged
+      ), f AS (SELECT conv_id, string_split(name, ' ')[1] AS name, min(turn) AS since FROM m WHERE decision = 'accepted' AND name LIKE '% %' GROUP BY ALL)
+      SELECT DISTINCT conv_id, turn, name, since FROM m JOIN f USING (conv_id, name) WHERE decision = 'review' AND name NOT LIKE '% %' AND since < turn""",
 }
 ORACLE_SQL = {k: v.replace(")SELECT", ")\nSELECT") for k, v in ORACLE_SQL.items()}

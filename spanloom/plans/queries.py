@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, detect, evaluate, feedback, lexicon, refine
+from ..operators import candidates, context, detect, evaluate, export, feedback, lexicon, refine
 from ..sources import readers
 from ..streaming import sessions
 from . import fixtures
@@ -313,3 +313,114 @@ def latency_quantiles(spark, d):
     e = table(spark, d, "events").where("value is not null")
     ranked = e.selectExpr("event_type", "value", "row_number() over (partition by event_type order by value) - 1 as k", "count(*) over (partition by event_type) as n")
     return ranked.where("k = floor(0.95 * (n - 1))").select("event_type", "n", F.col("value").alias("p95"))
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "line_no", F.col("start").alias("span_start"), "text", "decision")
+
+
+@query
+def context_rules(spark, d):
+    docs = docs_of(spark, d)
+    return context.judged_in_context(judged_of(spark, d), docs).select("doc_id", "line_no", F.col("start").alias("span_start"), "text", F.coalesce("failed", F.lit("-")).alias("failed"), F.col("score").cast("double").alias("score"), "decision")
+
+
+@query
+def sentence_starts(spark, d):
+    docs = docs_of(spark, d)
+    rows = context.with_line(detect.words(docs), docs)
+    return rows.select("doc_id", "line_no", F.col("start").alias("span_start"), context.opens_sentence(F.col("prefix")).alias("opens"), context.in_quotes(F.col("prefix")).alias("quoted"))
+
+
+@query
+def neighbour_words(spark, d):
+    rows = context.with_line(judged_of(spark, d), docs_of(spark, d))
+    return rows.select("doc_id", "line_no", F.col("start").alias("span_start"), F.array_join(context.words_before(F.col("prefix")), " ").alias("before"), F.array_join(context.words_after(F.col("suffix")), " ").alias("after"))
+
+
+@query
+def promoted_names(spark, d):
+    return _found(refine.promoted(judged_of(spark, d)))
+
+
+@query
+def lone_caps(spark, d):
+    flagged = docs_of(spark, d).where(T.is_short_non_prose(F.col("text")))
+    return _found(refine.lone_capped(judged_of(spark, d), flagged))
+
+
+@query
+def collection_merge(spark, d):
+    return refine.merged_collection(candidates.collection(candidates.persons(judged_of(spark, d))))
+
+
+@query
+def person_export(spark, d):
+    return export.person_rows(judged_of(spark, d))
+
+
+@query
+def json_export(spark, d):
+    return export.document_json(candidates.persons(judged_of(spark, d)))
+
+
+@query
+def report_export(spark, d):
+    return export.document_report(candidates.persons(judged_of(spark, d)))
+
+
+def _scan(spark, d) -> DataFrame:
+    files = docs_of(spark, d).select("doc_id", F.when(T.is_english(F.col("text")), "ok").otherwise("skipped: not_english").alias("status"))
+    return export.scan_rows(files, candidates.persons(judged_of(spark, d)))
+
+
+@query
+def scan_export(spark, d):
+    return _scan(spark, d)
+
+
+@query
+def scan_metrics(spark, d):
+    return export.scan_metrics(_scan(spark, d))
+
+
+@query
+def one_to_one_matches(spark, d):
+    accepted, gold = _evaluated(spark, d)
+    return evaluate.one_to_one(gold, accepted)
+
+
+@query
+def promotion_gate(spark, d):
+    accepted, gold = _evaluated(spark, d)
+    return evaluate.promotion_gate(evaluate.shape_recall(gold, accepted), evaluate.shape_recall(gold, accepted.where("instr(text, ' ') > 0")))
+
+
+@query
+def threshold_what_if(spark, d):
+    scored = judged_of(spark, d).select(F.col("key").alias("name"), "decision", (F.col("score").cast("double") / 2).alias("p"))
+    return evaluate.what_if(scored)
+
+
+@query
+def gold_labels(spark, d):
+    gold = fixtures.gold(fixtures.marked(table(spark, d, "documents").select("doc_id", "text")))
+    return feedback.labelled(judged_of(spark, d), gold).select("doc_id", "line_no", F.col("start").alias("span_start"), "text", "label")
+
+
+@query
+def gold_extension(spark, d):
+    gold = fixtures.gold(fixtures.marked(table(spark, d, "documents").select("doc_id", "text")))
+    return _spans(feedback.first_name_gold(gold, detect.words(docs_of(spark, d))))
+
+
+@query
+def weighted_training_rows(spark, d):
+    rows = feedback.without_sources(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), "doc_id")
+    return feedback.weighted(rows, F.col("source") == "web").select("doc_id", "copy")
+
+
+@query
+def roster_vouchers(spark, d):
+    rows = candidates.judged(candidates.canonical(candidates.overlap_groups(detect.detections(_messages(spark, d)))))
+    return sessions.vouched(rows.select(F.expr("doc_id div 10000").alias("conv_id"), (F.col("doc_id") % 10_000).alias("turn"), F.col("key").alias("name"), "decision"))

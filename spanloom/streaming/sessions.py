@@ -44,3 +44,10 @@ def stream_windows(messages: DataFrame, cap: int = CAP) -> DataFrame:
     return messages.groupBy("conv_id").applyInPandasWithState(
         step, "conv_id long, turn long, first_turn long, n_messages long, n_chars long", "turns array<long>, sizes array<long>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def vouched(mentions: DataFrame) -> DataFrame:
+    """mentions: (conv_id, turn, name, decision), names in lower case. Lone names under review after an accepted full name with that first word."""
+    known = mentions.where("decision = 'accepted' and instr(name, ' ') > 0").groupBy("conv_id", F.substring_index("name", " ", 1).alias("name")).agg(F.min("turn").alias("since"))
+    lone = mentions.where("decision = 'review' and instr(name, ' ') = 0")
+    return lone.join(known, ["conv_id", "name"]).where("since < turn").select("conv_id", "turn", "name", "since").distinct()
