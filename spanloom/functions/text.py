@@ -94,3 +94,50 @@ def html_to_text(html: Column) -> Column:
         t = F.replace(t, F.lit(name), F.lit(char))
     t = F.regexp_replace(F.regexp_replace(t, "[ \\t]+", " "), " ?\\n ?", "\n")
     return F.btrim(F.regexp_replace(t, "\\n{3,}", "\n\n"), F.lit(" \n"))
+
+
+# Letters that have no decomposition, and what stands for them.
+LETTERS = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Þ": "Th", "þ": "th", "ı": "i", "Ħ": "H", "ħ": "h"}
+
+
+def _accents() -> dict[str, str]:
+    """Latin letters with marks, and the letters without."""
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and c not in LETTERS:
+            found[c] = plain
+    return found
+
+
+def fold_accents(text: Column) -> Column:
+    """Latin letters without their marks."""
+    table = _accents()
+    for c, plain in [*LETTERS.items(), *((c, x) for c, x in table.items() if len(x) > 1)]:
+        text = F.replace(text, F.lit(c), F.lit(plain))
+    single = {c: x for c, x in table.items() if len(x) == 1}
+    return F.regexp_replace(F.translate(text, "".join(single), "".join(single.values())), "[\\u0300-\\u036F]", "")
+
+
+def sentences(line: Column) -> Column:
+    """A line cut after . ! or ? and blanks before a capital or a quotation mark with one."""
+    return F.split(line, "(?<=[.!?])\\s+(?=[\"']?[A-Z])", -1)
+
+
+def chunk_sizes(text: Column, cap: int = 400_000) -> Column:
+    """Lengths of the chunks of at most cap characters that whole lines fill from the first on; longer lines are cut."""
+    lengths = F.transform(F.split(text, "\n", -1), lambda x: F.length(x) + 1)
+    pieces = F.flatten(F.transform(lengths, lambda n: F.concat(F.array_repeat(F.lit(cap), F.floor(n / cap).cast("int")), F.filter(F.array((n % cap).cast("int")), lambda r: r > 0))))
+    fold = "struct<done:array<int>,open:int>"
+
+    def add(state, n):
+        fits = state["open"] + n <= cap
+        return F.struct(F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"), F.when(fits, state["open"] + n).otherwise(n).alias("open")).cast(fold)
+
+    start = F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("open")).cast(fold)
+    return F.aggregate(pieces, start, add, lambda s: F.concat(s["done"], F.array(s["open"])))
+
+
+def entity_parts(entity: Column) -> Column:
+    """The parts of an entity between line ends and words with digits."""
+    return F.filter(F.transform(F.split(entity, "\n|\\S*[0-9]\\S*"), lambda x: F.btrim(x)), lambda x: x != "")

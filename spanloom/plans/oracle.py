@@ -303,5 +303,27 @@ ORACLE_SQL = {
     "roster_vouchers": "WITH messages AS (SELECT conv_id * 10000 + turn AS doc_id, text FROM conversations), " + spans_of("messages") + """, m AS (SELECT doc_id // 10000 AS conv_id, doc_id % 10000 AS turn, key AS name, decision FROM judged
       ), f AS (SELECT conv_id, string_split(name, ' ')[1] AS name, min(turn) AS since FROM m WHERE decision = 'accepted' AND name LIKE '% %' GROUP BY ALL)
       SELECT DISTINCT conv_id, turn, name, since FROM m JOIN f USING (conv_id, name) WHERE decision = 'review' AND name NOT LIKE '% %' AND since < turn""",
+    "classified_decisions": DOCS + f"""
+      , x AS (SELECT j.*, doc_id % 10 / 10 AS p, NOT regexp_matches(line[:s], '[A-Za-z'']') AND NOT regexp_matches(line[e + 1:], '[A-Za-z'']') AS isolated, len(list_filter(ws, lambda w: w IN {_in('common')})) = 0 AS uncommon FROM judged j JOIN lines USING (doc_id, line_no)
+      ), y AS (SELECT * EXCLUDE (score), CASE WHEN failed IS NOT NULL THEN 0 ELSE score + (1.05 * p::DECIMAL(6, 4))::DECIMAL(8, 4) END::DECIMAL(8, 4) AS score,
+          sure OR list_contains(pats, 'dictionary_single_token') AND p >= 0.1 OR uncommon AND reps >= 4 AND (p >= 0.85 OR isolated AND p >= 0.1) AS backed FROM x)
+      SELECT doc_id, line_no, s AS span_start, text, score::DOUBLE AS score, CASE WHEN score >= 0.75 AND backed THEN 'accepted' WHEN score >= 0.45 AND NOT backed AND common THEN 'rejected' WHEN score >= 0.45 THEN 'review' ELSE 'rejected' END AS decision FROM y""",
+    "folded_names": "SELECT c_custkey, c_name || [' Zizek', ' Lodz', ' Strasse AEro', ' Nguyen', ' Thor'][c_custkey % 5 + 1] AS folded FROM customer",
+    "sentence_split": DOCS + r"""SELECT doc_id, line_no, i - 1 AS ix, ss[i] AS sentence FROM (SELECT doc_id, line_no, string_split(regexp_replace(line, '([.!?])\s+(["'']?[A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ss FROM lines), unnest(range(1, len(ss) + 1)) AS r(i)""",
+    "line_chunks": DOCS + """, pieces AS (SELECT doc_id, list(least(2000, size - k * 2000) ORDER BY line_no, k) AS ps FROM (SELECT doc_id, line_no, length(line) + 1 AS size FROM lines), unnest(range(0, (size - 1) // 2000 + 1)) AS r(k) GROUP BY doc_id
+      ), fill AS (
+        WITH RECURSIVE fill AS (
+          SELECT doc_id, ps, 1 AS i, 0::BIGINT AS open, 1 AS n, 0::BIGINT AS longest FROM pieces
+          UNION ALL
+          SELECT doc_id, ps, i + 1, CASE WHEN open + ps[i] <= 2000 THEN open + ps[i] ELSE ps[i] END, CASE WHEN open + ps[i] <= 2000 THEN n ELSE n + 1 END, greatest(longest, CASE WHEN open + ps[i] <= 2000 THEN open + ps[i] ELSE ps[i] END) FROM fill WHERE i <= len(ps)
+        ) SELECT * FROM fill WHERE i > len(ps)
+      )SELECT doc_id, n AS n_chunks, longest, open AS last FROM fill""",
+    "entity_segments": r"SELECT p_partkey, i - 1 AS ix, ps[i] AS part FROM (SELECT p_partkey, list_filter(list_transform(string_split_regex(p_name || ' 12b ' || p_type || chr(10) || p_brand || ' x', '\n|\S*[0-9]\S*'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM part), unnest(range(1, len(ps) + 1)) AS r(i)",
+    "path_excludes": "SELECT page_id, CASE WHEN url LIKE '%7' THEN '*7' WHEN lower(url) LIKE '%/en/%' THEN '*/EN/*' WHEN regexp_matches(url, '/.8$') THEN '?8' ELSE '-' END AS excluded_by FROM pages",
+    "window_texts": """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) + 1 AS size, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS until FROM conversations)
+      SELECT t.conv_id, t.turn, length(string_agg(s.text, chr(10) ORDER BY s.turn)) AS n_chars, sha256(string_agg(s.text, chr(10) ORDER BY s.turn)) AS sha256
+      FROM c t JOIN c s ON s.conv_id = t.conv_id AND s.turn <= t.turn AND (s.turn = t.turn OR t.until - s.until + s.size <= 600) GROUP BY ALL""",
+    "span_check": DOCS + "SELECT doc_id, line_no, s AS span_start, line[s + 1:e] = text AS verbatim FROM judged JOIN lines USING (doc_id, line_no)",
+    "name_contexts": DOCS + "SELECT key AS name, first(line[greatest(s - 80, 0) + 1:s] || '[[' || line[s + 1:e] || ']]' || line[e + 1:e + 80] ORDER BY doc_id, line_no, s) AS excerpt FROM judged JOIN lines USING (doc_id, line_no) GROUP BY key",
 }
 ORACLE_SQL = {k: v.replace(")SELECT", ")\nSELECT") for k, v in ORACLE_SQL.items()}

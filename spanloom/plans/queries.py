@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, context, detect, evaluate, export, feedback, lexicon, refine
+from ..operators import candidates, context, detect, evaluate, export, feedback, learn, lexicon, refine
 from ..sources import readers
 from ..streaming import sessions
 from . import fixtures
@@ -424,3 +424,64 @@ def weighted_training_rows(spark, d):
 def roster_vouchers(spark, d):
     rows = candidates.judged(candidates.canonical(candidates.overlap_groups(detect.detections(_messages(spark, d)))))
     return sessions.vouched(rows.select(F.expr("doc_id div 10000").alias("conv_id"), (F.col("doc_id") % 10_000).alias("turn"), F.col("key").alias("name"), "decision"))
+
+
+@query
+def classifier_scores(spark, d):
+    """Trees learned from the planted mentions, then the probability of every candidate that no rule rejects."""
+    docs, j = table(spark, d, "documents").select("doc_id", "text"), judged_of(spark, d)
+    rows = refine.features(j).withColumnRenamed("span_start", "start")
+    marked = feedback.labelled(j, fixtures.gold(fixtures.marked(docs))).select("doc_id", "line_no", "start", "label")
+    model = learn.train(rows.join(marked, ["doc_id", "line_no", "start"]))
+    return learn.scored(rows, model).select("doc_id", "line_no", F.col("start").alias("span_start"), "p")
+
+
+@query
+def classified_decisions(spark, d):
+    rows = judged_of(spark, d).withColumn("p", F.col("doc_id") % 10 / 10)
+    return learn.decided(rows, docs_of(spark, d)).select("doc_id", "line_no", F.col("start").alias("span_start"), "text", F.col("score").cast("double").alias("score"), "decision")
+
+
+@query
+def folded_names(spark, d):
+    tail = F.element_at(F.array(*map(F.lit, (" Žižek", " Łódź", " Straße Ærø", " Nguyễn", " Þór"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", T.fold_accents(F.concat("c_name", tail)).alias("folded"))
+
+
+@query
+def sentence_split(spark, d):
+    return detect.lines(docs_of(spark, d)).select("doc_id", "line_no", F.posexplode(T.sentences(F.col("line"))).alias("ix", "sentence"))
+
+
+@query
+def line_chunks(spark, d):
+    return docs_of(spark, d).select("doc_id", T.chunk_sizes(F.col("text"), 2000).alias("c")).select("doc_id", F.size("c").alias("n_chunks"), F.array_max("c").alias("longest"), F.element_at("c", -1).alias("last"))
+
+
+@query
+def entity_segments(spark, d):
+    text = F.concat("p_name", F.lit(" 12b "), "p_type", F.lit("\n"), "p_brand", F.lit(" x"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(T.entity_parts(text)).alias("ix", "part"))
+
+
+@query
+def path_excludes(spark, d):
+    return table(spark, d, "pages").select("page_id", F.coalesce(readers.excluded_by(F.col("url"), ["*7", "*/EN/*", "?8"]), F.lit("-")).alias("excluded_by"))
+
+
+@query
+def window_texts(spark, d):
+    t = sessions.window_texts(table(spark, d, "conversations"), 600)
+    return t.select("conv_id", "turn", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
+@query
+def span_check(spark, d):
+    rows = context.with_line(judged_of(spark, d), docs_of(spark, d))
+    return rows.select("doc_id", "line_no", F.col("start").alias("span_start"), (F.substring("line", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")).alias("verbatim"))
+
+
+@query
+def name_contexts(spark, d):
+    rows = context.with_line(judged_of(spark, d), docs_of(spark, d))
+    return rows.groupBy(F.col("key").alias("name")).agg(F.min_by(T.excerpt(F.col("line"), F.col("start"), F.col("end"), 80), F.struct("doc_id", "line_no", "start")).alias("excerpt"))

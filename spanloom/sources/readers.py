@@ -7,6 +7,7 @@ import email.policy
 import html.parser
 import io
 import json
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 
@@ -169,3 +170,17 @@ def read_folder(spark: SparkSession, path: str, exclude: str | None = None) -> D
     """All files below a folder, but those whose path matches the pattern exclude."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return parse(files.where(~F.col("path").rlike(exclude)) if exclude else files)
+
+
+def excluded_by(path: Column, globs: list[str]) -> Column:
+    """The first pattern that matches a path's last part or the whole path in any case, else null; a backslash counts as a slash."""
+    path = F.lower(F.translate(path, "\\", "/"))
+    name = F.substring_index(path, "/", -1)
+    regexes = [(g, "(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g.lower().replace("\\", "/")) + "$") for g in globs]
+    return F.coalesce(*[F.when(name.rlike(r) | path.rlike(r), F.lit(g)) for g, r in regexes], F.lit(None).cast("string"))
+
+
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """(key): the lines of a list in lower case, without comments and empty ones."""
+    keys = spark.read.text(path).select(F.lower(F.btrim("value")).alias("key"))
+    return keys.where("key <> '' and not startswith(key, '#')").distinct()

@@ -51,3 +51,12 @@ def vouched(mentions: DataFrame) -> DataFrame:
     known = mentions.where("decision = 'accepted' and instr(name, ' ') > 0").groupBy("conv_id", F.substring_index("name", " ", 1).alias("name")).agg(F.min("turn").alias("since"))
     lone = mentions.where("decision = 'review' and instr(name, ' ') = 0")
     return lone.join(known, ["conv_id", "name"]).where("since < turn").select("conv_id", "turn", "name", "since").distinct()
+
+
+def window_texts(messages: DataFrame, cap: int = CAP) -> DataFrame:
+    """(conv_id, turn, text): the messages of each window of rolling_window(), joined by line ends; a window holds cap characters or one message."""
+    w = rolling_window(messages, cap).select("conv_id", "turn", "first_turn").alias("w")
+    m = messages.select("conv_id", F.col("turn").alias("at"), F.coalesce("text", F.lit("")).alias("text")).alias("m")
+    held = w.join(m, (F.col("w.conv_id") == F.col("m.conv_id")) & F.col("at").between(F.col("first_turn"), F.col("turn")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+    return held.groupBy("w.conv_id", "turn").agg(F.array_join(texts, "\n").alias("text"))
