@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from operator import add
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core: threads of the tokenizer would only wait for each other
 
@@ -72,13 +73,13 @@ class WordCoder:
         raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [raw[s:e] for s, e in zip(at, at[1:])]
 
-    def _recalled(self, parts: list[str]) -> list[str]:
+    def _recalled(self, parts: set[str]) -> set[str]:
         """Moves what older knows to the known ones; returns the others."""
-        older = self.older
-        self.known.update((p, older[p]) for p in parts if p in older)
-        return [p for p in parts if p not in older]
+        again = self.older.keys() & parts
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        return parts - again
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: set[str]) -> None:
         """Adds the parts to the known ones. Most are a word, or a word and a mark; only the others are searched for pieces."""
         known, pieces, other, cut = self.known, set(), [], {}
         parts = self._recalled(parts)
@@ -101,10 +102,9 @@ class WordCoder:
             else:
                 cut[p] = SPLIT.findall(low)
         pieces.update(words, marks, *cut.values())
-        new = self._recalled([p for p in pieces if p not in known])
+        new = list(self._recalled(pieces.difference(known)))
         known.update(zip(new, self._encode(new) if new else ()))
-        for p, word, mark in zip(marked, words, marks):
-            known[p] = known[word] + known[mark]
+        known.update(zip(marked, map(add, map(known.__getitem__, words), map(known.__getitem__, marks))))
         for p, own in cut.items():
             known[p] = b"".join(map(known.__getitem__, own))
         known.update(zip(other, self._each(other) if other else ()))
@@ -112,10 +112,10 @@ class WordCoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         known = self.known
         cut = [(t.lower() if t.isascii() or LATIN.fullmatch(t) else t).replace("\n", " ").split(" ") for t in texts]
-        new = [p for p in set().union(*cut) if p not in known]
+        new = set().union(*cut).difference(known)
         self._learn(new)
         out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        if any(len(p) > LONG_PART for p in new):  # these would make the cache large
+        if max(map(len, new), default=0) > LONG_PART:  # these would make the cache large
             self.forget()
         elif len(known) > CACHED:
             self.known, self.older = {"": b""}, known
