@@ -57,14 +57,17 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long)."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", more: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, fp long), and the columns of docs that more names with their types."""
+    more = more or {}
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), size) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
+            prints = pa.array([fingerprint(t.as_py(), size) for t in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), prints, *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{k} {v}" for k, v in more.items())]))
 
 
 def masks(radius: int, seed: int) -> list[int]:
@@ -138,13 +141,17 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
     return dealt_out.mapInArrow(_forests(radius), "u long, v long")
 
 
-def near_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """prints: (doc_id, fp), written out. Adds component_id, the smallest doc_id reachable."""
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component, component_id): component is a fingerprint that names it alone; several components may share a component_id."""
     classes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     joined = connected_components(links(classes, radius)).select(F.col("node").alias("fp"), "component")
     named = classes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component", "component_id")
+
+
+def near_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints: (doc_id, fp), written out. Adds component_id, the smallest doc_id reachable."""
+    return prints.join(_components(prints, radius), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,12 +161,20 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, id_co
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the rows with its smallest doc_id, with all columns; of rows that repeat that id, one."""
-    prints = scratch.table(fingerprints(docs, SHINGLE, id_col, text_col), "prints")
-    least = F.lit(-(2**63))
-    stay = near_components(prints).where("doc_id <=> component_id").select(F.coalesce("doc_id", least).alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), least)).join(stay, "__id", "left_semi")
-    one = Window.partitionBy("__id").orderBy(F.length(F.col(text_col)).desc_nulls_last())
+    """Of each component one row, with all columns: the one of the smallest doc_id (null last), there the longest, then by hash.
+
+    The row is found again by id and text, so that rows without an id, or with one id and different texts, go by their own
+    components.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = {"__id": F.col(id_col).cast("long"), "__sha": F.sha2(text, 256)}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    prints = fingerprints(rows.select("doc_id", "text", F.sha2("text", 256).alias("sha"), F.length("text").alias("n")), more={"sha": "string", "n": "int"})
+    prints = scratch.table(prints, "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", (-F.col("n")).alias("n"), "sha")).alias("first")
+    stay = prints.join(_components(prints, RADIUS), "fp").groupBy("component").agg(first).select(F.col("first.doc_id").alias("__stay"), F.col("first.sha").alias("__sha"))
+    rows = docs.withColumns(key).alias("r").join(stay.alias("s"), F.expr("r.__id <=> s.__stay and r.__sha = s.__sha"), "left_semi")
+    one = Window.partitionBy("__id", "__sha").orderBy(F.col(text_col).isNull())
     return rows.withColumn("__no", F.row_number().over(one)).where("__no = 1").select(*docs.columns)
 
 

@@ -157,6 +157,14 @@ def test_simhash(spark, rows):
     assert simhash.keep_one(frame(spark, rows)).count() == len(set(find(k) for k in range(len(rows))))
 
 
+def test_keep_one_goes_by_rows(spark):
+    """Unrelated texts without an id, or under one id, all stay; a copy without an id goes."""
+    texts = [" ".join(f"{w}{k}" for k in range(30)) for w in ("red", "green", "blue", "grey", "pink")]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4]), (9, texts[2]), (7, texts[2])]
+    got = simhash.keep_one(frame(spark, rows)).select("doc_id", "text").collect()
+    assert by_key(got) == by_key([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])])
+
+
 @pytest.mark.parametrize("bucket", [2, 1024])
 def test_covering_tables_lose_no_pair(spark, bucket):
     assert simhash.covered(3, 1) and simhash.covered(3, 2)
