@@ -4,7 +4,9 @@ A paragraph is a line of LEAST_WORDS words or more; shorter ones are never remov
 shingles, with A-Z in lower case. Paragraphs of equal sets are one class. A class has BANDS keys of ROWS minima each, tuned for
 recall: a pair of similarity 0.8 shares a key with a chance of 1-(1-0.8**2)**6 = 99.8 %. Classes that share a key are joined
 with their sets, and exact Jaccard of SIMILAR or more links them; a bucket gives the edges of a spanning forest, never all pairs.
-Buckets of more than BUCKET classes are dealt again by the other bands' keys. Of each component the paragraph of the
+Buckets of more than BUCKET classes are split without loss: the 0.2 n + 1 shingles of a set of n that are rarest in the bucket
+meet those of every set as similar, so classes are dealt by them; those that a very common shingle keeps together are dealt
+by length, and then by pairs of blocks, so that no task holds more than about BUCKET sets. Of each component the paragraph of the
 smallest doc_id, and there the first, stays; all others are removed, in the same document too.
 
 Null text counts as empty: no paragraph. Rows that repeat an id and a text are one document's copies: of equal paragraphs in
@@ -15,11 +17,12 @@ text column are read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -37,7 +40,8 @@ ODD = _random.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 class Shingler:
     """Sets of shingle hashes; words' hashes are kept until the table is full."""
 
-    def __init__(self):
+    def __init__(self, least_words: int = LEAST_WORDS, whole: bool = False):
+        self.least_words, self.whole = max(least_words, SHINGLE), whole
         self.words: dict[bytes, int] = {}
 
     def _hashes(self, words: list[bytes]) -> np.ndarray:
@@ -49,12 +53,12 @@ class Shingler:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def paragraphs(self, text: bytes, wanted=None):
-        """Yields (line number, sorted set of shingle hashes) of the lines of LEAST_WORDS words or more."""
-        for number, line in enumerate(text.lower().split(b"\n")):
+        """Yields (line number, sorted set of shingle hashes) of the lines of least_words words or more; the whole text may be line 0."""
+        for number, line in enumerate([text.lower()] if self.whole else text.lower().split(b"\n")):
             if wanted is not None and number not in wanted:
                 continue
             words = line.split()
-            if len(words) < LEAST_WORDS:
+            if len(words) < self.least_words:
                 continue
             h = self._hashes(words)
             n = len(h) - SHINGLE + 1
@@ -69,29 +73,35 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return (minima * ODD[40 : 40 + ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _signatures(batches):
-    shingler = Shingler()
-    for b in batches:
-        out = []
-        for rd, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            for number, s in shingler.paragraphs(text.as_py()):
-                c = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                out.append((rd, rk, number, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True), band_keys(s)))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["rd", "rk", "par", "c1", "c2", "bands"])
+def _signatures(least_words: int, whole: bool):
+    def run(batches):
+        shingler = Shingler(least_words, whole)
+        for b in batches:
+            out = []
+            for rd, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                for number, s in shingler.paragraphs(text.as_py()):
+                    c = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    out.append((rd, rk, number, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True), band_keys(s)))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["rd", "rk", "par", "c1", "c2", "bands"])
 
+    return run
 
-def _sets(batches):
-    shingler = Shingler()
-    for b in batches:
-        out = []
-        for text, wanted in zip(b.column(0), b.column(1).to_pylist()):
-            cids: dict[int, list[int]] = {}
-            for w in wanted:
-                cids.setdefault(w["par"], []).append(w["cid"])
-            for number, s in shingler.paragraphs(text.as_py(), cids):
-                out += [(cid, s.tobytes()) for cid in cids[number]]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cid", "shingles"])
+
+def _sets(least_words: int, whole: bool):
+    def run(batches):
+        shingler = Shingler(least_words, whole)
+        for b in batches:
+            out = []
+            for text, wanted in zip(b.column(0), b.column(1).to_pylist()):
+                cids: dict[int, list[int]] = {}
+                for w in wanted:
+                    cids.setdefault(w["par"], []).append(w["cid"])
+                for number, s in shingler.paragraphs(text.as_py(), cids):
+                    out += [(cid, s.tobytes()) for cid in cids[number]]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cid", "shingles"])
+
+    return run
 
 
 def spanning(ids: list[int], sets: list[np.ndarray], similar: float = SIMILAR):
@@ -130,27 +140,76 @@ def _verify(batches):
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*edges) if edges else [[], []])], ["u", "v"])
 
 
-def paragraph_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rd, rk, par, first_rd, first_par): the paragraphs of components of two or more, with the paragraph that stays."""
-    texts = keyed(docs, id_col, text_col)
-    rows = scratch.table(texts.mapInArrow(_signatures, "rd long, rk long, par int, c1 long, c2 long, bands array<long>"), "paragraphs")
+def prefix_length(n: int, similar: float = SIMILAR) -> int:
+    """Of a set of n in any order common to all sets: any set as similar has one of its first so many among its own."""
+    return n - math.ceil(similar * n - 1e-9) + 1
+
+
+def _shingles(batches):
+    """Rows (band, key, cid, shingles) to one row a shingle, with the set's length group and prefix length."""
+    for b in batches:
+        sets = [np.frombuffer(x.as_py(), np.uint64).view(np.int64) for x in b.column(3)]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        # sets as similar have sizes within a factor of 1.25, so groups are equal or next to each other
+        groups = [int(math.log(n) / math.log(1.2501)) for n in sizes.tolist()]
+        more = [np.repeat(np.array(x, np.int64), sizes) for x in (groups, [prefix_length(n) for n in sizes.tolist()])]
+        at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        shingle = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        columns = [b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), *map(pa.array, more), pa.array(shingle)]
+        yield pa.RecordBatch.from_arrays(columns, ["band", "key", "cid", "size", "prefix", "shingle"])
+
+
+def _split(hot: DataFrame, sets: DataFrame, bucket: int) -> DataFrame:
+    """Rows (cid, band, key) of large buckets to (cid, band, key, band2, key2): every similar pair of a bucket shares one of these."""
+    rows = hot.join(sets, "cid").select("band", "key", "cid", "shingles")
+    rows = scratch.table(rows.mapInArrow(_shingles, "band int, key long, cid long, size long, prefix long, shingle long"), "shingles")
+    one = ["band", "key", "shingle"]
+    rarest = Window.partitionBy("band", "key", "cid").orderBy("n", "shingle")
+    rows = rows.join(rows.groupBy(*one).agg(F.count("*").alias("n")), one).withColumn("rank", F.row_number().over(rarest))
+    rows = scratch.table(rows.where("rank <= prefix and n > 1").select(*one, "cid", "size"), "prefixes")
+    rows = rows.join(rows.groupBy(*one).agg(F.count("*").alias("n")).where("n > 1"), one)
+    small = rows.where(F.col("n") <= bucket).select("cid", "band", "key", F.lit(-2).alias("band2"), F.col("shingle").alias("key2"))
+    rest = rows.where(F.col("n") > bucket).select("band", "key", "cid", "size").distinct()
+    rest = rest.select("band", "key", "cid", F.explode(F.array("size", F.col("size") + 1).cast("array<int>")).alias("band2"))
+    place = ["band", "key", "band2"]
+    blocks = rest.groupBy(*place).agg(F.ceil(F.count("*") * 2 / bucket).alias("blocks"))
+    rest = rest.join(blocks, place).withColumn("own", F.pmod(F.xxhash64("cid"), "blocks"))
+    rest = rest.select("cid", *place, "own", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("own <> other or blocks = 1")
+    pair = F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")
+    return small.unionByName(rest.select("cid", *place, pair.alias("key2")))
+
+
+def _clusters(texts: DataFrame, least_words: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """texts: keyed(). Rows (rd, rk, par, c1, c2) of all paragraphs, and classes (c1, c2, n, rd, par, component)."""
+    spark = texts.sparkSession
+    rows = scratch.table(texts.mapInArrow(_signatures(least_words, whole), "rd long, rk long, par int, c1 long, c2 long, bands array<long>"), "paragraphs")
     classes = rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rd", "par", "rk", "bands")).alias("one"))
     classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("cid"), "c1", "c2", "n", "one.*"), "classes")
-    dealt = classes.select("cid", "bands", F.posexplode("bands").alias("band", "key"))
+    dealt = classes.select("cid", F.posexplode("bands").alias("band", "key"))
     shared = dealt.groupBy("band", "key").count().where("count > 1")
-    dealt = dealt.select("cid", "band", "key").join(shared, ["band", "key"])
-    dealt = scratch.table(dealt, "buckets")
-    wanted = classes.join(dealt.select("cid").distinct(), "cid", "left_semi").groupBy("rd", "rk").agg(F.collect_list(F.struct("cid", "par")).alias("wanted"))
-    sets = texts.join(wanted, ["rd", "rk"]).select("text", "wanted").mapInArrow(_sets, "cid long, shingles binary").dropDuplicates(["cid"])
-    small = dealt.where(F.col("count") <= BUCKET).select("cid", "band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"))
-    large = dealt.where(F.col("count") > BUCKET).join(classes.select("cid", "bands"), "cid").select("cid", "band", "key", F.posexplode("bands").alias("band2", "key2")).where("band2 <> band")
+    dealt = scratch.table(dealt.join(shared, ["band", "key"]), "buckets")
+
+    def sets_of(cids: DataFrame) -> DataFrame:
+        wanted = classes.join(cids.select("cid").distinct(), "cid", "left_semi").groupBy("rd", "rk").agg(F.collect_list(F.struct("cid", "par")).alias("wanted"))
+        return texts.join(wanted, ["rd", "rk"]).select("text", "wanted").mapInArrow(_sets(least_words, whole), "cid long, shingles binary").dropDuplicates(["cid"])
+
     keys = ["band", "key", "band2", "key2"]
-    buckets = small.unionByName(large).join(sets, "cid").select(*keys, "cid", "shingles").repartition(scratch.partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+    buckets = dealt.where(F.col("count") <= BUCKET).select("cid", "band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"))
+    hot = dealt.where(F.col("count") > BUCKET).select("cid", "band", "key")
+    if hot.head(1):
+        buckets = buckets.unionByName(_split(hot, sets_of(hot), BUCKET))
+    buckets = buckets.join(sets_of(dealt), "cid").select(*keys, "cid", "shingles").repartition(scratch.partitions(spark), *keys).sortWithinPartitions(*keys)
     joined = connected_components(buckets.mapInArrow(_verify, "u long, v long"))
     named = classes.select("cid", "c1", "c2", "n", "rd", "par").join(joined, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
+    return rows.select("rd", "rk", "par", "c1", "c2"), named.select("c1", "c2", "n", "rd", "par", "component")
+
+
+def paragraph_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """(rd, rk, par, first_rd, first_par): the paragraphs of components of two or more, with the paragraph that stays."""
+    rows, named = _clusters(keyed(docs, id_col, text_col), least_words)
     firsts = named.groupBy("component").agg(F.sum("n").alias("size"), F.min(F.struct("rd", "par")).alias("first")).where("size > 1")
     named = named.join(firsts, "component").select("c1", "c2", F.col("first.rd").alias("first_rd"), F.col("first.par").alias("first_par"))
-    return rows.select("rd", "rk", "par", "c1", "c2").join(named, ["c1", "c2"]).select("rd", "rk", "par", "first_rd", "first_par")
+    return rows.join(named, ["c1", "c2"]).select("rd", "rk", "par", "first_rd", "first_par")
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

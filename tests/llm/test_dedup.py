@@ -217,6 +217,35 @@ def test_paragraph_dedup(spark, rows):
     assert by_key(got) == by_key(want)
 
 
+@pytest.mark.parametrize("bucket", [2, 1024])
+def test_large_buckets_lose_no_pair(spark, monkeypatch, bucket):
+    """Whatever the bound, all pairs of 0.8 that share a band are linked; many share one band only, and that with others."""
+    monkeypatch.setattr(paragraph_dedup, "BUCKET", bucket)
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts = []
+    for size in [60] * 30 + [24, 40, 90, 200]:
+        base = [word() for _ in range(size)]
+        texts.append(base)
+        for _ in range(7):
+            near = list(base)
+            for at in r.sample(range(size), max(1, size // 50)):
+                near[at] = word()
+            texts.append(near)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [s for _, t in rows for _, s in paragraph_dedup.Shingler().paragraphs(t.encode())]
+    keys = [paragraph_dedup.band_keys(s).tolist() for s in sets]
+    near = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if any(a == b for a, b in zip(keys[i], keys[j])) and near(i, j)]
+    comp = list(range(len(sets)))
+    for _ in range(10):
+        for i, j in pairs:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    size = Counter(comp)
+    got = paragraph_dedup.paragraph_clusters(frame(spark, rows)).select("rd", "first_rd").collect()
+    assert by_key(got) == [(i, c) for i, c in enumerate(comp) if size[c] > 1]
+
+
 @pytest.mark.parametrize("what", [exact_dedup.exact_dedup, suffix_dedup.removals, simhash.near_dedup, line_dedup.line_dedup, paragraph_dedup.paragraph_dedup])
 def test_empty_table(spark, what):
     assert what(frame(spark, [])).collect() == []
