@@ -1,6 +1,7 @@
 """Substring dedup of paragraphs: MinHash banding, exact Jaccard, connected components.
 
-A paragraph is a line of LEAST_WORDS words or more; shorter ones are never removed. Its set is that of its SHINGLE-word
+A paragraph is a line of least_words words or more; shorter ones are never removed. The query takes every line that has a
+shingle, so SHINGLE words or more; LEAST_WORDS is the default for other callers. Its set is that of its SHINGLE-word
 shingles, with A-Z in lower case. Paragraphs of equal sets are one class. A class has BANDS keys of ROWS minima each, tuned for
 recall: a pair of similarity 0.8 shares a key with a chance of 1-(1-0.8**2)**6 = 99.8 %. Classes that share a key are joined
 with their sets, and exact Jaccard of SIMILAR or more links them; a bucket gives the edges of a spanning forest, never all pairs.
@@ -212,7 +213,7 @@ def paragraph_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, ["c1", "c2"]).select("rd", "rk", "par", "first_rd", "first_par")
 
 
-def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, clusters, kept_sha256) for each row of docs.
 
     clusters lists the row's paragraphs that have near copies: line number, and doc_id and line number of the one that stays.
@@ -233,9 +234,9 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kinds = [pa.int64(), pa.int64(), pa.int64(), kind, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "n_lines", "n_removed", "clusters", "kept_sha256"])
 
-    found = paragraph_clusters(docs, id_col, text_col).groupBy("rd", "rk").agg(F.collect_set(F.struct("par", "first_rd", "first_par")).alias("found"))
+    found = paragraph_clusters(docs, id_col, text_col, least_words).groupBy("rd", "rk").agg(F.collect_set(F.struct("par", "first_rd", "first_par")).alias("found"))
     return keyed(docs, id_col, text_col).join(found, ["rd", "rk"], "left").select("rd", "text", "found").mapInArrow(run, schema)
 
 
 def op6_paragraph_minhash(spark, sf_dir: str) -> DataFrame:
-    return paragraph_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return paragraph_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=SHINGLE)

@@ -246,6 +246,15 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch, bucket):
     assert by_key(got) == [(i, c) for i, c in enumerate(comp) if size[c] > 1]
 
 
+def test_paragraph_query_takes_short_lines(spark, tmp_path):
+    """A text wrapped to lines of five to seven words is found again; a line of four words has no shingle."""
+    lines = ["one two three four five", "six seven eight nine ten eleven", "a b c d", "k l m n o p q"]
+    frame(spark, [(1, "\n".join(lines)), (2, "\n".join(["own", *lines]))]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = paragraph_dedup.op6_paragraph_minhash(spark, str(tmp_path)).select("doc_id", "n_removed", "kept_sha256").collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert by_key(got) == [(1, 0, sha("\n".join(lines))), (2, 3, sha("own\na b c d"))]
+
+
 @pytest.mark.parametrize("what", [exact_dedup.exact_dedup, suffix_dedup.removals, simhash.near_dedup, line_dedup.line_dedup, paragraph_dedup.paragraph_dedup])
 def test_empty_table(spark, what):
     assert what(frame(spark, [])).collect() == []
