@@ -14,7 +14,7 @@ from .context import with_line, words_after, words_before
 from .lexicon import has
 
 FEATURES = ("token_count", "char_length", "initials", "known_first", "known_last", "common_share", "first_ambiguous", "place_or_org", "titled", "dictionary", "bare", "n_detections", "reps")
-#: Rows that a model is fitted on, at most; those of the smallest hashes.
+#: Rows that a model is fitted on, at most; those of the smallest hashes of all their columns, so a share of each vector's.
 TRAINING_ROWS = 200_000
 
 
@@ -24,8 +24,12 @@ def split(rows: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame, rounds: int = 20, at_most: int = TRAINING_ROWS) -> PipelineModel | None:
-    """A model of rows with FEATURES and label (0 or 1), or None where a side of the split or a class is missing."""
-    rows = split(rows).select(*FEATURES, F.col("label").cast("double").alias("label"), "held_out").orderBy(F.xxhash64(*FEATURES, "label")).limit(at_most)
+    """A model of rows with FEATURES and label (0 or 1), or None where a side of the split or a class is missing.
+
+    Columns that tell rows apart (doc_id, line_no, start) go into the sample's hash; rows without any are sampled by vector.
+    """
+    order = F.xxhash64(*rows.columns)
+    rows = split(rows).select(*FEATURES, F.col("label").cast("double").alias("label"), "held_out", order.alias("order")).orderBy("order").limit(at_most).drop("order")
     sides = rows.agg(F.countDistinct(F.when(~F.col("held_out"), F.col("label"))).alias("classes"), F.count_if("held_out").alias("held")).first()
     if sides["classes"] < 2 or not sides["held"]:
         return None

@@ -50,6 +50,16 @@ def test_only_the_classifier_has_no_sql():
     assert set(QUERIES) - set(ORACLE_SQL) == {"classifier_scores"}
 
 
+def test_a_sample_holds_a_share_of_each_vector(spark):
+    from spanloom.operators import learn
+
+    features = [F.lit(1).alias(c) for c in learn.FEATURES[1:]]
+    rows = spark.range(4000).select((F.col("id") % 40).cast("int").alias("token_count"), *features, (F.col("id") % 40 >= 20).cast("int").alias("label"), F.col("id").alias("start"))
+    model = learn.train(rows, rounds=3, at_most=400)
+    assert model is not None
+    assert learn.scored(rows, model).where((F.col("p") > 0.5) == (F.col("label") == 1)).count() >= 3800
+
+
 def test_classifier(spark, tmp_path):
     from spanloom.operators import learn
 
