@@ -39,10 +39,10 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(two))
 
 
-def planted(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): documents with their planted lines."""
+def planted(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text, *more): documents with their planted lines."""
     plain = tuple(m.replace("**", "") for m in MARKED)
-    return docs.select("doc_id", F.concat_ws("\n", F.coalesce("text", F.lit("")), _pick(plain, F.col("doc_id")), _pick(plain, F.col("doc_id") * 7 + 3)).alias("text"))
+    return docs.select("doc_id", F.concat_ws("\n", F.coalesce("text", F.lit("")), _pick(plain, F.col("doc_id")), _pick(plain, F.col("doc_id") * 7 + 3)).alias("text"), *more)
 
 
 def gold(lines: DataFrame) -> DataFrame:

@@ -271,14 +271,15 @@ def rolling_char_window(spark, d):
 
 
 def _messages(spark, d) -> DataFrame:
-    m = table(spark, d, "conversations").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("doc_id"), "text")
-    return fixtures.planted(m)
+    """Messages with planted lines; doc_id is (conv_id, turn). The number conv_id * 10000 + turn, which isn't unique, only picks the lines."""
+    m = table(spark, d, "conversations").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("doc_id"), "text", "conv_id", "turn")
+    return fixtures.planted(m, "conv_id", "turn").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
 
 
 @query
 def session_roster(spark, d):
     rows = candidates.judged(candidates.canonical(candidates.overlap_groups(detect.detections(_messages(spark, d)))))
-    return sessions.roster(rows.select(F.expr("doc_id div 10000").alias("conv_id"), (F.col("doc_id") % 10_000).alias("turn"), F.col("key").alias("name"), "decision"))
+    return sessions.roster(rows.select("doc_id.conv_id", "doc_id.turn", F.col("key").alias("name"), "decision"))
 
 
 @query
@@ -423,7 +424,7 @@ def weighted_training_rows(spark, d):
 @query
 def roster_vouchers(spark, d):
     rows = candidates.judged(candidates.canonical(candidates.overlap_groups(detect.detections(_messages(spark, d)))))
-    return sessions.vouched(rows.select(F.expr("doc_id div 10000").alias("conv_id"), (F.col("doc_id") % 10_000).alias("turn"), F.col("key").alias("name"), "decision"))
+    return sessions.vouched(rows.select("doc_id.conv_id", "doc_id.turn", F.col("key").alias("name"), "decision"))
 
 
 @query

@@ -60,6 +60,14 @@ def test_a_sample_holds_a_share_of_each_vector(spark):
     assert learn.scored(rows, model).where((F.col("p") > 0.5) == (F.col("label") == 1)).count() >= 3800
 
 
+def test_long_conversations_keep_their_turns(spark, tmp_path):
+    turns = [(1, 0), (1, 9_999), (1, 10_000), (1, 25_003), (2, 0), (2, 5_003)]
+    spark.createDataFrame([(c, t, "so said Dr. Anna Smith") for c, t in turns], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in QUERIES["session_roster"](spark, str(tmp_path)).where("name = 'anna smith'").collect()}
+    assert set(got) == {1, 2} and (got[1].first_turn, got[1].last_turn) == (0, 25_003) and (got[2].first_turn, got[2].last_turn) == (0, 5_003)
+    assert {(r.conv_id, r.turn) for r in QUERIES["roster_vouchers"](spark, str(tmp_path)).collect()} <= set(turns)
+
+
 def test_classifier(spark, tmp_path):
     from spanloom.operators import learn
 
