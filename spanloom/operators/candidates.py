@@ -139,7 +139,7 @@ def persons(cands: DataFrame) -> DataFrame:
 
 
 def collection(people: DataFrame) -> DataFrame:
-    """(name, total_occurrences, decision, num_documents, documents) over all documents, of accepted and review persons."""
+    """(name, total_occurrences, decision, num_documents, first_document) over all documents, of accepted and review persons."""
     rows = people.where("decision <> 'rejected'")
     return rows.groupBy(F.col("key").alias("name")).agg(
         F.sum("occurrences").alias("total_occurrences"), F.when(F.bool_or(F.col("decision") == "accepted"), "accepted").otherwise("review").alias("decision"),

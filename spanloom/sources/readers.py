@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import email
 import email.policy
 import html.parser
 import io
 import json
 import re
+import sys
 import xml.etree.ElementTree as ET
 import zipfile
 
@@ -152,8 +154,22 @@ def csv_lines(text: Column, separator: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n", -1), lambda line: F.array_join(F.transform(F.split(line, F.concat(F.lit("\\Q"), separator, F.lit("\\E")), -1), lambda c: F.trim(F.regexp_replace(c, "\\s+", " "))), " | ")), "\n")
 
 
+@F.pandas_udf(StringType())
+def _quoted_lines(texts: pd.Series, separators: pd.Series) -> pd.Series:
+    """csv_lines() for texts with quotes: a quoted cell may hold separators and line ends, which become blanks."""
+    csv.field_size_limit(sys.maxsize)
+
+    def lines(text, separator):
+        if text is None:
+            return None
+        records = csv.reader(io.StringIO(text, newline=""), delimiter=separator)
+        return "\n".join([*(" | ".join(" ".join(c.split()) for c in r) for r in records), *([""] if text.endswith("\n") else [])])
+
+    return pd.Series([lines(t, s) for t, s in zip(texts, separators)], dtype=object)
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """files: (path, content). (path, format, ok, error, skipped, text); only structured formats go through Python."""
+    """files: (path, content). (path, format, ok, error, skipped, text); only structured formats and CSV with quotes go through Python."""
     from ..functions.text import delimiter
 
     rows = files.select("path", "content", format_of(F.col("path")).alias("format"), is_binary(F.col("content")).alias("binary"))
@@ -161,8 +177,9 @@ def parse(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("skipped", F.when(F.col("format").isNull(), "unsupported").when(F.col("binary") & ~F.col("format").isin("docx", "pdf"), "binary_content").when(F.col("format") == "pdf", "no_pdf_reader"))
     parsed = F.when(F.col("skipped").isNull() & F.col("format").isin(*PARSERS), _parsed("format", "content", "raw"))
     separator = F.when(F.col("path").endswith(".tsv"), "\t").otherwise(delimiter(F.substring_index(F.ltrim("raw"), "\n", 1)))
-    rows = rows.withColumn("parsed", parsed)
-    text = F.when(F.col("format") == "txt", F.col("raw")).when(F.col("format") == "csv", csv_lines(F.col("raw"), separator)).otherwise(F.col("parsed.text"))
+    quoted = F.col("raw").contains('"')
+    rows = rows.withColumn("parsed", parsed).withColumn("cells", F.when((F.col("format") == "csv") & quoted, _quoted_lines("raw", separator)))
+    text = F.when(F.col("format") == "txt", F.col("raw")).when((F.col("format") == "csv") & quoted, F.col("cells")).when(F.col("format") == "csv", csv_lines(F.col("raw"), separator)).otherwise(F.col("parsed.text"))
     return rows.select("path", "format", (F.col("skipped").isNull() & F.col("parsed.error").isNull()).alias("ok"), F.col("parsed.error").alias("error"), "skipped", F.when(F.col("skipped").isNull(), text).alias("text"))
 
 

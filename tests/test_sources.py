@@ -85,3 +85,9 @@ def test_entry_without_the_training_data_part(monkeypatch):
 
     monkeypatch.setattr(builtins, "__import__", gone)
     assert "decisions" in __spark_entry__.queries() and not any(q.startswith("op1_") for q in __spark_entry__.queries())
+
+
+def test_quoted_cells_hold_separators_and_line_ends(spark):
+    files = [("a.csv", b'id,name\r\n1,"Smith, Anna\nMaria"\r\n2,"a ""b"" c"\r\n'), ("b.tsv", b'x\t"p\tq"\ny\tz'), ("c.csv", b"a,b\n1,2")]
+    got = {r.path: r.text for r in readers.parse(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got == {"a.csv": 'id | name\n1 | Smith, Anna Maria\n2 | a "b" c\n', "b.tsv": "x | p q\ny | z", "c.csv": "a | b\n1 | 2"}
