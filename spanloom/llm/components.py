@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from . import scratch
 
 
+def _least(edges: DataFrame, value) -> DataFrame:
+    """edges with m, the value of each u; a u may have any number of rows, which are dealt by v too."""
+    edges = edges.withColumn("salt", scratch.salt("v"))
+    least = edges.groupBy("u").agg(value.alias("m"), scratch.salts("v").alias("salts"))
+    return edges.join(least.select("u", "m", scratch.each_salt("salts").alias("salt")), ["u", "salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _least(both, F.least(F.min("v"), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    down = _least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), F.min("v"))
+    moved = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(down.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

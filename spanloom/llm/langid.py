@@ -7,23 +7,24 @@ the first language in alphabetical order wins.
 
 Profiles are learned from labelled rows: of each language about SAMPLE rows at most, chosen by a hash, whole texts. The
 profiles (PROFILE rows a language) are all that reaches the driver. lang_pred is "und" where a text is null or has no
-letter, or where nothing was learned. Rows stand alone, so null or repeated ids and extra columns need no care.
+letter, or where nothing was learned. Very long texts are counted whole, by blocks. Rows stand alone, so null or repeated ids
+and extra columns need no care; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = 300
 SAMPLE = 3000
-OTHERS = re.compile(r"[\W\d_]+")
+OTHERS = regex.compile(r"\P{L}+")
 FRAME = ord("_")
 BLOCK = 1 << 20
 DENSE = 1 << 18
@@ -160,8 +161,11 @@ def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
 
-def speaks(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that have a language: those of which lang_pred isn't "und"."""
+def speaks(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, with all their columns, that have a letter; lang_col is filled in with lang_pred where it is null.
+
+    Without profiles rows are judged by their letters alone, and lang_col stays as it is.
+    """
 
     @F.pandas_udf("string")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -169,7 +173,10 @@ def speaks(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "tex
         for texts in batches:
             yield texts.map(lambda t: ranker.predict(t)[0])
 
-    return docs.where(predicted(F.col(text_col)) != "und")
+    if not profiles:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    found = docs.withColumn("__lang", predicted(F.col(text_col))).where("__lang <> 'und'")
+    return found.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("__lang"))).select(*docs.columns)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

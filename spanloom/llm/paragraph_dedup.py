@@ -1,38 +1,35 @@
 """Substring dedup of paragraphs: MinHash banding, exact Jaccard, connected components.
 
-A paragraph is a line of least_words words or more; shorter ones are never removed. The query takes every line that has a
-shingle, so SHINGLE words or more; LEAST_WORDS is the default for other callers. Its set is that of its SHINGLE-word
-shingles, with A-Z in lower case. Paragraphs of equal sets are one class. A class has BANDS keys of ROWS minima each, tuned for
-recall: a pair of similarity 0.8 shares a key with a chance of 1-(1-0.8**2)**6 = 99.8 %. Classes that share a key are joined
-with their sets, and exact Jaccard of SIMILAR or more links them; a bucket gives the edges of a spanning forest, never all pairs.
-Buckets of more than BUCKET classes are split without loss: the 0.2 n + 1 shingles of a set of n that are rarest in the bucket
-meet those of every set as similar, so classes are dealt by them; those that a very common shingle keeps together are dealt
-by length, and then by pairs of blocks, so that no task holds more than about BUCKET sets. Of each component the paragraph of the
-smallest doc_id, and there the first, stays; all others are removed, in the same document too.
-
-Null text counts as empty: no paragraph. Rows that repeat an id and a text are one document's copies: of equal paragraphs in
-them all stay or go together. A null doc_id is less than any other. An empty table gives an empty result. Only the id and
-text column are read.
+Each line of SHINGLE words or more is compared, by the set of its SHINGLE-word shingles with A-Z in lower case. Lines of equal sets
+are one class. A class has BANDS keys of ROWS minima each, tuned for recall: a pair of similarity 0.8 shares a key with a chance
+of 1-(1-0.8**2)**6 = 99.8 %. Classes that share a key are joined with their sets, and exact Jaccard of SIMILAR or more links
+them (jaccard.py), however large the bucket. Of each component the line of the smallest doc_id, and there the first, stays; the
+others are copies, in the same document too.
+
+A paragraph may be one line, or wrapped over many. So what goes is a run of adjacent copies that has least_words words or
+more: a short line alone, such as a licence or a greeting, stays, as that is for line dedup to judge; the lines of a wrapped
+paragraph go together.
+
+Null text counts as empty: no paragraph. Rows that repeat an id and a text are one document's copies: of equal lines in
+them all stay or go together. A null doc_id is less than any other. Very long texts are taken whole; a line is held in one task, a
+document too. Ties go by doc_id, then line. An empty table gives an empty result. Only the id and text column are read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
-from .components import connected_components
+from . import jaccard, scratch
 from .suffix_dedup import LEAST, keyed
 
-SHINGLE, SIMILAR, LEAST_WORDS = 5, 0.8, 20
+SHINGLE, LEAST_WORDS = 5, 20
 BANDS, ROWS = 6, 2
-BUCKET = 1024
 CACHED = 300_000
 _random = np.random.default_rng(7)
 ODD = _random.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,31 +38,30 @@ ODD = _random.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 class Shingler:
     """Sets of shingle hashes; words' hashes are kept until the table is full."""
 
-    def __init__(self, least_words: int = LEAST_WORDS, whole: bool = False):
-        self.least_words, self.whole = max(least_words, SHINGLE), whole
+    def __init__(self):
         self.words: dict[bytes, int] = {}
 
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
+    def set_of(self, words: list[bytes]) -> np.ndarray:
+        """The sorted set of the hashes of all runs of SHINGLE words; fewer words: of all of them."""
         known = self.words
         if len(known) > CACHED:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        size = min(SHINGLE, len(h))
+        n = len(h) - size + 1
+        s = sum((h[i : i + n] * ODD[i] for i in range(1, size)), h[:n] * ODD[0])
+        s ^= s >> np.uint64(32)
+        return np.unique(s * ODD[5])
 
     def paragraphs(self, text: bytes, wanted=None):
-        """Yields (line number, sorted set of shingle hashes) of the lines of least_words words or more; the whole text may be line 0."""
-        for number, line in enumerate([text.lower()] if self.whole else text.lower().split(b"\n")):
-            if wanted is not None and number not in wanted:
-                continue
-            words = line.split()
-            if len(words) < self.least_words:
-                continue
-            h = self._hashes(words)
-            n = len(h) - SHINGLE + 1
-            s = sum((h[i : i + n] * ODD[i] for i in range(1, SHINGLE)), h[:n] * ODD[0])
-            s ^= s >> np.uint64(32)
-            yield number, np.unique(s * ODD[5])
+        """Yields (line number, set) of the lines of SHINGLE words or more."""
+        for number, line in enumerate(text.lower().split(b"\n")):
+            if wanted is None or number in wanted:
+                words = line.split()
+                if len(words) >= SHINGLE:
+                    yield number, self.set_of(words)
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -74,152 +70,77 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return (minima * ODD[40 : 40 + ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _signatures(least_words: int, whole: bool):
-    def run(batches):
-        shingler = Shingler(least_words, whole)
-        for b in batches:
-            out = []
-            for rd, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for number, s in shingler.paragraphs(text.as_py()):
-                    c = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    out.append((rd, rk, number, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True), band_keys(s)))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["rd", "rk", "par", "c1", "c2", "bands"])
-
-    return run
-
-
-def _sets(least_words: int, whole: bool):
-    def run(batches):
-        shingler = Shingler(least_words, whole)
-        for b in batches:
-            out = []
-            for text, wanted in zip(b.column(0), b.column(1).to_pylist()):
-                cids: dict[int, list[int]] = {}
-                for w in wanted:
-                    cids.setdefault(w["par"], []).append(w["cid"])
-                for number, s in shingler.paragraphs(text.as_py(), cids):
-                    out += [(cid, s.tobytes()) for cid in cids[number]]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cid", "shingles"])
-
-    return run
-
-
-def spanning(ids: list[int], sets: list[np.ndarray], similar: float = SIMILAR):
-    """Edges that connect what all pairs of that Jaccard similarity would connect."""
-    rest = list(range(len(ids)))
-    while len(rest) > 1:
-        tree, rest = rest[:1], rest[1:]
-        while tree and rest:
-            head = tree.pop()
-            own = sets[head]
-            every = np.concatenate([sets[i] for i in rest])
-            sizes = np.array([len(sets[i]) for i in rest])
-            hits = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-            both = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
-            near = both >= similar * (len(own) + sizes - both) - 1e-9
-            yield from ((ids[head], ids[i]) for i, n in zip(rest, near) if n)
-            tree += [i for i, n in zip(rest, near) if n]
-            rest = [i for i, n in zip(rest, near) if not n]
-
-
-def _verify(batches):
-    """Rows (band, key, band2, key2, cid, shingles) sorted by bucket to edges."""
-    last, ids, sets, edges = None, [], [], []
+def _signatures(batches):
+    shingler = Shingler()
     for b in batches:
-        keys = list(zip(*(b.column(i).to_pylist() for i in range(4))))
-        for key, cid, s in zip(keys, b.column(4).to_pylist(), b.column(5)):
-            if key != last:
-                edges += spanning(ids, sets)
-                last, ids, sets = key, [], []
-            ids.append(cid)
-            sets.append(np.frombuffer(s.as_py(), np.uint64))
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["u", "v"])
-            edges = []
-    edges += spanning(ids, sets)
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*edges) if edges else [[], []])], ["u", "v"])
-
-
-def prefix_length(n: int, similar: float = SIMILAR) -> int:
-    """Of a set of n in any order common to all sets: any set as similar has one of its first so many among its own."""
-    return n - math.ceil(similar * n - 1e-9) + 1
-
-
-def _shingles(batches):
-    """Rows (band, key, cid, shingles) to one row a shingle, with the set's length group and prefix length."""
+        out = []
+        for rd, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for number, s in shingler.paragraphs(text.as_py()):
+                c = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                out.append((rd, rk, number, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True), band_keys(s)))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["rd", "rk", "par", "c1", "c2", "bands"])
+
+
+def _sets(batches):
+    """Rows (text, wanted: array of cid and par) to (cid, shingles)."""
+    shingler = Shingler()
     for b in batches:
-        sets = [np.frombuffer(x.as_py(), np.uint64).view(np.int64) for x in b.column(3)]
-        sizes = np.array([len(x) for x in sets], np.int64)
-        # sets as similar have sizes within a factor of 1.25, so groups are equal or next to each other
-        groups = [int(math.log(n) / math.log(1.2501)) for n in sizes.tolist()]
-        more = [np.repeat(np.array(x, np.int64), sizes) for x in (groups, [prefix_length(n) for n in sizes.tolist()])]
-        at = pa.array(np.repeat(np.arange(len(sets)), sizes))
-        shingle = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        columns = [b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), *map(pa.array, more), pa.array(shingle)]
-        yield pa.RecordBatch.from_arrays(columns, ["band", "key", "cid", "size", "prefix", "shingle"])
-
-
-def _split(hot: DataFrame, sets: DataFrame, bucket: int) -> DataFrame:
-    """Rows (cid, band, key) of large buckets to (cid, band, key, band2, key2): every similar pair of a bucket shares one of these."""
-    rows = hot.join(sets, "cid").select("band", "key", "cid", "shingles")
-    rows = scratch.table(rows.mapInArrow(_shingles, "band int, key long, cid long, size long, prefix long, shingle long"), "shingles")
-    one = ["band", "key", "shingle"]
-    rarest = Window.partitionBy("band", "key", "cid").orderBy("n", "shingle")
-    rows = rows.join(rows.groupBy(*one).agg(F.count("*").alias("n")), one).withColumn("rank", F.row_number().over(rarest))
-    rows = scratch.table(rows.where("rank <= prefix and n > 1").select(*one, "cid", "size"), "prefixes")
-    rows = rows.join(rows.groupBy(*one).agg(F.count("*").alias("n")).where("n > 1"), one)
-    small = rows.where(F.col("n") <= bucket).select("cid", "band", "key", F.lit(-2).alias("band2"), F.col("shingle").alias("key2"))
-    rest = rows.where(F.col("n") > bucket).select("band", "key", "cid", "size").distinct()
-    rest = rest.select("band", "key", "cid", F.explode(F.array("size", F.col("size") + 1).cast("array<int>")).alias("band2"))
-    place = ["band", "key", "band2"]
-    blocks = rest.groupBy(*place).agg(F.ceil(F.count("*") * 2 / bucket).alias("blocks"))
-    rest = rest.join(blocks, place).withColumn("own", F.pmod(F.xxhash64("cid"), "blocks"))
-    rest = rest.select("cid", *place, "own", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).where("own <> other or blocks = 1")
-    pair = F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")
-    return small.unionByName(rest.select("cid", *place, pair.alias("key2")))
-
-
-def _clusters(texts: DataFrame, least_words: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """texts: keyed(). Rows (rd, rk, par, c1, c2) of all paragraphs, and classes (c1, c2, n, rd, par, component)."""
-    spark = texts.sparkSession
-    rows = scratch.table(texts.mapInArrow(_signatures(least_words, whole), "rd long, rk long, par int, c1 long, c2 long, bands array<long>"), "paragraphs")
+        out = []
+        for text, wanted in zip(b.column(0), b.column(1).to_pylist()):
+            cids: dict[int, list[int]] = {}
+            for w in wanted:
+                cids.setdefault(w["par"], []).append(w["cid"])
+            for number, s in shingler.paragraphs(text.as_py(), cids):
+                out += [(cid, s.tobytes()) for cid in cids[number]]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cid", "shingles"])
+
+
+def paragraph_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rd, rk, par, first_rd, first_par): the lines of components of two or more, with the line that stays."""
+    texts = keyed(docs, id_col, text_col)
+    rows = scratch.table(texts.mapInArrow(_signatures, "rd long, rk long, par int, c1 long, c2 long, bands array<long>"), "paragraphs")
     classes = rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rd", "par", "rk", "bands")).alias("one"))
     classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("cid"), "c1", "c2", "n", "one.*"), "classes")
-    dealt = classes.select("cid", F.posexplode("bands").alias("band", "key"))
-    shared = dealt.groupBy("band", "key").count().where("count > 1")
-    dealt = scratch.table(dealt.join(shared, ["band", "key"]), "buckets")
 
     def sets_of(cids: DataFrame) -> DataFrame:
         wanted = classes.join(cids.select("cid").distinct(), "cid", "left_semi").groupBy("rd", "rk").agg(F.collect_list(F.struct("cid", "par")).alias("wanted"))
-        return texts.join(wanted, ["rd", "rk"]).select("text", "wanted").mapInArrow(_sets(least_words, whole), "cid long, shingles binary").dropDuplicates(["cid"])
-
-    keys = ["band", "key", "band2", "key2"]
-    buckets = dealt.where(F.col("count") <= BUCKET).select("cid", "band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"))
-    hot = dealt.where(F.col("count") > BUCKET).select("cid", "band", "key")
-    if hot.head(1):
-        buckets = buckets.unionByName(_split(hot, sets_of(hot), BUCKET))
-    buckets = buckets.join(sets_of(dealt), "cid").select(*keys, "cid", "shingles").repartition(scratch.partitions(spark), *keys).sortWithinPartitions(*keys)
-    joined = connected_components(buckets.mapInArrow(_verify, "u long, v long"))
-    named = classes.select("cid", "c1", "c2", "n", "rd", "par").join(joined, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
-    return rows.select("rd", "rk", "par", "c1", "c2"), named.select("c1", "c2", "n", "rd", "par", "component")
-
+        return texts.join(wanted, ["rd", "rk"]).select("text", "wanted").mapInArrow(_sets, "cid long, shingles binary").dropDuplicates(["cid"])
 
-def paragraph_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(rd, rk, par, first_rd, first_par): the paragraphs of components of two or more, with the paragraph that stays."""
-    rows, named = _clusters(keyed(docs, id_col, text_col), least_words)
-    firsts = named.groupBy("component").agg(F.sum("n").alias("size"), F.min(F.struct("rd", "par")).alias("first")).where("size > 1")
-    named = named.join(firsts, "component").select("c1", "c2", F.col("first.rd").alias("first_rd"), F.col("first.par").alias("first_par"))
-    return rows.join(named, ["c1", "c2"]).select("rd", "rk", "par", "first_rd", "first_par")
+    joined = jaccard.links(classes.select("cid", F.posexplode("bands").alias("band", "key")), sets_of)
+    named = classes.select("cid", "c1", "c2", "n", "rd", "par").join(joined, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
+    firsts = named.groupBy("component").agg(F.sum("n").alias("size"), F.min(F.struct("rd", "par")).alias("first"), scratch.salts("c1").alias("salts")).where("size > 1")
+    firsts = firsts.select("component", "first", scratch.each_salt("salts").alias("salt"))
+    named = named.withColumn("salt", scratch.salt("c1")).join(firsts, ["component", "salt"]).select("c1", "c2", F.col("first.rd").alias("first_rd"), F.col("first.par").alias("first_par"))
+    # a line in a third of all documents is one class: its rows are dealt by document too
+    salts = rows.groupBy("c1", "c2").agg(scratch.salts("rd", "rk").alias("salts"))
+    named = named.join(salts, ["c1", "c2"]).select("c1", "c2", "first_rd", "first_par", scratch.each_salt("salts").alias("salt"))
+    return rows.withColumn("salt", scratch.salt("rd", "rk")).join(named, ["c1", "c2", "salt"]).select("rd", "rk", "par", "first_rd", "first_par")
+
+
+def removed_lines(lines: list[bytes], copies: set[int], least_words: int) -> list[int]:
+    """Numbers of the lines in runs of adjacent copies that have least_words words or more."""
+    out: list[int] = []
+    run: list[int] = []
+    words = 0
+    for i in range(len(lines) + 1):
+        if i in copies:
+            run.append(i)
+            words += len(lines[i].split())
+        elif run:
+            out += run if words >= least_words else []
+            run, words = [], 0
+    return out
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, clusters, kept_sha256) for each row of docs.
+    """(doc_id, text, n_removed, clusters, kept_sha256) for each row of docs; text is what stays, its lines joined by \\n.
 
-    clusters lists the row's paragraphs that have near copies: line number, and doc_id and line number of the one that stays.
+    clusters lists the row's lines that have near copies: line number, and doc_id and line number of the one that stays, and whether
+    this one is removed. kept_sha256 is of the text that stays, in UTF-8.
     """
-    schema = "doc_id long, n_lines long, n_removed long, clusters array<struct<line:int,first_doc_id:long,first_line:int>>, kept_sha256 string"
-    kind = pa.list_(pa.struct([("line", pa.int32()), ("first_doc_id", pa.int64()), ("first_line", pa.int32())]))
+    schema = "doc_id long, text string, n_removed long, clusters array<struct<line:int,first_doc_id:long,first_line:int,removed:boolean>>, kept_sha256 string"
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("first_doc_id", pa.int64()), ("first_line", pa.int32()), ("removed", pa.bool_())]))
 
     def run(batches):
         for b in batches:
@@ -227,16 +148,16 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for rd, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 lines = text.as_py().split(b"\n")
                 found = sorted(found or [], key=lambda x: x["par"])
-                gone = {x["par"] for x in found if (x["first_rd"], x["first_par"]) != (rd, x["par"])}
+                gone = set(removed_lines(lines, {x["par"] for x in found if (x["first_rd"], x["first_par"]) != (rd, x["par"])}, least_words))
                 kept = b"\n".join(x for i, x in enumerate(lines) if i not in gone)
-                named = [{"line": x["par"], "first_doc_id": None if x["first_rd"] == LEAST else x["first_rd"], "first_line": x["first_par"]} for x in found]
-                out.append((None if rd == LEAST else rd, len(lines), len(gone), named, hashlib.sha256(kept).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), kind, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "n_lines", "n_removed", "clusters", "kept_sha256"])
+                named = [{"line": x["par"], "first_doc_id": None if x["first_rd"] == LEAST else x["first_rd"], "first_line": x["first_par"], "removed": x["par"] in gone} for x in found]
+                out.append((None if rd == LEAST else rd, kept.decode(), len(gone), named, hashlib.sha256(kept).hexdigest()))
+            kinds = [pa.int64(), pa.string(), pa.int64(), kind, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "text", "n_removed", "clusters", "kept_sha256"])
 
-    found = paragraph_clusters(docs, id_col, text_col, least_words).groupBy("rd", "rk").agg(F.collect_set(F.struct("par", "first_rd", "first_par")).alias("found"))
+    found = paragraph_clusters(docs, id_col, text_col).groupBy("rd", "rk").agg(F.collect_set(F.struct("par", "first_rd", "first_par")).alias("found"))
     return keyed(docs, id_col, text_col).join(found, ["rd", "rk"], "left").select("rd", "text", "found").mapInArrow(run, schema)
 
 
 def op6_paragraph_minhash(spark, sf_dir: str) -> DataFrame:
-    return paragraph_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=SHINGLE)
+    return paragraph_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

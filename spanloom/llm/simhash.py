@@ -10,12 +10,16 @@ the edges of a spanning forest, never all its pairs. Buckets of more than BUCKET
 other vectors m, which cover all pairs just as well; what shares both keys agrees in about 50 bits, which bounds its size.
 
 Null text counts as empty. Texts without words have fingerprint 0 and are linked like any other. Rows that repeat an id
-each get their row. A null doc_id has a fingerprint and a component, but never names one unless all ids in it are null. An
-empty table gives an empty result. Only the id and text column are read.
+each get their row. A null doc_id has a fingerprint and a component, but never names one unless all ids in it are null. Very
+long texts are hashed whole, a block of shingles at a time. Equal fingerprints, ties among them, are one class. An empty
+table gives an empty result. Only the id and text column are read.
+
+keep_one() uses the same tables for near copies in the sense of word shingles: see similar_classes().
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -24,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import jaccard, scratch
 from .components import connected_components
+from .paragraph_dedup import CACHED, Shingler
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 BUCKET = 1024
 BLOCK = 1 << 16
+PRINTS = 8
 
 
 def shingle_hashes(words: list[bytes], size: int):
@@ -57,17 +63,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", more: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, fp long), and the columns of docs that more names with their types."""
-    more = more or {}
+def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp long)."""
 
     def run(batches):
         for b in batches:
-            prints = pa.array([fingerprint(t.as_py(), size) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), prints, *b.columns[2:]], ["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), size) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
-    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{k} {v}" for k, v in more.items())]))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(radius: int, seed: int) -> list[int]:
@@ -142,38 +145,87 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
 
 
 def _components(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, component, component_id): component is a fingerprint that names it alone; several components may share a component_id."""
+    """(fp, component_id) of prints (doc_id, fp), written out: component_id is the smallest doc_id reachable."""
     classes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     joined = connected_components(links(classes, radius)).select(F.col("node").alias("fp"), "component")
     named = classes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    return named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component", "component_id")
-
-
-def near_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """prints: (doc_id, fp), written out. Adds component_id, the smallest doc_id reachable."""
-    return prints.join(_components(prints, radius), "fp").select("doc_id", "fp", "component_id")
+    return named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint hex, component_id) for each row of docs."""
-    found = near_components(scratch.table(fingerprints(docs, size, id_col, text_col), "prints"), radius)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = scratch.table(fingerprints(docs, size, id_col, text_col), "prints")
+    return prints.join(_components(prints, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def word_prints(text: str, known: dict[bytes, bytes]) -> tuple[bytes, np.ndarray]:
+    """A digest of the text's words in lower case, and PRINTS fingerprints of the set of them; known keeps words' hashes."""
+    words = text.encode().lower().split()
+    every, ones = list(set(words)), np.zeros(64 * PRINTS, np.int64)
+    if len(known) > CACHED:
+        known.clear()
+    for w in set(every).difference(known):
+        known[w] = hashlib.blake2b(w, digest_size=8 * PRINTS).digest()
+    for i in range(0, len(every), BLOCK):
+        part = np.frombuffer(b"".join(map(known.__getitem__, every[i : i + BLOCK])), np.uint8).reshape(-1, 8 * PRINTS)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest(), np.packbits(2 * ones > len(every), bitorder="little").view(np.int64)
+
+
+def _word_rows(batches):
+    """Rows (doc_id, sha, n, text) to (doc_id, sha, n, c1, c2, prints); prints is empty where there is no word."""
+    known: dict[bytes, bytes] = {}
+    for b in batches:
+        found = [word_prints(t.as_py(), known) for t in b.column(3)]
+        parts = np.frombuffer(b"".join(d for d, _ in found), np.int64).reshape(-1, 2)
+        prints = pa.array([p if p.any() else [] for _, p in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(parts[:, 0]), pa.array(parts[:, 1]), prints], ["doc_id", "sha", "n", "c1", "c2", "prints"])
+
+
+def _whole_sets(batches):
+    """Rows (cid, text) to (cid, shingles)."""
+    shingler = Shingler()
+    for b in batches:
+        sets = [shingler.set_of(t.as_py().encode().lower().split()).tobytes() for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["cid", "shingles"])
+
+
+def similar_classes(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(component, doc_id, n, sha) of one row of each class of equal word sequences: the first by doc_id (null last), length, hash.
+
+    Classes that share a key of a covering table are compared, and linked where the exact Jaccard of their five-word shingles is 0.8
+    or more (texts of fewer words: one shingle). A text's keys are those of PRINTS fingerprints of the set of its words:
+    one word more or less moves them far less than fingerprints of shingles, of which it changes five. Within the radius in
+    any of these no pair is missed; beyond it a pair has many more chances to share a key, and the exact check decides.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("sha"), F.length(text).alias("n"), text.alias("text"))
+    prints = scratch.table(rows.mapInArrow(_word_rows, "doc_id long, sha string, n int, c1 long, c2 long, prints array<long>"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", (-F.col("n")).alias("n"), "sha", "prints"))
+    classes = prints.groupBy("c1", "c2").agg(first.alias("first")).select(F.monotonically_increasing_id().alias("cid"), "first.*")
+    classes = scratch.table(classes, "classes")
+    every = [F.struct(F.lit(p * (1 << radius + 1) + t).alias("band"), F.get("prints", F.lit(p)).bitwiseAND(F.lit(m)).alias("key")) for p in range(PRINTS) for t, m in enumerate(masks(radius, p + 1))]
+    keys = classes.where("size(prints) > 0").select("cid", F.explode(F.array(*every)).alias("x")).select("cid", "x.*")
+
+    def sets_of(cids: DataFrame) -> DataFrame:
+        wanted = classes.join(cids.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("doc_id").alias("wanted"), F.col("sha").alias("own"))
+        found = rows.join(wanted, F.expr("doc_id <=> wanted and sha = own")).select("cid", "text").mapInArrow(_whole_sets, "cid long, shingles binary")
+        return found.dropDuplicates(["cid"])
+
+    joined = jaccard.links(scratch.table(keys, "keys"), sets_of)
+    return classes.join(joined, F.col("cid") == F.col("node"), "left").select(F.coalesce("component", "cid").alias("component"), "doc_id", "n", "sha")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component one row, with all columns: the one of the smallest doc_id (null last), there the longest, then by hash.
+    """Of each component of similar_classes() one row, with all columns: the one of the smallest doc_id (null last), there the longest, then by hash.
 
     The row is found again by id and text, so that rows without an id, or with one id and different texts, go by their own
-    components.
+    components. Texts without words are one class.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = {"__id": F.col(id_col).cast("long"), "__sha": F.sha2(text, 256)}
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    prints = fingerprints(rows.select("doc_id", "text", F.sha2("text", 256).alias("sha"), F.length("text").alias("n")), more={"sha": "string", "n": "int"})
-    prints = scratch.table(prints, "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", (-F.col("n")).alias("n"), "sha")).alias("first")
-    stay = prints.join(_components(prints, RADIUS), "fp").groupBy("component").agg(first).select(F.col("first.doc_id").alias("__stay"), F.col("first.sha").alias("__sha"))
-    rows = docs.withColumns(key).alias("r").join(stay.alias("s"), F.expr("r.__id <=> s.__stay and r.__sha = s.__sha"), "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "doc_id", "n", "sha")).alias("first")
+    stay = similar_classes(docs, id_col=id_col, text_col=text_col).groupBy("component").agg(first).select(F.col("first.doc_id").alias("__stay"), F.col("first.sha").alias("__own"))
+    key = {"__id": F.col(id_col).cast("long"), "__sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)}
+    rows = docs.withColumns(key).alias("r").join(stay.alias("s"), F.expr("r.__id <=> s.__stay and r.__sha = s.__own"), "left_semi")
     one = Window.partitionBy("__id", "__sha").orderBy(F.col(text_col).isNull())
     return rows.withColumn("__no", F.row_number().over(one)).where("__no = 1").select(*docs.columns)
 

@@ -5,14 +5,18 @@ bytes, the least one (the first of equals) owns the window, so equal windows hav
 segment is all the bytes of the windows that it owns. Anchors whose k-gram occurs once are dropped; the others are buckets of
 suffixes that share their first KGRAM bytes, which are disjoint subtrees of the suffix tree.
 
-Equal segments of a bucket are one leaf with a count before any text moves. In a bucket with different segments the suffixes
+Equal segments of a bucket, told by 128 bits of BLAKE2b, are one leaf with a count before any text moves. In a bucket with different segments the suffixes
 are sorted, and a stack scan over the common prefixes of neighbours gives the LCP intervals. In each interval the left
 contexts are scanned in the same way: an interval of left contexts whose rows also differ to the right is a maximal repeat
 group, with all its occurrences. A window is a repeat if a group of two or more spans it.
 
 A bucket of more than HOT different segments (a passage in very many contexts) isn't gathered. Its windows are cut into a
 quarter as many a segment, keyed by the longer string these have in common, and dealt anew; after four rounds a key is one window,
-and a count decides. Such keys are 128 bits of two hashes; all other decisions compare bytes.
+and a count decides. Leaves are told apart by a cryptographic digest, all other decisions compare bytes. Rows of a hot k-gram or
+leaf are dealt by document too, so that no task gets them all.
+
+repeat_groups() gives the groups with all their occurrences, removals() and without_repeats() what is left of the texts. Very long
+texts are read by chunks; a document's bytes are held in one task.
 
 Null text counts as empty. Matches never cross rows. Rows that repeat an id or a text are rows of their own, and repeat each
 other. An empty table gives an empty result. Only the id and text column are read, so others may have any name.
@@ -23,6 +27,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,8 @@ HOT = 1024
 CHUNK = 1 << 19
 PLACE = (1 << 20) - 1
 LEAST = -(2**63)
+LEAF = ("k0", "s0", "i0")
+SEGMENT = "kh long, sh long, si long, n long, rd long, rk long, at long, seg binary"
 _random = np.random.default_rng(20240229)
 BYTE = _random.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 ODD = _random.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,7 +66,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, match: int = MATCH, k: int = KGRAM, chunk: int = CHUNK):
-    """Yields arrays (document number, k-gram hash, segment hash, place in the document, lo, hi) of the texts data[starts:ends].
+    """Yields arrays (document number, k-gram hash, two halves of the segment's digest, place in the document, lo, hi) of the texts data[starts:ends].
 
     An anchor at place p owns the windows that start at p-hi to p-lo.
     """
@@ -78,15 +85,15 @@ def anchors_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, match: in
         cuts = np.flatnonzero((owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)) + 1
         s0, s1 = at[np.concatenate([[0], cuts])], at[np.concatenate([cuts - 1, [len(at) - 1]])]
         a = owner[np.concatenate([[0], cuts])]
-        last, seg = s1 + match - k, ODD[61] * (a - s0).astype(np.uint64) + ODD[62] * (a - s1).astype(np.uint64)
-        for t in range(0, 2 * match, k):
-            seg = (seg ^ (seg >> np.uint64(31))) * ODD[63] + h[np.minimum(s0 + t, last)]
+        raw = x.tobytes()
+        digests = b"".join([hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(s0.tolist(), (s1 + match).tolist())])
+        halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
         doc = np.searchsorted(starts, a + c, "right") - 1
-        yield doc, h[a].view(np.int64), seg.view(np.int64), a + c - starts[doc], a - s1, a - s0
+        yield doc, h[a].view(np.int64), halves[:, 0], halves[:, 1], a + c - starts[doc], a - s1, a - s0
 
 
 def _anchor_rows(match: int, k: int):
-    names = ["kh", "sh", "rd", "rk", "at"]
+    names = ["kh", "sh", "si", "rd", "rk", "at"]
 
     def run(batches):
         for b in batches:
@@ -99,8 +106,8 @@ def _anchor_rows(match: int, k: int):
             full = np.flatnonzero(offsets[1:] > offsets[:-1])
             starts, ends = offsets[:-1][full] - offsets[0], offsets[1:][full] - offsets[0]
             rd, rk = (b.column(i).to_numpy(zero_copy_only=False)[full] for i in (0, 1))
-            for doc, kh, sh, place, lo, hi in anchors_of(data, starts, ends, match, k):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (kh, sh, rd[doc], rk[doc], place << 20 | lo << 10 | hi)], names)
+            for doc, kh, sh, si, place, lo, hi in anchors_of(data, starts, ends, match, k):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (kh, sh, si, rd[doc], rk[doc], place << 20 | lo << 10 | hi)], names)
 
     return run
 
@@ -150,42 +157,66 @@ def maximal_repeats(rows: list[tuple[bytes, bytes]], match: int = MATCH):
                     yield left, depth, [order[r] for r in own]
 
 
-def _scan(match: int):
-    """Sorted rows (kh, n, rd, rk, at, seg) to spans (rd, rk, s, e): bytes of rows with n = 1 that repeat."""
+def _by_bucket(decide, names: list[str]):
+    """Batches of segments sorted by kh to the rows that decide finds in each bucket of two or more."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*dict.fromkeys(rows)) if rows else [[]] * len(names))], names)
+
+    def found(bucket: list[tuple]):
+        # left contexts, reversed, and suffixes
+        parts = [(seg[: at & 1023][::-1], seg[at & 1023 :]) for *_, at, seg in bucket]
+        return decide(bucket, parts) if len(bucket) > 1 else ()
+
+    def run(batches):
+        bucket: list[tuple] = []
+        for b in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket and row[0] != bucket[0][0]:
+                    out += found(bucket)
+                    bucket = []
+                bucket.append(row)
+            if out:
+                yield batch(out)
+        yield batch(list(found(bucket)))
+
+    return run
+
+
+def _spans_of(match: int):
+    """Spans (rd, rk, s, e): bytes of rows with n = 1 that repeat."""
 
-    def decide(bucket: list[tuple]):
-        if len(bucket) < 2:
-            return
-        parts = [(seg[:hi][::-1], seg[hi:]) for _, _, _, at, seg in bucket for hi in [at & 1023]]
-        found: dict[int, list[tuple[int, int]]] = {}
+    def decide(bucket: list[tuple], parts: list[tuple[bytes, bytes]]):
+        own: dict[int, list[tuple[int, int]]] = {}
         for left, right, members in maximal_repeats(parts, match):
             for m in members:
-                n, _, _, at, _ = bucket[m]
+                n, _, _, at = bucket[m][3:7]
                 lo, hi = max(at >> 10 & 1023, match - right), min(at & 1023, left)
                 if n == 1 and lo <= hi:
-                    found.setdefault(m, []).append(((at >> 20) - hi, (at >> 20) - lo + match))
-        for m, own in found.items():
-            for s, e in merged(own):
-                yield bucket[m][1], bucket[m][2], s, e
+                    own.setdefault(m, []).append(((at >> 20) - hi, (at >> 20) - lo + match))
+        for m, spans in own.items():
+            for s, e in merged(spans):
+                yield *bucket[m][4:6], s, e
 
-    def run(batches):
-        key, bucket = None, []
-        for b in batches:
-            spans: list[tuple] = []
-            for kh, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if kh != key:
-                    spans += decide(bucket)
-                    key, bucket = kh, []
-                bucket.append(tuple(row))
-            if spans:
-                yield _spans(spans)
-        yield _spans(list(decide(bucket)))
+    return decide
 
-    return run
 
+def _groups_of(match: int):
+    """Members (grp, kh, sh, si, back, ahead) of maximal repeat groups: a leaf, and how far the group's string goes either way."""
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*set(rows)) if rows else [[]] * 4)], ["rd", "rk", "s", "e"])
+    def decide(bucket: list[tuple], parts: list[tuple[bytes, bytes]]):
+        whole = set()
+        for k, (left, right, members) in enumerate(maximal_repeats(parts, match)):
+            for m in members:
+                if (left, right) == (len(parts[m][0]), len(parts[m][1])):
+                    whole.add(m)
+                yield _hash(b"%d %d" % (bucket[m][0], k)), *bucket[m][:3], left, right
+        for m, (kh, sh, si, n, *_) in enumerate(bucket):
+            if n > 1 and m not in whole:  # a leaf of many rows that no other one holds
+                yield _hash(b"%d leaf %d" % (kh, m)), kh, sh, si, len(parts[m][0]), len(parts[m][1])
+
+    return decide
 
 
 def _hash(*parts: bytes) -> int:
@@ -193,27 +224,28 @@ def _hash(*parts: bytes) -> int:
 
 
 def _finer(match: int, step: int):
-    """Rows (kh, n, rd, rk, at, seg) to such rows with an sh, whose windows are cut into blocks of step offsets."""
+    """Rows of segments to such rows whose windows are cut into blocks of step offsets, with keys of their own, and their leaf."""
 
     def run(batches):
         for b in batches:
             out = []
-            for kh, n, rd, rk, at, seg in zip(*(c.to_pylist() for c in b.columns)):
+            for kh, sh, si, n, rd, rk, at, seg in zip(*(c.to_pylist() for c in b.columns)):
                 place, lo, hi = at >> 20, at >> 10 & 1023, at & 1023
                 for j in range(lo // step, hi // step + 1):
                     low, high = max(lo, j * step), min(hi, j * step + step - 1)
                     core = seg[hi - j * step : hi + match - (j * step + step - 1)]
                     part = seg[hi - high : hi - low + match]
-                    tag = b"%d %d %d " % (kh, j, step)
-                    out.append((_hash(tag, core), _hash(b"%d %d " % (low, high), part), n, rd, rk, place << 20 | low << 10 | high, part))
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 7, kinds)], ["kh", "sh", "n", "rd", "rk", "at", "seg"])
+                    own = hashlib.blake2b(b"%d %d " % (low, high) + part, digest_size=16).digest()
+                    halves = (int.from_bytes(x, "little", signed=True) for x in (own[:8], own[8:]))
+                    out.append((_hash(b"%d %d %d " % (kh, j, step), core), *halves, n, rd, rk, place << 20 | low << 10 | high, part, kh, sh, si))
+            kinds = [pa.int64()] * 7 + [pa.binary()] + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 11, kinds)], ["kh", "sh", "si", "n", "rd", "rk", "at", "seg", *LEAF])
 
     return run
 
 
 def _segments(match: int):
-    """Documents with their list of anchors to rows (kh, n, rd, rk, at, seg)."""
+    """Documents with their list of anchors to rows (kh, sh, si, n, rd, rk, at, seg)."""
 
     def run(batches):
         for b in batches:
@@ -222,9 +254,9 @@ def _segments(match: int):
                 for w in wanted:
                     at = w["at"]
                     place = at >> 20
-                    out.append((w["kh"], w["n"], rd, rk, at, text[place - (at & 1023) : place - (at >> 10 & 1023) + match]))
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["kh", "n", "rd", "rk", "at", "seg"])
+                    out.append((w["kh"], w["sh"], w["si"], w["n"], rd, rk, at, text[place - (at & 1023) : place - (at >> 10 & 1023) + match]))
+            kinds = [pa.int64()] * 7 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 8, kinds)], ["kh", "sh", "si", "n", "rd", "rk", "at", "seg"])
 
     return run
 
@@ -235,43 +267,79 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("rd"), F.xxhash64(text).alias("rk"), text.cast("binary").alias("text"))
 
 
-def repeated_spans(docs: DataFrame, match: int = MATCH, k: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rd, rk, s, e): stretches of bytes that strings of match bytes cover which start elsewhere too; they may overlap."""
-    spark, texts = docs.sparkSession, keyed(docs, id_col, text_col)
-    n = scratch.partitions(spark)
-    anchors = scratch.table(texts.mapInArrow(_anchor_rows(match, k), "kh long, sh long, rd long, rk long, at long"), "anchors")
+def _shared(docs: DataFrame, match: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """The anchors whose k-gram occurs more than once."""
+    anchors = scratch.table(keyed(docs, id_col, text_col).mapInArrow(_anchor_rows(match, k), "kh long, sh long, si long, rd long, rk long, at long"), "anchors")
     # a table of its own, so that the join's sides are plain exchanges and a hot k-gram's rows can be split
-    shared = scratch.table(anchors.groupBy("kh").count().where("count > 1").select("kh"), "kgrams")
-    found = scratch.table(anchors.join(shared, "kh", "left_semi").withColumn("n", F.lit(1).cast("long")), "shared")
+    kgrams = scratch.table(anchors.groupBy("kh").count().where("count > 1").select("kh"), "kgrams")
+    shared = scratch.table(anchors.join(kgrams, "kh", "left_semi"), "shared")
     scratch.drop(anchors)
-    spans, steps = None, [x for x in (64, 16, 4, 1) if 4 * x <= match]  # blocks of offsets keep three quarters of a window in common
+    scratch.drop(kgrams)
+    return shared
+
+
+def _bounds():
+    """lo and hi of an anchor."""
+    return F.shiftright("at", 10).bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023))
+
+
+def _rounds(shared: DataFrame, texts: DataFrame, match: int, hot: int, groups: bool) -> DataFrame:
+    """Spans (rd, rk, s, e), or the members (grp, kh, sh, si, back, ahead) of groups, of leaves of shared."""
+    n, key, (lo, hi), place = scratch.partitions(shared.sparkSession), ["kh", "sh", "si"], _bounds(), F.shiftright("at", 20)
+    found, result, finer = shared.withColumn("n", F.lit(1).cast("long")), None, []
+    steps = [x for x in (64, 16, 4, 1) if 4 * x <= match]  # blocks of offsets keep three quarters of a window in common
     while True:
-        text = ["seg"] if "seg" in found.columns else []
-        leaves = found.groupBy("kh", "sh").agg(F.sum("n").alias("n"), F.min(F.struct("rd", "rk", "at", *text)).alias("one"))
-        leaves = scratch.table(leaves.select("kh", "sh", "n", "one.*"), "leaves")
-        whole = found.where("n = 1").join(leaves.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi")
-        place = F.shiftright("at", 20)
-        whole = whole.select("rd", "rk", (place - F.col("at").bitwiseAND(F.lit(1023))).alias("s"), (place - F.shiftright("at", 10).bitwiseAND(F.lit(1023)) + match).alias("e"))
-        mixed = leaves.groupBy("kh").agg(F.count("*").alias("c"), F.count_if(F.col("n") == 1).alias("single")).where("c > 1 and single > 0")
-        rows = leaves.join(mixed.select("kh", "c"), "kh")
-        if not text:
-            wanted = rows.groupBy("rd", "rk").agg(F.collect_list(F.struct("kh", "n", "at", "c")).alias("wanted"))
-            cut = texts.join(wanted, ["rd", "rk"]).select("rd", "rk", "text", "wanted").mapInArrow(_segments(match), "kh long, n long, rd long, rk long, at long, seg binary")
+        text = ["seg"] if finer else []
+        leaves = found.groupBy(*key).agg(F.sum("n").alias("n"), scratch.salts("rd", "at").alias("bits"), F.min(F.struct("rd", "rk", "at", *text)).alias("one"))
+        leaves = scratch.table(leaves.select(*key, "n", "bits", "one.*"), "leaves")
+        mixed = leaves.groupBy("kh").agg(F.count("*").alias("c"), F.count_if(F.col("n") == 1).alias("single"), scratch.salts("sh").alias("bits"))
+        mixed = mixed.where("c > 1" if groups else "c > 1 and single > 0")  # where all leaves repeat, all their bytes do
+        rows = leaves.drop("bits").withColumn("salt", scratch.salt("sh")).join(mixed.select("kh", "c", scratch.each_salt("bits").alias("salt")), ["kh", "salt"])
+        if not finer:
+            wanted = rows.groupBy("rd", "rk").agg(F.collect_list(F.struct(*key, "n", "at")).alias("wanted"))
+            cut = texts.join(wanted, ["rd", "rk"]).select("rd", "rk", "text", "wanted").mapInArrow(_segments(match), SEGMENT)
             rows = scratch.table(cut, "segments")
             large = scratch.table(mixed.where(F.col("c") > hot).select("kh"), "large")
-            small = rows.join(large, "kh", "left_anti")
-            large_rows = rows.join(large, "kh", "left_semi")
+            small, large_rows = rows.join(large, "kh", "left_anti"), rows.join(large, "kh", "left_semi")
         else:
             small, large_rows = rows.where(F.col("c") <= hot), rows.where(F.col("c") > hot)
             large = mixed.where(F.col("c") > hot).select("kh")
-        columns = ["kh", "n", "rd", "rk", "at", "seg"]
-        scanned = small.select(*columns).repartition(n, "kh").sortWithinPartitions("kh").mapInArrow(_scan(match), "rd long, rk long, s long, e long")
-        both = whole.unionByName(scanned)
-        spans = both if spans is None else spans.unionByName(both)
+        columns = ["kh", "sh", "si", "n", "rd", "rk", "at", "seg"]
+        dealt = small.select(*columns).repartition(n, "kh").sortWithinPartitions("kh")
+        if groups:
+            members = leaves.where("n > 1").join(mixed.select("kh"), "kh", "left_anti").select(F.xxhash64(*key).alias("grp"), *key, hi.alias("back"), (match - lo).alias("ahead"))
+            members = members.unionByName(dealt.mapInArrow(_by_bucket(_groups_of(match), ["grp", *key, "back", "ahead"]), "grp long, kh long, sh long, si long, back long, ahead long"))
+            for f in reversed(finer):  # a finer leaf may hold several of the round before
+                members = members.join(f.select(*key, *LEAF), key).select("grp", *[F.col(x).alias(c) for c, x in zip(key, LEAF)], "back", "ahead")
+            both = members
+        else:
+            own = leaves.where("n > 1").select(*key, scratch.each_salt("bits").alias("salt"))
+            whole = found.where("n = 1").withColumn("salt", scratch.salt("rd", "at")).join(own, [*key, "salt"], "left_semi")
+            both = whole.select("rd", "rk", (place - hi).alias("s"), (place - lo + match).alias("e")).unionByName(dealt.mapInArrow(_by_bucket(_spans_of(match), ["rd", "rk", "s", "e"]), "rd long, rk long, s long, e long"))
+        result = both if result is None else result.unionByName(both)
         if not steps or not large.head(1):
-            return spans
-        step = steps.pop(0)
-        found = scratch.table(large_rows.select(*columns).mapInArrow(_finer(match, step), "kh long, sh long, n long, rd long, rk long, at long, seg binary"), "finer")
+            return result
+        found = scratch.table(large_rows.select(*columns).mapInArrow(_finer(match, steps.pop(0)), f"{SEGMENT}, k0 long, s0 long, i0 long"), "finer")
+        finer.append(found)
+
+
+def repeated_spans(docs: DataFrame, match: int = MATCH, k: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rd, rk, s, e): stretches of bytes that strings of match bytes cover which start elsewhere too; they may overlap."""
+    return _rounds(_shared(docs, match, k, id_col, text_col), keyed(docs, id_col, text_col), match, hot, False)
+
+
+def repeat_groups(docs: DataFrame, match: int = MATCH, k: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(grp, doc_id, rk, s, e): the maximal repeat groups, each with all its occurrences, of which the bytes from s to e are equal.
+
+    rk, a hash of the text, tells rows of one id apart. A group is of one anchor: a repeat that many anchors' segments cover is as
+    many groups, each as wide as its segments. In a bucket of more than hot leaves a group is maximal within its block of windows.
+    """
+    shared, key = _shared(docs, match, k, id_col, text_col), ["kh", "sh", "si"]
+    members = scratch.table(_rounds(shared, keyed(docs, id_col, text_col), match, hot, True).distinct(), "members")
+    rows = shared.withColumn("salt", scratch.salt("rd", "at"))
+    members = members.join(rows.groupBy(*key).agg(scratch.salts("rd", "at").alias("bits")), key).withColumn("salt", scratch.each_salt("bits"))
+    place = F.shiftright("at", 20)
+    return rows.join(members, [*key, "salt"]).select("grp", F.nullif("rd", F.lit(LEAST)).alias("doc_id"), "rk", (place - F.col("back")).alias("s"), (place + F.col("ahead")).alias("e")).distinct()
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -312,14 +380,28 @@ def removals(docs: DataFrame, match: int = MATCH, k: int = KGRAM, hot: int = HOT
     return keyed(docs, id_col, text_col).join(spans, ["rd", "rk"], "left").select("rd", "rk", "text", "spans").mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, match: int = MATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, without the repeated bytes. A character that loses a byte loses all; null text stays null."""
+def long_runs(text: bytes, runs: list[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
+    """The runs that hold least_words words or parts of words."""
+    return [(s, e) for s, e in runs if len(text[s:e].split()) >= least_words]
+
+
+def without_repeats(docs: DataFrame, match: int = MATCH, k: int = KGRAM, id_col: str = "doc_id", text_col: str = "text", least_words: int = 0) -> DataFrame:
+    """The rows of docs, with all their columns, without the repeated bytes. A character that loses a byte loses all; null text stays null.
+
+    Only maximal runs of repeated bytes with least_words words or more go.
+    """
+
+    def left(text, spans):
+        if text is None or spans is None or not len(spans):
+            return text
+        raw = text.encode()
+        return kept_bytes(raw, long_runs(raw, merged([(x["s"], x["e"]) for x in spans]), least_words)).decode(errors="ignore")
 
     @F.pandas_udf("string")
-    def kept(texts, spans):
-        return texts.combine(spans, lambda t, x: t if t is None or x is None or not len(x) else kept_bytes(t.encode(), merged([(y["s"], y["e"]) for y in x])).decode(errors="ignore"))
+    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([left(t, x) for t, x in zip(texts, spans)], dtype=object)
 
-    spans = _by_document(repeated_spans(docs, match, id_col=id_col, text_col=text_col)).select(F.col("rd").alias("__rd"), F.col("rk").alias("__rk"), F.col("spans").alias("__spans"))
+    spans = _by_document(repeated_spans(docs, match, k, id_col=id_col, text_col=text_col)).select(F.col("rd").alias("__rd"), F.col("rk").alias("__rk"), F.col("spans").alias("__spans"))
     rows = docs.withColumns({"__rd": F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), "__rk": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}).join(spans, ["__rd", "__rk"], "left")
     text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(kept(F.col(text_col), F.col("__spans")))
     return rows.withColumn(text_col, text).select(*docs.columns)

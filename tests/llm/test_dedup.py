@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from tests.llm.conftest import frame
 
-from spanloom.llm import components, exact_dedup, line_dedup, paragraph_dedup, simhash, suffix_dedup
+from spanloom.llm import components, exact_dedup, jaccard, line_dedup, paragraph_dedup, simhash, suffix_dedup
 
 SPACE = re.compile("[\x20\x09-\x0d]")
 
@@ -78,7 +78,7 @@ def test_chunks_don_t_matter():
     for chunk in (300, 1 << 19):
         windows = defaultdict(int)
         for part in suffix_dedup.anchors_of(data, starts, ends, 40, 8, chunk):
-            for doc, _, _, place, lo, hi in zip(*part):
+            for doc, _, _, _, place, lo, hi in zip(*part):
                 for o in range(lo, hi + 1):
                     windows[int(doc), int(place - o)] += 1
         assert windows == {(d, p): 1 for d, (s, e) in enumerate(zip(starts, ends)) for p in range(e - s - 39)}
@@ -154,7 +154,6 @@ def test_simhash(spark, rows):
         least[find(k)] = min((x for x in (least.get(find(k)), i) if x is not None), default=None)
     want = [(i, f"{f:016x}", least[find(k)]) for k, (i, f) in enumerate(prints)]
     assert by_key(simhash.near_dedup(frame(spark, rows)).collect()) == by_key(want)
-    assert simhash.keep_one(frame(spark, rows)).count() == len(set(find(k) for k in range(len(rows))))
 
 
 def test_keep_one_goes_by_rows(spark):
@@ -194,65 +193,209 @@ def sets_of(rows):
     for n, (d, t) in enumerate(rows):
         for k, line in enumerate((t or "").encode().lower().split(b"\n")):
             w = line.split()
-            if len(w) >= 20:
+            if len(w) >= 5:
                 yield n, d, k, frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 
 
-def test_paragraph_dedup(spark, rows):
-    found = list(sets_of(rows))
+def joined_by(found, near):
+    """The least number of what all pairs connect, by a plain fixed point."""
     comp = list(range(len(found)))
-    for _ in range(4):
-        for i, a in enumerate(found):
-            comp[i] = min(comp[j] for j, b in enumerate(found) if len(a[3] & b[3]) >= 0.8 * len(a[3] | b[3]))
+    pairs = [(i, j) for i in range(len(found)) for j in range(i) if near(found[i], found[j])]
+    before = None
+    while comp != before:
+        before = list(comp)
+        for i, j in pairs:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    return comp
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def paragraphs_of(rows, least=20):
+    found = list(sets_of(rows))
+    comp = joined_by([x[3] for x in found], alike)
     size, first = Counter(comp), {}
     for i, (n, d, k, _) in enumerate(found):
         first[comp[i]] = min(first.get(comp[i], (True, 2**60, 0)), (d is not None, d or 0, k))
-    gone = {(n, k) for i, (n, d, k, _) in enumerate(found) if size[comp[i]] > 1 and first[comp[i]] != (d is not None, d or 0, k)}
-    want = []
+    copies = {(n, k) for i, (n, d, k, _) in enumerate(found) if size[comp[i]] > 1 and first[comp[i]] != (d is not None, d or 0, k)}
     for n, (d, t) in enumerate(rows):
         lines = (t or "").split("\n")
-        kept = [x for k, x in enumerate(lines) if (n, k) not in gone]
-        want.append((d, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        gone, k = set(), 0
+        while k < len(lines):
+            run = 0
+            while (n, k + run) in copies:
+                run += 1
+            if sum(len(x.split()) for x in lines[k : k + run]) >= least:
+                gone |= set(range(k, k + run))
+            k += run + 1
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        yield d, kept, len(gone), hashlib.sha256(kept.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("bucket", [3, 1024])
+def test_paragraph_dedup(spark, rows, monkeypatch, bucket):
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
     got = paragraph_dedup.paragraph_dedup(frame(spark, rows)).drop("clusters").collect()
-    assert by_key(got) == by_key(want)
+    assert by_key(got) == by_key(paragraphs_of(rows))
 
 
-@pytest.mark.parametrize("bucket", [2, 1024])
-def test_large_buckets_lose_no_pair(spark, monkeypatch, bucket):
-    """Whatever the bound, all pairs of 0.8 that share a band are linked; many share one band only, and that with others."""
-    monkeypatch.setattr(paragraph_dedup, "BUCKET", bucket)
-    r = random.Random(11)
+def test_paragraphs_of_a_table(spark, tmp_path):
+    """op6 over whole documents against all pairs of lines that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = paragraph_dedup.op6_paragraph_minhash(spark, "/root/testdata/sf0.001").drop("clusters").collect()
+    want = {r[0]: r for r in paragraphs_of(rows)}
+    wrong = [r.doc_id for r in got if tuple(r) != want[r.doc_id]]
+    assert len(got) == len(rows) and len(wrong) <= len(rows) // 100  # a pair has a chance of 0.2 % to share no band
+    assert sum(r.n_removed for r in got) > 0
+
+
+def near_texts(sizes, copies, seed=11):
+    r = random.Random(seed)
     word = lambda: f"w{r.randrange(10**6)}"
     texts = []
-    for size in [60] * 30 + [24, 40, 90, 200]:
+    for size in sizes:
         base = [word() for _ in range(size)]
         texts.append(base)
-        for _ in range(7):
+        for _ in range(copies):
             near = list(base)
             for at in r.sample(range(size), max(1, size // 50)):
                 near[at] = word()
             texts.append(near)
-    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("bucket", [2, 5, 1024])
+def test_large_buckets_lose_no_pair(spark, monkeypatch, bucket):
+    """Whatever the bound, all pairs of 0.8 that share a band are linked; many share one band only, and that with others."""
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    rows = list(enumerate(near_texts([60] * 30 + [24, 40, 90, 200], 7)))
     sets = [s for _, t in rows for _, s in paragraph_dedup.Shingler().paragraphs(t.encode())]
     keys = [paragraph_dedup.band_keys(s).tolist() for s in sets]
-    near = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if any(a == b for a, b in zip(keys[i], keys[j])) and near(i, j)]
-    comp = list(range(len(sets)))
-    for _ in range(10):
-        for i, j in pairs:
-            comp[i] = comp[j] = min(comp[i], comp[j])
+    near = lambda i, j: any(a == b for a, b in zip(keys[i], keys[j])) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    comp = joined_by(list(range(len(sets))), near)
     size = Counter(comp)
     got = paragraph_dedup.paragraph_clusters(frame(spark, rows)).select("rd", "first_rd").collect()
     assert by_key(got) == [(i, c) for i, c in enumerate(comp) if size[c] > 1]
 
 
-def test_paragraph_query_takes_short_lines(spark, tmp_path):
-    """A text wrapped to lines of five to seven words is found again; a line of four words has no shingle."""
-    lines = ["one two three four five", "six seven eight nine ten eleven", "a b c d", "k l m n o p q"]
+@pytest.mark.parametrize("bucket", [3, 8, 1024])
+def test_one_bucket_of_all(spark, bucket):
+    """All sets share one key: links are just those of all pairs, though chains and several groups meet there."""
+    r = np.random.default_rng(3)
+    sets = []
+    for _ in range(6):
+        base = r.integers(0, 1 << 60, 40).astype(np.uint64)
+        for k in range(9):  # each is like the next, the first and last are not alike
+            sets.append(np.unique(np.concatenate([base[k:], r.integers(0, 1 << 60, k).astype(np.uint64)])))
+    common = r.integers(0, 1 << 60, 30).astype(np.uint64)  # in all sets, so that rarest shingles and blocks count
+    sets = [np.unique(np.concatenate([s, common])) for s in sets] + [np.unique(s) for s in r.integers(0, 1 << 60, (5, 30)).astype(np.uint64)]
+    comp = joined_by([frozenset(s.tolist()) for s in sets], alike)
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "cid long, shingles binary")
+    keys = spark.createDataFrame([(i, 0, 7) for i in range(len(sets))], "cid long, band int, key long")
+    got = dict(jaccard.links(keys, lambda cids: table, bucket).collect())
+    assert got == {i: c for i, c in enumerate(comp) if Counter(comp)[c] > 1}
+
+
+def test_paragraph_query_takes_wrapped_paragraphs(spark, tmp_path):
+    """A text wrapped to lines of five to seven words is found again; a line of four words has no shingle, a short line alone stays."""
+    lines = ["one two three four five", "six seven eight nine ten eleven", "b1 b2 b3 b4 b5 b6", "k l m n o p q", "a b c d", "e1 e2 e3 e4 e5"]
     frame(spark, [(1, "\n".join(lines)), (2, "\n".join(["own", *lines]))]).write.parquet(f"{tmp_path}/documents.parquet")
-    got = paragraph_dedup.op6_paragraph_minhash(spark, str(tmp_path)).select("doc_id", "n_removed", "kept_sha256").collect()
-    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    assert by_key(got) == [(1, 0, sha("\n".join(lines))), (2, 3, sha("own\na b c d"))]
+    got = paragraph_dedup.op6_paragraph_minhash(spark, str(tmp_path)).select("doc_id", "n_removed", "text").collect()
+    assert by_key(got) == [(1, 0, "\n".join(lines)), (2, 4, "own\na b c d\ne1 e2 e3 e4 e5")]
+
+
+def kept_of_near(rows):
+    """Of each group of texts of a Jaccard of 0.8, on five words or the whole of fewer, the first row."""
+    words = [tuple((t or "").encode().lower().split()) for _, t in rows]
+    sets = [frozenset(w[i : i + 5] for i in range(max(1, len(w) - 4))) for w in words]
+    comp = joined_by(sets, alike)
+    best = {}
+    for k, (d, t) in enumerate(rows):
+        best[comp[k]] = min(best.get(comp[k], (True, 2**63, 0, "", None)), (d is None, d or 0, -len(t or ""), hashlib.sha256((t or "").encode()).hexdigest(), t))
+    return [(None if lone else d, t or "") for lone, d, _, _, t in best.values()]
+
+
+@pytest.mark.parametrize("bucket", [3, 1024])
+def test_keep_one_against_all_pairs(spark, rows, monkeypatch, bucket):
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    rows = rows + [(1000 + i, t) for i, t in enumerate(near_texts([120, 300, 80], 6, 2))]
+    got = [(r.doc_id, r.text or "") for r in simhash.keep_one(frame(spark, rows)).collect()]
+    assert by_key(got) == by_key(kept_of_near(rows))
+
+
+def test_near_copies_are_found(spark):
+    """Recall of the pipeline's stage, over a whole table: pairs of 0.8 by all that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {" ".join((r.text or "").lower().split()): r.doc_id for r in docs.orderBy("doc_id", ascending=False).collect()}
+    sets = [frozenset(w[i : i + 5] for i in range(len(w) - 4)) for t in texts for w in [tuple(t.split())] if len(w) > 4]
+    ids = [i for t, i in texts.items() if len(t.split()) > 4]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    shared = Counter((i, j) for own in holders.values() if len(own) > 1 for i in own for j in own if i < j)
+    pairs = [(ids[i], ids[j]) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    comp = {r.doc_id: r.component for r in simhash.similar_classes(docs).collect()}
+    assert len(pairs) > 3 and sum(comp[a] == comp[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_repeat_groups(spark, hot):
+    r = random.Random(5)
+    passages = ["".join(r.choice("abcdé ") for _ in range(90)) for _ in range(3)]
+    piece = lambda: r.choice([r.choice(passages)[r.randrange(10) : r.randrange(30, 90)], "".join(r.choice("abc") for _ in range(r.randrange(20)))])
+    rows = [(i, "".join(piece() for _ in range(r.randrange(7)))) for i in range(50)] + [(60, passages[0]), (60, passages[0] + "x"), (None, passages[0])]
+    texts = defaultdict(list)
+    for d, t in rows:
+        texts[d].append(t.encode())
+    found = suffix_dedup.repeat_groups(frame(spark, rows), match=40, k=8, hot=hot).collect()
+    groups, covered = defaultdict(set), defaultdict(set)
+    keys = {(g.doc_id, g.rk) for g in found}
+    text_of = {}
+    for d, k in keys:
+        text_of[d, k] = [t for t in texts[d] if all(g.e <= len(t) for g in found if (g.doc_id, g.rk) == (d, k))]
+    for g in found:
+        groups[g.grp].add((g.doc_id, g.rk, g.s, g.e))
+        covered[g.doc_id, g.rk] |= set(range(g.s, g.e))
+    count = lambda x: sum(1 for _, t in rows for i in range(len(t.encode())) if t.encode()[i : i + len(x)] == x)
+    for members in groups.values():
+        strings = [{t[s:e] for t in text_of[d, k]} for d, k, s, e in members]
+        same = set.intersection(*strings)
+        assert same and len(members) > 1 and all(e - s >= 40 for _, _, s, e in members)
+        if hot == 1024:
+            assert count(same.pop()) == len(members)
+    want = sum(n for _, _, n, *_ in cover(rows, 40))
+    assert sum(len(x) for x in covered.values()) == want
+
+
+def removed_passages(rows, match, least):
+    starts = Counter(b[i : i + match] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - match + 1))
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - match + 1):
+            if starts[b[i : i + match]] > 1:
+                gone[i : i + match] = b"\1" * match
+        out, i = b"", 0
+        while i < len(b):
+            j = i
+            while j < len(b) and gone[j] == gone[i]:
+                j += 1
+            if not gone[i] or len(b[i:j].split()) < least:
+                out += b[i:j]
+            i = j
+        yield d, out.decode(errors="ignore")
+
+
+def test_without_repeats(spark, rows):
+    small = [x for x in rows if len(x[1] or "") < 60_000]
+    for match, k, least in ((200, 64, 50), (400, 128, 0)):
+        got = suffix_dedup.without_repeats(frame(spark, small), match, k, least_words=least).collect()
+        assert by_key((r.doc_id, r.text or "") for r in got) == by_key(removed_passages(small, match, least))
+        assert {r.doc_id for r in got if r.text is None} == {200, None}
 
 
 @pytest.mark.parametrize("what", [exact_dedup.exact_dedup, suffix_dedup.removals, simhash.near_dedup, line_dedup.line_dedup, paragraph_dedup.paragraph_dedup])
