@@ -64,7 +64,7 @@ def frequent(items: DataFrame, k: int = COUNTERS) -> DataFrame:
 
 
 def _winner():
-    order = F.struct(F.col("n_points"), F.col("doc_id").isNotNull(), -F.coalesce("doc_id", F.lit(0)), -F.col("row_no"))
+    order = F.struct(F.col("n_points"), F.col("doc_id").isNotNull(), F.bitwise_not(F.coalesce("doc_id", F.lit(0))), -F.col("row_no"))
     return F.max_by(F.struct("doc_id", "row_no"), order)
 
 
@@ -93,12 +93,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that repeat both id and text leave one."""
-    key = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__sha": text_digest(text_col), "__n": F.length(F.coalesce(F.col(text_col), F.lit("")))}
-    decided = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("text_sha256").alias("__sha"))
-    same = Window.partitionBy("__id", "__sha").orderBy(F.desc("__n"))
-    stay = docs.withColumns(key).join(decided, ["__id", "__sha"], "left_semi").withColumn("__no", F.row_number().over(same))
-    return stay.where("__no = 1").select(*docs.columns)
+    """The rows of docs that stay, with all their columns. Rows that repeat both id and text leave one, the longest.
+
+    What is taken away is a table (id, digest) of the losers alone. While it is small Spark broadcasts it, by the size of its files,
+    and no text is shuffled; beyond that it is an ordinary join.
+    """
+    key = {"__id": F.col(id_col).cast("long"), "__sha": text_digest(text_col)}
+    decided = exact_dedup(docs, id_col, text_col).where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    decided = scratch.table(decided.where("not kept or n > 1"), "losers").alias("l")
+    same = F.expr("__id <=> l.doc_id and __sha = l.text_sha256")
+    gone, twice = decided.where("not kept"), decided.where("kept")
+    rows = docs.withColumns(key).join(gone, same, "left_anti")
+    if not twice.head(1):
+        return rows.select(*docs.columns)
+    first = Window.partitionBy("__id", "__sha").orderBy(F.desc(F.length(F.coalesce(F.col(text_col), F.lit("")))))
+    once = rows.join(twice, same, "left_semi").withColumn("__no", F.row_number().over(first)).where("__no = 1")
+    return rows.join(twice, same, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
