@@ -5,7 +5,8 @@ made: their strings are ordinary text. Each row stands alone, so nulls, repeated
 need no care; only the id and the text column are read.
 
 Long texts are cut before they are encoded, at places where no match of the pattern can cross: before a
-lone space between two letters, or else where a match of the pattern ends.
+lone space between two letters, or else where a match of the pattern ends that isn't white space, as what a
+match of white space takes depends on the character after it.
 """
 
 from __future__ import annotations
@@ -41,13 +42,20 @@ class Codec:
         at = 0
         while len(text) - at > self.long:
             found = SAFE.search(text, at + self.long // 2, at + self.long)
-            cut = found.start() if found else at
-            while cut < at + self.long // 2:  # no safe place near: walk the matches themselves
-                cut = self.pattern.match(text, cut).end()
+            cut = found.start() if found else self._walk(text, at)
             yield text[at:cut]
             at = cut
         yield text[at:]
 
+    def _walk(self, text: str, at: int) -> int:
+        """Where the first match ends that begins half a piece after at or later and isn't white space; all matches from at are walked."""
+        cut = at
+        while cut < len(text):
+            start, cut = cut, self.pattern.match(text, cut).end()
+            if cut >= at + self.long // 2 and not text[start:cut].isspace():
+                break
+        return cut
+
     def encode(self, text: str | None) -> list[int]:
         if len(text or "") <= self.long:
             return self.bpe.encode_ordinary(text or "")
