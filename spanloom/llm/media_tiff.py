@@ -1,8 +1,12 @@
 """TIFF columns: images as bytes in a binary column, one row for each page.
 
 read_tiff() walks the chain of image directories, decodes stored, PackBits, LZW or deflate strips and tiles, undoes the
-horizontal predictor, and gives the 8-bit samples. write_tiff() is its counterpart. A file that can't be read, or a page of
-another depth, gives a row with an error and null samples; null media give no page.
+horizontal predictor, and gives the 8-bit samples. write_tiff() is its counterpart. A file that can't be read, a page of
+another depth, or one of over MOST bytes gives a row with an error and null samples; what a strip unpacks to beyond the size that
+the page's tags give is never built. Null and empty media: null give no page, empty an error. Ids may be null or repeat, each row
+gives its own pages; an empty table gives an empty result; only the id and the media (or text) column are read.
+
+text_media() takes null text as empty, and a very long text as many pages.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ from pyspark.sql import DataFrame
 
 STORED, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 4096, 1024
+MOST = 1 << 30
+BROKEN = (KeyError, ValueError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error)
 KINDS = {1: "B", 2: "c", 3: "H", 4: "I"}
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int = MOST) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < most:
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -52,7 +58,7 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, most: int = MOST) -> bytes:
     """Codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends."""
     table = [bytes((i,)) for i in range(256)] + [b"", b""]
     out, bits, held, width, last = bytearray(), 0, 0, 9, b""
@@ -60,6 +66,8 @@ def unpack_lzw(data: bytes) -> bytes:
         bits, held = (bits << 8 | byte) & 0xFFFFFF, held + 8
         if held < width:
             continue
+        if len(out) >= most:
+            break
         held -= width
         code = bits >> held & (1 << width) - 1
         if code == 257:
@@ -119,7 +127,13 @@ def pack_lzw(data: bytes) -> bytes:
 
 
 PACK = {STORED: bytes, LZW: pack_lzw, DEFLATE: lambda x: zlib.compress(x, 6), PACKBITS: pack_bits}
-UNPACK = {STORED: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+
+
+def unpack_deflate(data: bytes, most: int = MOST) -> bytes:
+    return zlib.decompressobj().decompress(data, max(most, 1))
+
+
+UNPACK = {STORED: lambda data, most: data[:most], LZW: unpack_lzw, DEFLATE: unpack_deflate, OLD_DEFLATE: unpack_deflate, PACKBITS: unpack_bits}
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None) -> bytes:
@@ -174,25 +188,32 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
     return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
-def _samples(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
+def _samples(data: bytes, tags: dict[int, list[int]], most: int) -> np.ndarray:
     width, height, samples = tags[256][0], tags[257][0], tags.get(277, [1])[0]
+    if not 0 < width * height * samples <= most:
+        raise ValueError(f"a page of {width} x {height} x {samples} samples")
     if any(b != 8 for b in tags.get(258, [1])) or tags.get(284, [1])[0] != 1:
         raise ValueError("not chunky 8-bit samples")
     unpack = UNPACK[tags.get(259, [1])[0]]
     tiled = 324 in tags
     tall, wide = (tags[323][0], tags[322][0]) if tiled else (min(tags.get(278, [height])[0], height), width)
     across = -(-width // wide)
+    if -(-height // tall) * tall * across * wide * samples > 4 * most or tags.get(317, [1])[0] not in (1, 2):
+        raise ValueError("tiles beyond the page, or another predictor")
     page = np.zeros((-(-height // tall) * tall if tiled else height, across * wide, samples), np.uint8)
     for k, (place, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
         y, x = k // across * tall, k % across * wide
         rows = tall if tiled else min(tall, height - y)
-        part = np.frombuffer(unpack(data[place : place + size])[: rows * wide * samples], np.uint8).reshape(rows, wide, samples)
+        if rows < 1:
+            raise ValueError("more strips or tiles than the page has")
+        own = rows * wide * samples
+        part = np.frombuffer(unpack(data[place : place + size], own)[:own], np.uint8).reshape(rows, wide, samples)
         page[y : y + rows, x : x + wide] = np.cumsum(part, axis=1, dtype=np.uint8) if tags.get(317, [1])[0] == 2 else part
     return page[:height, :width]
 
 
-def read_tiff(data: bytes):
-    """Yields (page number, tags, samples or None, error or None)."""
+def read_tiff(data: bytes, most: int = MOST):
+    """Yields (page number, tags, samples or None, error or None); pages of over most bytes are an error."""
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
     if order is None:
         yield 0, {}, None, "not a TIFF file"
@@ -206,13 +227,18 @@ def read_tiff(data: bytes):
             seen.add(at)
             tags, at = _directory(data, at, order)
             try:
-                yield len(seen) - 1, tags, _samples(data, tags), None
-            except (KeyError, ValueError, IndexError, zlib.error) as e:
+                yield len(seen) - 1, tags, _samples(data, tags, most), None
+            except BROKEN as e:
                 yield len(seen) - 1, tags, None, f"{type(e).__name__}: {e}"
-    except (struct.error, ValueError) as e:
+    except BROKEN as e:
         yield len(seen), {}, None, f"{type(e).__name__}: {e}"
 
 
+def _small(values: list[int] | None) -> int | None:
+    """The first value, where it is a signed 32-bit number."""
+    return values[0] if values and values[0] < 1 << 31 else None
+
+
 def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(doc_id, page, width, height, samples_per_pixel, samples, error): one row for each page."""
     schema = "doc_id long, page int, width int, height int, samples_per_pixel int, samples binary, error string"
@@ -221,7 +247,7 @@ def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
         for b in batches:
             for key, data in zip(b.column(0).to_pylist(), b.column(1)):
                 for page, tags, x, error in read_tiff(data.as_py()) if data.is_valid else ():
-                    size = [x.shape[1], x.shape[0], x.shape[2]] if x is not None else [tags.get(256, [None])[0], tags.get(257, [None])[0], tags.get(277, [None])[0]]
+                    size = [x.shape[1], x.shape[0], x.shape[2]] if x is not None else [_small(tags.get(t)) for t in (256, 257, 277)]
                     yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "page", "width", "height", "samples_per_pixel", "samples", "error"), (key, page, *size, x.tobytes() if x is not None else None, error)))], schema=out)
 
     out = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples_per_pixel", pa.int32()), ("samples", pa.binary()), ("error", pa.string())])
