@@ -35,7 +35,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
 END_ID = 1
 GROUP = 30_000
-WEIGHTS = (1.0, 1e-3, 1e-3)
+WEIGHTS = (1.0, 8.0, 0.5)
 CACHED, LONG_PART, SHORT, TEXTS = 500_000, 1000, 8, 256
 #: The vocabulary's own pre-tokenizer, and parts that neither its normaliser nor case changes cut otherwise.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -195,23 +195,24 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, most_docs: int = CAP
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, most_docs: int = CAPACITY, most_cost: int = CAPACITY**2, group: int = GROUP, by: str = "norm") -> DataFrame:
-    """cut: rows of pieces() without ids, written out. Adds sequence_id and offset."""
+    """cut: rows of pieces() without ids, with row_no, written out. Adds sequence_id and offset."""
     groups = max(1, cut.count() // group)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         number = rows["_group"].iloc[0]
-        rows = rows.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable").drop(columns="_group")
+        rows = rows.sort_values(["length", "row_no"], ascending=[False, True], kind="stable").drop(columns=["_group", "row_no"])
         bins, offsets = best_fit(rows["length"].to_numpy(), capacity, most_docs, most_cost, by=by)
         return rows.assign(sequence_id=(int(number) << 32) + bins, offset=offsets)
 
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("row_no"), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(run, schema)
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece."""
-    return pack(scratch.table(pieces(docs, vocabulary, id_col=id_col, text_col=text_col), "pieces"))
+    cut = pieces(docs, vocabulary, id_col=id_col, text_col=text_col).withColumn("row_no", F.monotonically_increasing_id())
+    return pack(scratch.table(cut, "pieces"))
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
