@@ -1,8 +1,9 @@
 """URL filter: rules by host and path first, then logistic regression on hashed character n-grams.
 
 Everything is a DataFrame expression that stays in the JVM. Host and path of a null URL, or of one
-without "://", are empty; such rows get the model's verdict on no n-grams. Rows stand alone: ties,
-repeated rows and extra columns need no care, and an empty table gives an empty result.
+without "://", are empty; such rows get the model's verdict on no n-grams. Very long URLs are taken whole. Rows
+stand alone: ties, repeated rows, null ids and extra columns need no care, and an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -19,8 +20,36 @@ SIZES = (3, 4, 5)
 #: The longest rule that fits wins; among equals the one that blocks.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: A small labelled table: sites worth reading, and shops, lures and machine-made pages.
-GOOD = ("https://www.history-museum.org/en/articles/founding", "https://library.city.edu/catalog/books/1201", "https://blog.gardener.net/2021/05/pruning-roses", "https://news.herald.com/en/science/2020/comet", "https://docs.compiler.org/manual/types.html", "https://wiki.rivers.net/de/elbe", "https://www.physics.edu/lectures/optics/notes", "https://m.recipes.com/fr/soupe-aux-legumes", "https://journal.medicine.org/es/estudios/2019", "https://forum.astronomy.net/thread/4211", "http://school.example.org/fr/lecons/12", "https://archive.letters.org/de/briefe/1890")
-BAD = ("http://casino-bonus.win/free-spins?ref=7", "http://cheap-pills.shop/buy/viagra-online", "http://xxx-tube.adult/porn/video/55", "http://click.ads-track.biz/redirect?banner=3", "http://hot-singles.date/login/chat-now", "http://free-crack.download/keygen/full.exe", "http://win-lottery.top/claim/prize", "http://replica-watches.shop/sale/buy-now", "http://poker.bet-online.win/jackpot", "http://popup.adserver.biz/click/track.gif", "http://torrent-warez.download/crack/serial", "http://payday-loan.top/apply/fast-cash")
+GOOD = """
+https://www.history-museum.org/en/articles/founding https://library.city.edu/catalog/books/1201 https://blog.gardener.net/2021/05/pruning-roses
+https://news.herald.com/en/science/2020/comet https://docs.compiler.org/manual/types.html https://wiki.rivers.net/de/elbe
+https://www.physics.edu/lectures/optics/notes https://m.recipes.com/fr/soupe-aux-legumes https://journal.medicine.org/es/estudios/2019
+https://forum.astronomy.net/thread/4211 http://school.example.org/fr/lecons/12 https://archive.letters.org/de/briefe/1890
+https://www.art-museum.org/en/collection/paintings https://library.state.edu/articles/maps/44 https://blog.walker.net/2019/11/autumn-hills
+https://news.tribune.com/en/culture/2022/opera https://docs.database.org/manual/joins.html https://wiki.mountains.net/de/alpen
+https://www.biology.edu/lectures/cells/notes https://www.cooking.com/fr/recettes/pain-de-campagne https://journal.geology.org/articles/2017/strata
+https://forum.gardeners.net/thread/983 http://school.village.org/fr/lecons/3 https://archive.newspapers.org/en/1912/harbour
+https://www.science-museum.org/en/articles/steam https://library.college.edu/catalog/journals/77 https://blog.birdwatch.net/2020/03/spring-songs
+https://news.courier.com/en/world/2021/summit https://docs.editor.org/guide/macros.html https://wiki.lakes.net/de/bodensee
+https://www.chemistry.edu/lectures/acids/exercises https://www.kitchen.com/es/recetas/gazpacho https://journal.history.org/articles/1998/trade-routes
+https://forum.woodwork.net/thread/1207 http://school.valley.org/es/lecciones/8 https://archive.poems.org/fr/poemes/1870
+https://university.edu/courses/algebra/syllabus https://encyclopedia.org/en/articles/photosynthesis https://stories.writers.net/2018/02/the-lighthouse
+""".split()
+BAD = """
+http://casino-bonus.win/free-spins?ref=7 http://cheap-pills.shop/buy/viagra-online http://xxx-tube.adult/porn/video/55
+http://click.ads-track.biz/redirect?banner=3 http://hot-singles.date/login/chat-now http://free-crack.download/keygen/full.exe
+http://win-lottery.top/claim/prize http://replica-watches.shop/sale/buy-now http://poker.bet-online.win/jackpot
+http://popup.adserver.biz/click/track.gif http://torrent-warez.download/crack/serial http://payday-loan.top/apply/fast-cash
+http://online-casino.win/bonus/slots http://discount-pills.shop/buy/cialis-cheap http://free-xxx.adult/video/porn/12
+http://ads.click-track.biz/banner/redirect http://meet-singles.date/chat/login http://keygen-crack.download/free/serial.exe
+http://lottery-prize.top/winner/claim http://cheap-watches.shop/buy/replica http://bet-poker.win/free-jackpot
+http://track.adserver.biz/popup/click.gif http://warez-torrent.download/full/crack http://fast-loan.top/cash/apply-now
+http://slots-bonus.win/casino/free http://pills-online.shop/cheap/buy http://hot-tube.adult/xxx/video/8
+http://banner.ads-click.biz/track?id=9 http://adult-chat.date/singles/login-now http://serial-download.top/crack/keygen.exe
+http://claim-prize.top/win/free-phone http://luxury-replica.shop/sale/cheap-bags http://jackpot-bet.win/poker/bonus
+http://redirect.adtrack.biz/click/popup http://movie-torrent.download/free/full http://instant-cash.top/loan/apply
+http://sex-cams.adult/live/chat-now http://buy-followers.shop/cheap/likes http://spin-win.top/free-spins/claim
+""".split()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -41,10 +70,8 @@ def grams(host: Column, path: Column) -> Column:
 
     def of(part: Column, mark: str) -> Column:
         framed = F.concat(F.lit("|"), part, F.lit("|"))
-        every = [
-            F.when(F.length(framed) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-            for n in SIZES
-        ]
+        # each match looks at n characters and takes one, so that a text is read once for a size
+        every = [F.transform(F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{n}}}))."), 1), lambda g: F.concat(F.lit(mark), g)) for n in SIZES]
         return F.when(F.length(part) > 0, F.concat(*every)).otherwise(F.array().cast("array<string>"))
 
     return F.concat(of(host, "h"), of(path, "p"))
