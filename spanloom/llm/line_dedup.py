@@ -5,13 +5,14 @@ exact table `holders` has a row for each key of LEAST_CHARS code points or more
 number of documents and the largest doc_id of each key. Cuckoo filters, one for each shard of the keys, hold the keys of at
 least LEAST_DOCS documents. Holders meet only the filter of their shard, in a stream where the filter comes first; what
 passes is checked against the exact counts, so a filter's false positives never drop a line. Shards are salted, so that a
-line in a third of all documents meets as many copies of its filter, and no filter is broadcast.
+line in a third of all documents meets as many copies of its filter, and no filter is broadcast. A filter that is full after
+insertions is built anew, larger, from the exact counts, and the number of shards grows with the keys.
 
 insert() and delete() add and take away documents: counts are summed anew from signed holders, and keys that cross the
 threshold enter or leave their filter. After deleting what was inserted, everything is as before.
 
 Null or empty text is one empty line. Each row counts as a document; rows that repeat a doc_id share its decisions, and a null
-doc_id is less than any other. An empty table gives an empty result. Only the id and text column are read.
+doc_id is less than any other. Very long texts and lines are taken whole, a document in one task. An empty table gives an empty result. Only the id and text column are read.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def _build(batches):
     """Rows (shard, k1, k2, gone) sorted by shard, with the shard's old filter in a first row, to (shard, filter)."""
     shard, held, put, out = None, None, [], []
 
-    def finish(old, rows) -> bytes:
+    def finish(old, rows) -> bytes | None:
         keys = np.array(rows, np.int64).reshape(-1, 3)
         new, gone = keys[keys[:, 2] == 0], keys[keys[:, 2] == 1]
         size = max(16, 2 * len(new))
@@ -136,7 +137,7 @@ def _build(batches):
                 return found.delete(gone[:, 0], gone[:, 1]).insert(new[:, 0], new[:, 1]).tobytes()
             except OverflowError:
                 if old:
-                    raise
+                    return None  # to be built anew from all keys
                 size *= 2
 
     for b in batches:
@@ -183,17 +184,26 @@ class LineIndex:
             self.holders = scratch.table(holders.groupBy("k1", "k2", "rd").agg(F.sum("sign").cast("int").alias("sign")).where("sign > 0"), "holders")
         counts = self.holders.groupBy("k1", "k2").agg(F.sum("sign").alias("docs"), F.max("rd").alias("last"))
         self.frequent = scratch.table(counts.where(F.col("docs") >= LEAST_DOCS), "frequent")
-        self.shards = shards or max(4, self.frequent.count() // SHARD_KEYS)
+        wanted = max(4, self.frequent.count() // SHARD_KEYS)
+        self.shards = wanted if shards is None or wanted > 2 * shards else shards
         new = self.frequent.select("k1", "k2", F.lit(0).alias("gone"))
         filters = None
         if old is not None and old.shards == self.shards:
             both = new.join(old.frequent.select("k1", "k2", F.lit(True).alias("was")), ["k1", "k2"], "full")
             new = both.where("was is null or gone is null").select("k1", "k2", F.when(F.col("was").isNull(), 0).otherwise(1).alias("gone"))
             filters = old.filters.select("shard", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(-1).alias("gone"), "filter")
-        rows = new.select(self._shard(), "k1", "k2", "gone", F.lit(None).cast("binary").alias("filter"))
+        self.filters = self._built(new, filters)
+        if filters is not None and self.filters.where("filter is null").head(1):  # full ones grow
+            full = self.filters.where("filter is null").select("shard")
+            again = self.frequent.select("k1", "k2", F.lit(0).alias("gone")).withColumn("shard", self._shard()).join(full, "shard", "left_semi").drop("shard")
+            self.filters = scratch.table(self.filters.where("filter is not null").unionByName(self._built(again)), "filters")
+
+    def _built(self, keys: DataFrame, filters: DataFrame | None = None) -> DataFrame:
+        """(shard, filter): keys (k1, k2, gone) put into filters or taken out of them; null where an old filter is full."""
+        rows = keys.select(self._shard(), "k1", "k2", "gone", F.lit(None).cast("binary").alias("filter"))
         rows = rows.unionByName(filters) if filters is not None else rows
         dealt = rows.repartition(scratch.partitions(self.spark), "shard").sortWithinPartitions("shard", "gone")
-        self.filters = scratch.table(dealt.mapInArrow(_build, "shard int, filter binary"), "filters")
+        return scratch.table(dealt.mapInArrow(_build, "shard int, filter binary"), "filters")
 
     def _shard(self):
         return F.pmod(F.col("k1").bitwiseXOR(F.shiftrightunsigned("k1", 32)), F.lit(self.shards)).cast("int").alias("shard")
@@ -223,7 +233,10 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """(rd, keys): of each document the keys whose lines it loses."""
-        sure = self.passing(self.holders.select("k1", "k2", "rd")).join(self.frequent, ["k1", "k2"]).where("rd <> last")
+        passing = scratch.table(self.passing(self.holders.select("k1", "k2", "rd")), "passing")
+        bits = passing.groupBy("k1", "k2").agg(scratch.salts("rd").alias("bits"))  # a line in a third of all documents is dealt by document too
+        exact = self.frequent.join(bits, ["k1", "k2"]).select("k1", "k2", "last", scratch.each_salt("bits").alias("salt"))
+        sure = passing.withColumn("salt", scratch.salt("rd")).join(exact, ["k1", "k2", "salt"]).where("rd <> last")
         return sure.groupBy("rd").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
 
 
@@ -258,17 +271,17 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH d AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), l AS (
-  SELECT doc_id, i, lines[i] AS line,
+  SELECT r, doc_id, i, lines[i] AS line,
     translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM d, unnest(range(1, len(lines) + 1)) AS r(i)
+  FROM d, unnest(range(1, len(lines) + 1)) AS u(i)
 ), f AS (
-  SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+  SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3
 ), m AS (
-  SELECT l.doc_id, l.i, l.line, f.k IS NOT NULL AND l.doc_id <> f.last AS dropped FROM l LEFT JOIN f ON l.k = f.k
+  SELECT l.r, l.doc_id, l.i, l.line, f.k IS NOT NULL AND l.doc_id IS DISTINCT FROM f.last AS dropped FROM l LEFT JOIN f ON l.k = f.k
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r
 """
