@@ -26,7 +26,13 @@ def test_exact_dedup(spark, rows, counters):
     got = exact_dedup.exact_dedup(frame(spark, rows), counters=counters).collect()
     assert by_key(got) == by_key(want)
     kept = exact_dedup.keep_distinct(frame(spark, rows))
-    assert len(kept.columns) == 10 and kept.count() == len(groups)
+    assert len(kept.columns) == 10 and by_key((r.doc_id, r.text) for r in kept.collect()) == by_key(rows[min(g)[3]] for g in groups.values())
+
+
+def test_exact_dedup_at_the_least_id(spark):
+    least = -(2**63)
+    got = exact_dedup.exact_dedup(frame(spark, [(least, "a"), (5, "a"), (None, "a"), (least, "b"), (None, "b ")])).collect()
+    assert by_key((r.doc_id, r.keep_id, r.kept) for r in got) == by_key([(least, least, True), (5, least, False), (None, least, False), (least, None, False), (None, None, True)])
 
 
 def test_misra_gries_finds_every_frequent_item():
@@ -120,6 +126,20 @@ def test_line_dedup_and_its_reversal(spark, rows):
     assert count(back) == count(index) == index.frequent.count()
 
 
+@pytest.mark.parametrize("shards", [4, None])
+def test_line_index_grows(spark, shards):
+    """Insertions of ten times the keys: filters that are full are built anew, and nothing is lost."""
+    line = lambda k: f"line number {k} of the common ones"
+    batch = lambda a, b, ids: [(i, "\n".join(line(k) for k in range(a, b))) for i in ids]
+    index = line_dedup.LineIndex.build(frame(spark, batch(0, 100, range(3))), shards=shards)
+    rows = batch(0, 100, range(3))
+    for a, b, ids in ((100, 200, range(3, 6)), (200, 1400, range(6, 9))):
+        index = index.insert(frame(spark, batch(a, b, ids)))
+        rows += batch(a, b, ids)
+    assert index.frequent.count() == 1400 and index.filters.where("filter is null").count() == 0
+    assert by_key(line_dedup.line_dedup(frame(spark, rows), index).collect()) == by_key(lines_of(rows))
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(2)
     a, b = r.integers(-(2**62), 2**62, (2, 3000)), r.integers(-(2**62), 2**62, (2, 3000))
