@@ -150,13 +150,14 @@ def _split(hot: DataFrame, sets: DataFrame, bucket: int) -> DataFrame:
 def links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bucket: int | None = None) -> DataFrame:
     """(node, component) of all classes with a similar one; component is the least cid of those connected.
 
-    keys: (cid, band int, key long), each once, written out. sets_of takes a DataFrame with cid to (cid, shingles): sorted
+    keys: (cid, band int, key long), each once. They are shuffled and sorted once: nearly all are alone in their bucket, so that counting
+    them first would gain nothing. sets_of takes a DataFrame with cid to (cid, shingles): sorted
     unsigned longs as bytes, none of them empty.
     """
     spark, bucket = keys.sparkSession, bucket or BUCKET
     place = ["band", "key"]
-    buckets = keys.groupBy(*place).agg(F.count("*").alias("n"), F.min("cid").alias("least")).where("n > 1")
-    dealt = scratch.table(keys.join(buckets, place), "buckets")
+    whole = Window.partitionBy(*place)
+    dealt = scratch.table(keys.withColumn("n", F.count("*").over(whole)).withColumn("least", F.min("cid").over(whole)).where("n > 1"), "buckets")
     sets = scratch.table(sets_of(dealt), "sets")
     copies = lambda n: F.ceil(n / bucket).cast("long")
     pairs = dealt.where("cid <> least").groupBy(F.col("least").alias("u"), F.col("cid").alias("v")).agg(F.max("n").alias("n"))

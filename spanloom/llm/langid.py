@@ -175,7 +175,8 @@ def speaks(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "tex
 
     if not profiles:
         return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    found = docs.withColumn("__lang", predicted(F.col(text_col))).where("__lang <> 'und'")
+    # called nondeterministic so that it runs once for both uses
+    found = docs.withColumn("__lang", predicted.asNondeterministic()(F.col(text_col))).where("__lang <> 'und'")
     return found.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("__lang"))).select(*docs.columns)
 
 

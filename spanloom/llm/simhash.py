@@ -37,7 +37,7 @@ SHINGLE = 3
 SEED = 42
 BUCKET = 1024
 BLOCK = 1 << 16
-PRINTS = 8
+PRINTS = 6
 
 
 def shingle_hashes(words: list[bytes], size: int):
@@ -212,7 +212,7 @@ def similar_classes(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
         found = rows.join(wanted, F.expr("doc_id <=> wanted and sha = own")).select("cid", "text").mapInArrow(_whole_sets, "cid long, shingles binary")
         return found.dropDuplicates(["cid"])
 
-    joined = jaccard.links(scratch.table(keys, "keys"), sets_of)
+    joined = jaccard.links(keys, sets_of)
     return classes.join(joined, F.col("cid") == F.col("node"), "left").select(F.coalesce("component", "cid").alias("component"), "doc_id", "n", "sha")
 
 
