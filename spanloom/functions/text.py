@@ -43,6 +43,12 @@ def stopword_share(text: Column) -> tuple[Column, Column]:
     return n, F.size(F.filter(words, lambda w: w.isin(LISTS["stopword"]))) / F.greatest(n, F.lit(1))
 
 
+def english_ratio(text: Column) -> Column:
+    """What the gate reports: the share of stopwords to four places, 1 for texts of under 30 words, which it doesn't judge."""
+    n, share = stopword_share(text)
+    return F.when(n < 30, F.lit(1.0)).otherwise(F.bround(share, 4))
+
+
 def is_english(text: Column) -> Column:
     """Texts of under 30 words pass; others need 15 % of stopwords."""
     n, share = stopword_share(text)
@@ -97,7 +103,7 @@ def html_to_text(html: Column) -> Column:
 
 
 # Letters that have no decomposition, and what stands for them.
-LETTERS = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Þ": "Th", "þ": "th", "ı": "i", "Ħ": "H", "ħ": "h"}
+LETTERS = {"ß": "ss", "Æ": "Ae", "æ": "ae", "Œ": "Oe", "œ": "oe", "Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Þ": "Th", "þ": "th", "ı": "i", "Ħ": "H", "ħ": "h"}
 
 
 def _accents() -> dict[str, str]:

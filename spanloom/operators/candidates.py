@@ -81,6 +81,14 @@ def repetitions(cands: DataFrame) -> DataFrame:
     return cands.groupBy("doc_id", F.lower("text").alias("key")).agg(F.count("*").alias("reps"))
 
 
+def occurrences(cands: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, text, occurrences): how often each candidate's text is in its whole document, as words of their own; one count a distinct text."""
+    names = cands.groupBy("doc_id").agg(F.collect_set("text").alias("names"))
+    alone = lambda n: F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), n, F.lit(r"\E(?![\p{L}\p{N}_])"))
+    counts = F.transform("names", lambda n: F.struct(n.alias("text"), F.regexp_count(F.col("__whole"), alone(n)).alias("occurrences")))
+    return docs.select("doc_id", F.col(text).alias("__whole")).join(names, "doc_id").select("doc_id", F.inline(counts))
+
+
 def is_sure(patterns: Column, reps: Column) -> Column:
     """Whether knowledge backs a name: a title, a dictionary pair, or a known word found four times."""
     strong = F.arrays_overlap(patterns, F.array(F.lit("titled"), F.lit("dictionary"), F.lit("document_name")))
@@ -96,12 +104,20 @@ def decide(score: Column, sure: Column, common: Column) -> Column:
     return F.when(reached(ACCEPT) & sure, "accepted").when(reached(REVIEW) & ~(~sure & common), "review").otherwise("rejected")
 
 
-def judged(cands: DataFrame) -> DataFrame:
-    """Adds reps, failed (the first validator that rejects), score and decision. All rules are expressions over one row."""
-    rows = cands.withColumn("key", F.lower("text")).join(repetitions(cands), ["doc_id", "key"]).withColumn("ws", F.split("key", " ")).withColumn("raw", F.split("text", " "))
+def judged(cands: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Adds reps, failed (the first validator that rejects), score and decision. All rules are expressions over one row.
+
+    reps is how often a name is a candidate of its document, or more where counts, of occurrences(), finds it more often.
+    """
+    rows = cands.withColumn("key", F.lower("text")).join(repetitions(cands), ["doc_id", "key"])
+    if counts is not None:
+        rows = rows.join(counts, ["doc_id", "text"], "left").withColumn("reps", F.greatest("reps", F.col("occurrences").cast("long"))).drop("occurrences")
+    rows = rows.withColumn("ws", F.split("key", " ")).withColumn("raw", F.split("text", " "))
     n = F.size("ws")
     known = F.size(F.filter("ws", lambda w: has(w, "first") | has(w, "last")))
-    pairs = F.concat("ws", F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("ws", i, 2)))).otherwise(F.array().cast("array<string>")))
+    # all runs of words, the whole name among them; names of over five words fail by their length before
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("ws", i, k)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.concat("ws", *[runs(k) for k in range(2, 6)])
     strong = F.arrays_overlap("patterns", F.array(F.lit("titled"), F.lit("dictionary")))
     single = F.array_contains("patterns", "dictionary_single_token") & ~(has(F.col("ws")[0], "ambiguous") | ((n == 1) & has(F.col("key"), "calendar")))
     fails = {
@@ -139,7 +155,10 @@ def persons(cands: DataFrame) -> DataFrame:
 
 
 def collection(people: DataFrame) -> DataFrame:
-    """(name, total_occurrences, decision, num_documents, first_document) over all documents, of accepted and review persons."""
+    """(name, total_occurrences, decision, num_documents, first_document) over all documents, of accepted and review persons.
+
+    The documents themselves are the rows of people, of which a frequent name has too many for one value.
+    """
     rows = people.where("decision <> 'rejected'")
     return rows.groupBy(F.col("key").alias("name")).agg(
         F.sum("occurrences").alias("total_occurrences"), F.when(F.bool_or(F.col("decision") == "accepted"), "accepted").otherwise("review").alias("decision"),

@@ -1,8 +1,8 @@
-"""Span metrics: equi-joins on document and line with a range residual."""
+"""Span metrics: spans are grouped by line, or joined on document and line with a range residual."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,14 +19,24 @@ def with_overlap(spans: DataFrame, others: DataFrame) -> DataFrame:
     return spans.alias("a").join(others.alias("b"), _overlap("a", "b"), "left_semi")
 
 
+def _by_line(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(doc_id, line_no, gs, ps): gold and predicted spans of each line that has any, in order. Both come in one shuffle."""
+    tagged = lambda df, kind: df.select("doc_id", "line_no", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(kind).alias("kind"))
+    own = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("start", "end"))))
+    return tagged(gold, "g").unionByName(tagged(predicted, "p")).groupBy("doc_id", "line_no").agg(own("g").alias("gs"), own("p").alias("ps"))
+
+
+def _meets(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
 def metrics(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """One row: counts by any overlap, precision, recall and F1 rounded half to even."""
-    hits = with_overlap(predicted, gold).agg(F.count("*").alias("tp"))
-    all_of = predicted.agg(F.count("*").alias("n_predicted"))
-    found = with_overlap(gold, predicted).agg(F.count("*").alias("gold_found"))
-    golds = gold.agg(F.count("*").alias("n_gold"))
-    p, r = F.col("tp") / F.col("n_predicted"), F.col("gold_found") / F.col("n_gold")
-    return hits.crossJoin(all_of).crossJoin(found).crossJoin(golds).select("tp", "n_predicted", "gold_found", "n_gold", F.bround(p, 4).alias("precision"), F.bround(r, 4).alias("recall"), F.bround(2 * p * r / (p + r), 4).alias("f1"))
+    met = lambda xs, ys: F.size(F.filter(xs, lambda x: F.exists(ys, lambda y: _meets(x, y))))
+    counts = {"tp": met("ps", "gs"), "n_predicted": F.size("ps"), "gold_found": met("gs", "ps"), "n_gold": F.size("gs")}
+    one = _by_line(predicted, gold).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in counts.items()])
+    p, r = F.try_divide("tp", "n_predicted"), F.try_divide("gold_found", "n_gold")
+    return one.select(*counts, F.bround(p, 4).alias("precision"), F.bround(r, 4).alias("recall"), F.bround(F.try_divide(2 * p * r, p + r), 4).alias("f1"))
 
 
 def shape_recall(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -48,14 +58,12 @@ def one_to_one(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
     A fold over the spans of one line; spans of two lines never overlap.
     """
-    spans = lambda df, name: df.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
-    rows = spans(gold, "gs").join(spans(predicted, "ps"), ["doc_id", "line_no"], "full")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    rows = rows.select("doc_id", "line_no", F.coalesce(F.col("gs").cast("array<struct<start:int,end:int>>"), none).alias("gs"), F.coalesce(F.col("ps").cast("array<struct<start:int,end:int>>"), none).alias("ps"))
+    rows = _by_line(predicted, gold)
 
     def take(used, g):
-        free = F.filter("ps", lambda p: (p["start"] < g["end"]) & (g["start"] < p["end"]) & ~F.array_contains(used, p["start"]))
-        return F.when(F.size(free) > 0, F.concat(used, F.slice(F.transform(free, lambda p: p["start"]), 1, 1))).otherwise(used)
+        places = F.sequence(F.lit(0), F.greatest(F.size("ps") - 1, F.lit(0)))
+        free = F.filter(places, lambda i: F.coalesce(_meets(F.get("ps", i), g), F.lit(False)) & ~F.array_contains(used, i))
+        return F.concat(used, F.slice(free, 1, 1))
 
     used = F.aggregate("gs", F.array().cast("array<int>"), take)
     return rows.select("doc_id", "line_no", F.size("gs").alias("n_gold"), F.size("ps").alias("n_predicted"), F.size(used).alias("n_matched"))

@@ -3,11 +3,26 @@ windows, the greedy dictionary scan from a recursion."""
 
 from __future__ import annotations
 
-from ..operators.context import GENERIC_DOMAINS, LOG_LINE, PACKAGE_ROOTS, SECOND_LABELS, TABLE_ROW
-from ..operators.feedback import PRIVATE
 from ..operators.lexicon import LISTS
 from .fixtures import MARKED
 
+# Values of the checks' own, so that a wrong constant in an operator is found.
+PACKAGE_ROOTS = "com org net edu gov io android androidx java javax kotlin kotlinx dalvik sun".split()
+GENERIC_DOMAINS = "com org net edu gov mil int info biz".split()
+SECOND_LABELS = "co ac gov org net edu com nic res mil ltd plc sch nhs".split()
+PRIVATE = {"email": r"[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r"\d{1,3}(\.\d{1,3}){3}", "digits": r"\d{6}"}
+TABLE_ROW = r"^-Uid\s+\d+-Pkg\s"
+#: Whether a line is a log's, of its words: a date, a time with a fraction, numbers, a level, and a colon at its end or the next word's.
+LOG_WORDS = r"list_filter(regexp_split_to_array(trim(regexp_replace(line[1:100], '^(\s*[0-9-]+[T ][0-9:]{8})[.,\s]+', '\1.')), '\s+'), lambda w: NOT regexp_full_match(w, '[0-9]*'))"
+LOG_TIME = r"regexp_matches(line[1:100], '^\s*[0-9-]{5,10}[T ]\d\d:\d\d:\d\d[.,\s]+\d')"
+
+
+def _log_line() -> str:
+    after = f"list_filter({LOG_WORDS}, lambda w: NOT regexp_matches(w, '[0-9]{{2}}:[0-9]{{2}}|^[0-9-]{{5,10}}$'))"
+    level = f"split_part(split_part(({after})[1], '/', 1), ':', 1)"
+    levels = "'V', 'D', 'I', 'W', 'E', 'F', 'VERBOSE', 'DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL'"
+    return f"({LOG_TIME} AND {level} IN ({levels}) AND (contains(({after})[1], ':') OR {level} = ({after})[1] AND contains(coalesce(({after})[2], ''), ':')))"
+
 
 def _list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
@@ -33,8 +48,10 @@ PLAIN = _list(m.replace("**", "") for m in MARKED)
 RUN = r"[\p{L}_''\-]+"
 
 
-def spans_of(source: str) -> str:
-    """Common table expressions from source (doc_id, text) to judged candidates."""
+def spans_of(source: str, counts: bool = False) -> str:
+    """Common table expressions from source (doc_id, text) to judged candidates; counts: names are counted in the whole text too."""
+    often = "count(*) OVER (PARTITION BY doc_id, lower(text))"
+    often = f"greatest({often}, occurrences)" if counts else often
     return rf"""
 planted AS (
   SELECT doc_id, coalesce(text, '') || chr(10) || ({PLAIN})[doc_id % {len(MARKED)} + 1] || chr(10) || ({PLAIN})[(doc_id * 7 + 3) % {len(MARKED)} + 1] AS text FROM {source}
@@ -100,11 +117,14 @@ planted AS (
     AND other NOT IN {_in('location')} AND other NOT IN {_in('organization')} AND (other IN {_in('first')} OR other IN {_in('last')} OR other NOT IN {_in('common')})) GROUP BY ALL
 ), cands AS (
   SELECT doc_id, line_no, grp, coalesce(ws, s) AS s, coalesce(we, e) AS e, coalesce(wtext, text) AS text, evidence, pats FROM bests LEFT JOIN wide USING (doc_id, line_no, grp)
+), occ AS (
+  SELECT doc_id, text, len(list_filter(range(1, len(ps)), lambda i: (i = 1 OR ps[i] <> '') AND NOT regexp_matches(right(ps[i], 1), '[\p{{L}}\p{{N}}_]') AND NOT regexp_matches(left(ps[i + 1], 1), '[\p{{L}}\p{{N}}_]'))) AS occurrences
+  FROM (SELECT DISTINCT c.doc_id, c.text, string_split(p.text, c.text) AS ps FROM cands c JOIN planted p ON p.doc_id = c.doc_id)
 ), counted AS (
-  SELECT *, lower(text) AS key, count(*) OVER (PARTITION BY doc_id, lower(text)) AS reps, string_split(lower(text), ' ') AS ws, string_split(text, ' ') AS raw FROM cands
+  SELECT *, lower(text) AS key, {often} AS reps, string_split(lower(text), ' ') AS ws, string_split(text, ' ') AS raw FROM cands{" JOIN occ USING (doc_id, text)" if counts else ""}
 ), tested AS (
   SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: w IN {_in('first')} OR w IN {_in('last')})) AS known,
-    list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS pairs,
+    flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, greatest(len(ws) - k + 2, 1)), lambda i: array_to_string(ws[i:i + k - 1], ' ')))) AS pairs,
     list_has_any(pats, ['titled', 'dictionary']) AS strong FROM counted
 ), failing AS (
   SELECT *, CASE
@@ -143,7 +163,7 @@ GOLD = f""", picks AS (
 ), gold AS (
   SELECT doc_id, line_no, s, e, text FROM picks JOIN (VALUES {_gold_rows()}) AS g(k, s, e, text) USING (k)
 ), acc AS (
-  SELECT * FROM judged SEMI JOIN picks USING (doc_id, line_no) WHERE decision = 'accepted'
+  SELECT * FROM judged WHERE decision = 'accepted'
 )"""
 SPAN = "doc_id, line_no, s AS span_start, e AS span_end, text"
 HIT = "x.doc_id = y.doc_id AND x.line_no = y.line_no AND x.s < y.e AND y.s < x.e"
@@ -179,10 +199,29 @@ SCAN = f""", words_of AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+
 VOUCHED = f""", f AS (SELECT DISTINCT doc_id, lower(raw[1]) AS key FROM judged WHERE decision = 'accepted' AND n >= 2 AND length(raw[1]) >= 2
         AND ws[1] NOT IN {_in('common')} AND ws[1] NOT IN {_in('ambiguous')} AND ws[1] NOT IN {_in('calendar')})"""
 
+CONTEXT = f"""
+      , ctx AS (SELECT j.*, line[:j.s] AS pre, line[j.e + 1:] AS post, code.s IS NOT NULL OR coalesce({_log_line()}, false) OR regexp_matches(line[1:300], '{TABLE_ROW}') AS machine
+        FROM judged j JOIN lines USING (doc_id, line_no) LEFT JOIN code ON code.doc_id = j.doc_id AND code.line_no = j.line_no AND code.s = j.s
+      ), r AS (SELECT * EXCLUDE (failed, score), CASE WHEN failed IN ('length', 'structure') THEN failed WHEN machine THEN 'system_log' WHEN failed IS NOT NULL THEN failed
+          WHEN regexp_matches(lower(pre[-10:]), 'http://|https://|www\\.') OR ltrim(post, ' ' || chr(9))[1:1] = '@' THEN 'context' END AS failed, score
+        FROM ctx
+      ), t AS (SELECT * EXCLUDE (score), CASE WHEN failed IS NOT NULL THEN 0 ELSE score + CASE WHEN lower(regexp_extract(pre, '([A-Za-z'']+)\\s*$', 1)) IN {_in('occupation')} THEN 0.10 ELSE 0 END END::DECIMAL(8, 4) AS score FROM r)
+"""
+EXTRACT = "WITH " + spans_of("documents", counts=True) + CODE + CONTEXT + f"""
+      , decided AS (SELECT * EXCLUDE (decision), CASE WHEN score >= 0.75 AND sure THEN 'accepted' WHEN score >= 0.45 AND NOT sure AND common THEN 'rejected' WHEN score >= 0.45 THEN 'review' ELSE 'rejected' END AS decision FROM t)""" + VOUCHED.replace("FROM judged", "FROM decided") + f"""
+      , risen AS (SELECT * EXCLUDE (decision, score), CASE WHEN up THEN score + 0.60 ELSE score END::DECIMAL(8, 4) AS score, CASE WHEN up THEN 'accepted' ELSE decision END AS decision
+        FROM (SELECT *, decision = 'review' AND n = 1 AND (doc_id, key) IN (SELECT (doc_id, key) FROM f) AS up FROM decided)
+      ), edges AS (SELECT DISTINCT doc_id, unnest([ws[1], ws[-1]]) AS key FROM risen WHERE decision = 'accepted' AND n >= 2
+      ), wf AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM planted
+      ), flat AS (SELECT doc_id FROM wf WHERE len(w) < 30 AND (len(w) = 0 OR len(list_filter(w, lambda x: x IN {_in('stopword')})) / len(w) < 0.15)
+      ), final AS (SELECT * EXCLUDE (decision), CASE WHEN decision = 'accepted' AND n = 1 AND NOT list_contains(pats, 'titled')
+          AND (doc_id IN (FROM flat) OR key IN {_in('common')} AND key IN {_in('last')} AND key NOT IN {_in('first')} AND (doc_id, key) NOT IN (SELECT (doc_id, key) FROM edges)) THEN 'review' ELSE decision END AS decision FROM risen)
+"""
+
 ORACLE_SQL = {
     "clean_text": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, '') || ' ' || chr(9) || chr(13) || chr(10) || 'end' || chr(1) || chr(13), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g') AS cleaned FROM documents""",
     "doc_metrics": "SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS n_lines, length(coalesce(text, '')) AS n_code_points FROM documents",
-    "english_gate": f"SELECT doc_id, {WORDS} AS n_words, round_even({SHARE}, 4) AS share, {WORDS} < 30 OR {SHARE} >= 0.15 AS english FROM documents",
+    "english_gate": f"SELECT doc_id, {WORDS} AS n_words, round_even({SHARE}, 4) AS share, CASE WHEN {WORDS} < 30 THEN 1.0 ELSE round_even({SHARE}, 4) END::DOUBLE AS ratio, {WORDS} < 30 OR {SHARE} >= 0.15 AS english FROM documents",
     "short_non_prose": f"SELECT doc_id, {WORDS} < 30 AND ({WORDS} = 0 OR {SHARE} < 0.15) AS short_non_prose FROM documents",
     "line_index": DOCS + "SELECT doc_id, line_no, length(line) AS n_chars FROM lines",
     "normalize_names": r"""WITH n AS (SELECT c_custkey, trim(trim(regexp_replace(' (' || c_name || '  ' || c_mktsegment || '''s)., ', '\s+', ' ', 'g')), '.,;:()[]{}"''-') AS name FROM customer) SELECT c_custkey, name, regexp_replace(name, '[''’]s$', '') AS stem FROM n""",
@@ -255,15 +294,13 @@ ORACLE_SQL = {
     "class_balance": "SELECT *, least(positive, negative) >= 10 AND greatest(positive, negative) <= 3 * least(positive, negative) AS trainable FROM (SELECT count(*) FILTER (quality = 1) AS positive, count(*) FILTER (quality = 0) AS negative FROM labels)",
     "privacy_scan": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM documents WHERE regexp_matches(text, '{p}')" for k, p in PRIVATE.items()),
     "latency_quantiles": "SELECT event_type, n, value AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE k = floor(0.95 * (n - 1))",
-    "context_rules": DOCS + CODE + f"""
-      , ctx AS (SELECT j.*, line[:j.s] AS pre, line[j.e + 1:] AS post, code.s IS NOT NULL OR regexp_matches(line[1:100], '{LOG_LINE}') OR regexp_matches(line[1:300], '{TABLE_ROW}') AS machine
-        FROM judged j JOIN lines USING (doc_id, line_no) LEFT JOIN code ON code.doc_id = j.doc_id AND code.line_no = j.line_no AND code.s = j.s
-      ), r AS (SELECT * EXCLUDE (failed, score), CASE WHEN failed IN ('length', 'structure') THEN failed WHEN machine THEN 'system_log' WHEN failed IS NOT NULL THEN failed
-          WHEN regexp_matches(lower(pre[-10:]), 'http://|https://|www\\.') OR ltrim(post, ' ' || chr(9))[1:1] = '@' THEN 'context' END AS failed, score
-        FROM ctx
-      ), t AS (SELECT * EXCLUDE (score), CASE WHEN failed IS NOT NULL THEN 0 ELSE score + CASE WHEN lower(regexp_extract(pre, '([A-Za-z'']+)\\s*$', 1)) IN {_in('occupation')} THEN 0.10 ELSE 0 END END::DECIMAL(8, 4) AS score FROM r)
+    "context_rules": DOCS + CODE + CONTEXT + f"""
       SELECT doc_id, line_no, s AS span_start, text, coalesce(failed, '-') AS failed, score::DOUBLE AS score,
         CASE WHEN score >= 0.75 AND sure THEN 'accepted' WHEN score >= 0.45 AND NOT sure AND common THEN 'rejected' WHEN score >= 0.45 THEN 'review' ELSE 'rejected' END AS decision FROM t""",
+    "occurrences": DOCS + "SELECT doc_id, text, occurrences FROM occ",
+    "extract": EXTRACT + "SELECT doc_id, line_no, s AS span_start, text, reps, coalesce(failed, '-') AS failed, score::DOUBLE AS score, decision FROM final",
+    "extract_persons": EXTRACT + """, ff AS (SELECT doc_id, key, text, count(*) AS n, min((line_no, s)) AS place, max(score) AS best, max(CASE decision WHEN 'accepted' THEN 2 WHEN 'review' THEN 1 ELSE 0 END) AS level FROM final GROUP BY ALL)
+      SELECT doc_id, key, first(text ORDER BY n DESC, place) AS display, sum(n)::BIGINT AS occurrences, ['rejected', 'review', 'accepted'][max(level) + 1] AS decision, max(best)::DOUBLE AS best_score FROM ff GROUP BY ALL""",
     "sentence_starts": DOCS + r"""SELECT doc_id, line_no, s AS span_start, regexp_matches(line[:s], '(^|[.!?][’”]?)[ \t"''‘“(]*$') AS opens,
         (length(tail) - length(replace(tail, '"', ''))) % 2 = 1 OR length(replace(tail, '”', '')) > length(replace(tail, '“', '')) AS quoted
       FROM (SELECT *, CASE WHEN s = 0 THEN '' ELSE line[greatest(s - 199, 1):s] END AS tail FROM flagged JOIN lines USING (doc_id, line_no))""",
@@ -308,7 +345,7 @@ ORACLE_SQL = {
       ), y AS (SELECT * EXCLUDE (score), CASE WHEN failed IS NOT NULL THEN 0 ELSE score + (1.05 * p::DECIMAL(6, 4))::DECIMAL(8, 4) END::DECIMAL(8, 4) AS score,
           sure OR list_contains(pats, 'dictionary_single_token') AND p >= 0.1 OR uncommon AND reps >= 4 AND (p >= 0.85 OR isolated AND p >= 0.1) AS backed FROM x)
       SELECT doc_id, line_no, s AS span_start, text, score::DOUBLE AS score, CASE WHEN score >= 0.75 AND backed THEN 'accepted' WHEN score >= 0.45 AND NOT backed AND common THEN 'rejected' WHEN score >= 0.45 THEN 'review' ELSE 'rejected' END AS decision FROM y""",
-    "folded_names": "SELECT c_custkey, c_name || [' Zizek', ' Lodz', ' Strasse AEro', ' Nguyen', ' Thor'][c_custkey % 5 + 1] AS folded FROM customer",
+    "folded_names": "SELECT c_custkey, c_name || [' Zizek', ' Lodz', ' Strasse Aero', ' Nguyen', ' Thor'][c_custkey % 5 + 1] AS folded FROM customer",
     "sentence_split": DOCS + r"""SELECT doc_id, line_no, i - 1 AS ix, ss[i] AS sentence FROM (SELECT doc_id, line_no, string_split(regexp_replace(line, '([.!?])\s+(["'']?[A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ss FROM lines), unnest(range(1, len(ss) + 1)) AS r(i)""",
     "line_chunks": DOCS + """, pieces AS (SELECT doc_id, list(least(2000, size - k * 2000) ORDER BY line_no, k) AS ps FROM (SELECT doc_id, line_no, length(line) + 1 AS size FROM lines), unnest(range(0, (size - 1) // 2000 + 1)) AS r(k) GROUP BY doc_id
       ), fill AS (

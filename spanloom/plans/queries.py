@@ -50,7 +50,7 @@ def doc_metrics(spark, d):
 def english_gate(spark, d):
     t = F.coalesce("text", F.lit(""))
     n, share = T.stopword_share(t)
-    return table(spark, d, "documents").select("doc_id", n.alias("n_words"), F.bround(share, 4).alias("share"), T.is_english(t).alias("english"))
+    return table(spark, d, "documents").select("doc_id", n.alias("n_words"), F.bround(share, 4).alias("share"), T.english_ratio(t).alias("ratio"), T.is_english(t).alias("english"))
 
 
 @query
@@ -114,6 +114,31 @@ def repetition_counts(spark, d):
     return candidates.repetitions(candidates.canonical(candidates.overlap_groups(detect.detections(docs_of(spark, d)))))
 
 
+@query
+def occurrences(spark, d):
+    docs = docs_of(spark, d)
+    return candidates.occurrences(candidates.canonical(candidates.overlap_groups(detect.detections(docs))), docs)
+
+
+def extracted(docs: DataFrame) -> DataFrame:
+    """The whole flow by rules: detect, merge, count, validate, rules on lines, decide, promote, cap."""
+    cands = candidates.canonical(candidates.overlap_groups(detect.detections(docs)))
+    judged = context.judged_in_context(candidates.judged(cands, candidates.occurrences(cands, docs)), docs)
+    flagged = docs.where(T.is_short_non_prose(F.col("text")))
+    return refine.lone_capped(refine.capped(refine.promoted(judged)), flagged)
+
+
+@query
+def extract(spark, d):
+    rows = extracted(docs_of(spark, d))
+    return rows.select("doc_id", "line_no", F.col("start").alias("span_start"), "text", "reps", F.coalesce("failed", F.lit("-")).alias("failed"), F.col("score").cast("double").alias("score"), "decision")
+
+
+@query
+def extract_persons(spark, d):
+    return candidates.persons(extracted(docs_of(spark, d))).withColumn("best_score", F.col("best_score").cast("double"))
+
+
 @query
 def reject_reason(spark, d):
     return judged_of(spark, d).select("doc_id", "line_no", F.col("start").alias("span_start"), "text", F.coalesce("failed", F.lit("-")).alias("failed"))
@@ -191,9 +216,7 @@ def scan_summary(spark, d):
 def _evaluated(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     accepted = judged_of(spark, d).where("decision = 'accepted'")
-    lines = fixtures.marked(docs)
-    mine = accepted.join(lines.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
-    return mine.select("doc_id", "line_no", "start", "end", "text"), fixtures.gold(lines)
+    return accepted.select("doc_id", "line_no", "start", "end", "text"), fixtures.gold(fixtures.marked(docs))
 
 
 @query

@@ -14,10 +14,14 @@ def rolling_window(messages: DataFrame, cap: int = CAP) -> DataFrame:
     """(conv_id, turn, first_turn, n_messages, n_chars): what a window of cap characters holds after each message, that message at least."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length(F.coalesce("text", F.lit(""))) + 1
-    rows = messages.select("conv_id", "turn", size.alias("size")).withColumn("until", F.sum("size").over(w)).withColumn("since", F.col("until") - F.col("size"))
-    s, t = rows.alias("s"), rows.alias("t")
-    held = t.join(s, (F.col("s.conv_id") == F.col("t.conv_id")) & (F.col("s.turn") <= F.col("t.turn")) & ((F.col("s.turn") == F.col("t.turn")) | (F.col("t.until") - F.col("s.since") <= cap)))
-    return held.groupBy("t.conv_id", "t.turn").agg(F.min("s.turn").alias("first_turn"), F.count("*").alias("n_messages"), F.sum("s.size").alias("n_chars"))
+    rows = messages.select("conv_id", "turn", size.alias("size")).withColumn("until", F.sum("size").over(w)).withColumn("k", F.count("*").over(w))
+    rows = rows.withColumn("since", F.col("until") - F.col("size"))
+    # a message's window begins with the first one that has at most cap characters from its start on: a search in a running sum, as one sort
+    starts = rows.select("conv_id", F.col("since").alias("at"), F.lit(1).alias("kind"), F.struct("turn", "k", "since").alias("begin"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("until"))
+    ends = rows.select("conv_id", F.least(F.col("until") - cap, "since").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(starts.schema["begin"].dataType).alias("begin"), "turn", "k", "until")
+    latest = Window.partitionBy("conv_id").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = starts.unionByName(ends).withColumn("begin", F.last("begin", ignorenulls=True).over(latest)).where("kind = 0")
+    return found.select("conv_id", "turn", F.col("begin.turn").alias("first_turn"), (F.col("k") - F.col("begin.k") + 1).alias("n_messages"), (F.col("until") - F.col("begin.since")).alias("n_chars"))
 
 
 def roster(mentions: DataFrame) -> DataFrame:
