@@ -26,7 +26,7 @@ def rank(pattern: Column) -> Column:
 
 def plausible(key: Column) -> Column:
     """Whether a word beside a known name may belong to it."""
-    barred = [has(key, x) for x in ("ambiguous", "calendar", "stopword", "location", "organization")]
+    barred = [has(key, x) for x in ("ambiguous", "calendar", "stopword", "location", "organization", "language")]
     refused = barred[0]
     for other in barred[1:]:
         refused = refused | other

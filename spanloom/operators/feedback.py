@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .context import line_around, with_line
 from .evaluate import with_overlap, without_overlap
 
 PRIVATE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "digits": r"[0-9]{6,}"}
@@ -15,6 +16,21 @@ def new_records(batch: DataFrame, known: DataFrame) -> DataFrame:
     return batch.join(known.select("name"), "name", "left_anti").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
 
 
+def candidate_records(judged: DataFrame, features: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """One record for labelling of each candidate in features(), whatever its decision: its place, score, numbers and the line around it."""
+    place = ["doc_id", "line_no", "start"]
+    numbers = features.select("doc_id", "line_no", F.col("span_start").alias("start"), F.struct(*[c for c in features.columns if c not in ("doc_id", "line_no", "span_start")]).alias("features"))
+    rows = with_line(judged.select(*place, "end", "text", "key", "score", "decision"), docs, text).join(numbers, place)
+    return rows.select(*place, "text", "key", "score", "decision", "features", line_around(F.col("line"), F.col("start")).alias("context"))
+
+
+def review_records(records: DataFrame, judged: DataFrame) -> DataFrame:
+    """Of candidate_records(), the first mention of each person under review; a person whose first mention has no features gives none."""
+    level = F.max(F.when(F.col("decision") == "accepted", 2).when(F.col("decision") == "review", 1).otherwise(0))
+    first = judged.groupBy("doc_id", "key").agg(level.alias("level"), F.min(F.struct("line_no", "start")).alias("at")).where("level = 1")
+    return records.join(first.select("doc_id", "key", "at.*"), ["doc_id", "key", "line_no", "start"], "left_semi")
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
     """n rows of each stratum, in the order of a hash of the key. The window keeps n rows a task before it shuffles."""
     order = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)

@@ -13,7 +13,7 @@ from .candidates import all_common, decide, is_sure
 from .context import with_line, words_after, words_before
 from .lexicon import has
 
-FEATURES = ("token_count", "char_length", "initials", "known_first", "known_last", "common_share", "first_ambiguous", "place_or_org", "titled", "dictionary", "bare", "n_detections", "reps")
+FEATURES = ("token_count", "char_length", "initials", "known_first", "known_last", "common_share", "first_ambiguous", "place_or_org", "titled", "dictionary", "bare", "n_detections", "reps", "known_share", "honorific", "capital_share", "rule_confidence", "list_confidence", "n_detectors", "after_stopword", "before_punctuation", "quoted", "person_cue", "other_cue", "isolated")
 #: Rows that a model is fitted on, at most; those of the smallest hashes of all their columns, so a share of each vector's.
 TRAINING_ROWS = 200_000
 

@@ -14,6 +14,8 @@ LISTS = {
     "common": ["young", "stone", "happy", "birthday", "dear", "orre", "an", "the"],
     "calendar": ["monday", "friday", "april", "august"],
     "title": ["dr", "mr", "mrs", "prof"],
+    "honorific": ["sir", "lady", "rev"],
+    "language": ["english", "french", "german"],
     "ambiguous": ["orre", "april"],
     "blacklist": ["happy birthday", "dear john"],
     "occupation": ["doctor", "engineer"],

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import decide, dominance, rank
+from .context import cue_features, with_line
+from .detect import CONFIDENCE
 from .evaluate import without_overlap
 from .lexicon import has
 
@@ -30,17 +32,26 @@ def rescue_edge(name: Column) -> Column:
     return F.when((F.size(ws) == 2) & org(a) & ~org(b) & _known(F.lower(b)), b).when((F.size(ws) == 2) & org(b) & ~org(a) & _known(F.lower(a)), a).otherwise(name)
 
 
-def features(judged: DataFrame) -> DataFrame:
-    """Numbers of each candidate that no rule rejects."""
+def features(judged: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Numbers of each candidate that no rule rejects: of its text (titles aside where words are judged), its detectors and its line."""
     ws = F.split("key", " ")
     n = F.size(ws)
+    plain = F.filter(F.transform(ws, lambda w: F.regexp_replace(w, "[.'’]+$", "")), lambda w: w != "")
+    untitled = F.filter(plain, lambda w: ~has(w, "title") & ~has(w, "honorific"))
+    body = F.when(F.size(untitled) > 0, untitled).otherwise(plain)
+    within = lambda test: F.size(F.filter(body, test))
+    best = lambda *ps: F.coalesce(*[F.when(F.array_contains("patterns", p), F.lit(float(CONFIDENCE[p]))) for p in ps], F.lit(0.0))
+    by_rule, by_list = best("titled", "bare"), best("dictionary", "dictionary_single_token")
     flag = lambda p: F.array_contains("patterns", p).cast("int")
     count = lambda test: F.size(F.filter(ws, test))
-    return judged.where("failed is null").select(
+    return with_line(judged.where("failed is null"), docs, text).select(
         "doc_id", "line_no", F.col("start").alias("span_start"), n.alias("token_count"), F.length("text").alias("char_length"),
         count(lambda w: F.length(w) == 1).alias("initials"), count(lambda w: has(w, "first")).alias("known_first"), count(lambda w: has(w, "last")).alias("known_last"),
-        F.bround(count(lambda w: has(w, "common")) / n, 4).alias("common_share"), has(ws[0], "ambiguous").cast("int").alias("first_ambiguous"),
-        count(lambda w: has(w, "location") | has(w, "organization")).alias("place_or_org"), flag("titled").alias("titled"), flag("dictionary").alias("dictionary"), flag("bare").alias("bare"), "n_detections", "reps",
+        F.coalesce(F.bround(F.try_divide(within(lambda w: has(w, "common")), F.size(body)), 4), F.lit(0.0)).alias("common_share"), F.coalesce(has(F.get(body, F.lit(0)), "ambiguous").cast("int"), F.lit(0)).alias("first_ambiguous"),
+        within(lambda w: has(w, "location") | has(w, "organization")).alias("place_or_org"), flag("titled").alias("titled"), flag("dictionary").alias("dictionary"), flag("bare").alias("bare"), "n_detections", "reps",
+        F.bround((count(lambda w: has(w, "first")) + count(lambda w: has(w, "last"))) / n, 4).alias("known_share"), (count(lambda w: has(w, "honorific")) > 0).cast("int").alias("honorific"),
+        F.bround(F.size(F.filter(F.split("text", " "), lambda w: w.rlike(r"^\p{Lu}"))) / n, 4).alias("capital_share"), by_rule.alias("rule_confidence"), by_list.alias("list_confidence"),
+        ((by_rule > 0).cast("int") + (by_list > 0).cast("int")).alias("n_detectors"), *[v.alias(k) for k, v in cue_features(F.col("prefix"), F.col("suffix")).items()],
     )
 
 

@@ -25,6 +25,7 @@ MARKED = (
     "the doctor **Anna Smith** wrote; see http://Anna Keller and David Stone @work",
     "they Vote John Smith; Karl Und Keller; Клара Novak came. Clean City Laura Lopez",
     "\"He met **Quentin Keller** and **Peter Q Novak** there\" said a neighbour",
+    "Then Sir **Karl Lopez** told **Maria** French wine is good, the **Anna Novak** insurance said",
 )
 
 

@@ -11,6 +11,8 @@ PACKAGE_ROOTS = "com org net edu gov io android androidx java javax kotlin kotli
 GENERIC_DOMAINS = "com org net edu gov mil int info biz".split()
 SECOND_LABELS = "co ac gov org net edu com nic res mil ltd plc sch nhs".split()
 PRIVATE = {"email": r"[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r"\d{1,3}(\.\d{1,3}){3}", "digits": r"\d{6}"}
+PERSON_CUES = "said says saying told tells telling met meets meeting contacted contact interviewed according regards sincerely spoke speaking signed thanked greeted asked replied confirmed reported"
+OTHER_CUES = "debt embedded overlays devices lockscreen complaint settings version policy invoice agreement contract account capital holdings insurance"
 TABLE_ROW = r"^-Uid\s+\d+-Pkg\s"
 #: Whether a line is a log's, of its words: a date, a time with a fraction, numbers, a level, and a colon at its end or the next word's.
 LOG_WORDS = r"list_filter(regexp_split_to_array(trim(regexp_replace(line[1:100], '^(\s*[0-9-]+[T ][0-9:]{8})[.,\s]+', '\1.')), '\s+'), lambda w: NOT regexp_full_match(w, '[0-9]*'))"
@@ -114,7 +116,7 @@ planted AS (
 ), wide AS (
   SELECT doc_id, line_no, grp, arg_min(s, s) AS ws, arg_min(e, s) AS we, arg_min(text, s) AS wtext FROM odd
   WHERE regexp_matches(text, '^\S{{2,}}( \p{{Lu}})+ \S{{2,}}$') OR size = 2 AND (other IS NULL OR length(other) >= 2 AND other NOT IN {_in('ambiguous')} AND other NOT IN {_in('calendar')} AND other NOT IN {_in('stopword')}
-    AND other NOT IN {_in('location')} AND other NOT IN {_in('organization')} AND (other IN {_in('first')} OR other IN {_in('last')} OR other NOT IN {_in('common')})) GROUP BY ALL
+    AND other NOT IN {_in('location')} AND other NOT IN {_in('organization')} AND other NOT IN {_in('language')} AND (other IN {_in('first')} OR other IN {_in('last')} OR other NOT IN {_in('common')})) GROUP BY ALL
 ), cands AS (
   SELECT doc_id, line_no, grp, coalesce(ws, s) AS s, coalesce(we, e) AS e, coalesce(wtext, text) AS text, evidence, pats FROM bests LEFT JOIN wide USING (doc_id, line_no, grp)
 ), occ AS (
@@ -196,6 +198,8 @@ SCAN = f""", words_of AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+
         SELECT doc_id, CASE WHEN len(w) < 30 OR len(list_filter(w, lambda x: x IN {_in('stopword')})) / len(w) >= 0.15 THEN 'ok' ELSE 'skipped: not_english' END AS status FROM words_of
       ), named AS (SELECT doc_id, count(*) AS n, string_agg(display, '; ' ORDER BY display) AS names FROM people WHERE decision = 'accepted' GROUP BY doc_id
       ), scan_rows AS (SELECT doc_id, status, CASE WHEN status = 'ok' THEN coalesce(n, 0) ELSE 0 END AS num_names, CASE WHEN status = 'ok' THEN coalesce(names, '') ELSE '' END AS names FROM files LEFT JOIN named USING (doc_id))"""
+RECORDS = """, records AS (SELECT doc_id, line_no, s AS span_start, text, score::DOUBLE AS score, decision, length(text) AS char_length, sha256(CASE WHEN length(line) <= 2000 THEN line ELSE line[greatest(least(s - 1000, length(line) - 2000), 0) + 1:greatest(least(s - 1000, length(line) - 2000), 0) + 2000] END) AS context_sha256
+        FROM judged JOIN lines USING (doc_id, line_no) WHERE failed IS NULL)"""
 VOUCHED = f""", f AS (SELECT DISTINCT doc_id, lower(raw[1]) AS key FROM judged WHERE decision = 'accepted' AND n >= 2 AND length(raw[1]) >= 2
         AND ws[1] NOT IN {_in('common')} AND ws[1] NOT IN {_in('ambiguous')} AND ws[1] NOT IN {_in('calendar')})"""
 
@@ -247,10 +251,18 @@ ORACLE_SQL = {
         WHEN lower(w[2]) IN {_in('organization')} AND lower(w[1]) NOT IN {_in('organization')} AND (lower(w[1]) IN {_in('first')} OR lower(w[1]) IN {_in('last')}) THEN w[1] ELSE part END AS refined FROM q""",
     "features": DOCS + f"""
       , sizes AS (SELECT doc_id, line_no, grp, count(*) AS n_detections FROM grouped GROUP BY ALL), j AS (SELECT judged.*, n_detections FROM judged JOIN sizes USING (doc_id, line_no, grp))
+      , plain AS (SELECT j.*, line[:s] AS pre, line[e + 1:] AS post, list_filter(list_transform(ws, lambda w: regexp_replace(w, '[.''’]+$', '')), lambda w: w <> '') AS stems FROM j JOIN lines USING (doc_id, line_no)
+      ), near AS (SELECT *, CASE WHEN len(list_filter(stems, lambda w: w NOT IN {_in('title')} AND w NOT IN {_in('honorific')})) > 0 THEN list_filter(stems, lambda w: w NOT IN {_in('title')} AND w NOT IN {_in('honorific')}) ELSE stems END AS body,
+          list_reverse(regexp_extract_all(lower(pre), '[a-z'']+'))[1:3] AS lw, regexp_extract_all(lower(post), '[a-z'']+')[1:3] AS rw, ltrim(post, ' ' || chr(9))[1:1] AS nx, CASE WHEN s = 0 THEN '' ELSE pre[greatest(s - 199, 1):] END AS tail FROM plain)
       SELECT doc_id, line_no, s AS span_start, n AS token_count, length(text) AS char_length, len(list_filter(ws, lambda w: length(w) = 1)) AS initials, len(list_filter(ws, lambda w: w IN {_in('first')})) AS known_first,
-        len(list_filter(ws, lambda w: w IN {_in('last')})) AS known_last, round_even(len(list_filter(ws, lambda w: w IN {_in('common')})) / n, 4) AS common_share, (ws[1] IN {_in('ambiguous')})::INT AS first_ambiguous,
-        len(list_filter(ws, lambda w: w IN {_in('location')} OR w IN {_in('organization')})) AS place_or_org, list_contains(pats, 'titled')::INT AS titled, list_contains(pats, 'dictionary')::INT AS dictionary,
-        list_contains(pats, 'bare')::INT AS bare, n_detections, reps FROM j WHERE failed IS NULL""",
+        len(list_filter(ws, lambda w: w IN {_in('last')})) AS known_last, round_even(len(list_filter(body, lambda w: w IN {_in('common')})) / len(body), 4) AS common_share, (body[1] IN {_in('ambiguous')})::INT AS first_ambiguous,
+        round_even(known / n, 4) AS known_share, (len(list_filter(ws, lambda w: w IN {_in('honorific')})) > 0)::INT AS honorific, round_even(len(list_filter(raw, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) / n, 4) AS capital_share,
+        CASE WHEN list_contains(pats, 'titled') THEN 0.9 WHEN list_contains(pats, 'bare') THEN 0.55 ELSE 0 END::DOUBLE AS rule_confidence, CASE WHEN list_contains(pats, 'dictionary') THEN 0.85 WHEN list_contains(pats, 'dictionary_single_token') THEN 0.4 ELSE 0 END::DOUBLE AS list_confidence,
+        list_has_any(pats, ['titled', 'bare'])::INT + list_has_any(pats, ['dictionary', 'dictionary_single_token'])::INT AS n_detectors, (regexp_extract(lower(pre), '([a-z'']+)\\s*$', 1) IN {_in('stopword')})::INT AS after_stopword,
+        (nx <> '' AND NOT regexp_matches(nx, '[\\p{{L}}\\p{{N}}]'))::INT AS before_punctuation, ((length(tail) - length(replace(tail, '"', ''))) % 2 = 1 OR length(replace(tail, '”', '')) > length(replace(tail, '“', '')))::INT AS quoted,
+        list_has_any(lw, string_split('{PERSON_CUES}', ' '))::INT AS person_cue, (list_has_any(rw, string_split('{OTHER_CUES}', ' ')) OR len(list_filter(rw, lambda w: w IN {_in('organization')})) > 0)::INT AS other_cue, (len(lw) = 0 AND len(rw) = 0)::INT AS isolated,
+        len(list_filter(body, lambda w: w IN {_in('location')} OR w IN {_in('organization')})) AS place_or_org, list_contains(pats, 'titled')::INT AS titled, list_contains(pats, 'dictionary')::INT AS dictionary,
+        list_contains(pats, 'bare')::INT AS bare, n_detections, reps FROM near WHERE failed IS NULL""",
     "propagate_names": DOCS + f"""
       , f AS (SELECT DISTINCT doc_id, raw[1] AS tok FROM judged WHERE decision = 'accepted' AND n >= 2 AND length(raw[1]) >= 2 AND ws[1] NOT IN {_in('common')} AND ws[1] NOT IN {_in('ambiguous')} AND ws[1] NOT IN {_in('calendar')})
       SELECT x.doc_id, x.line_no, x.s AS span_start, x.e AS span_end, x.tok AS text FROM flagged x JOIN f ON f.doc_id = x.doc_id AND f.tok = x.tok WHERE NOT EXISTS (FROM cands y WHERE {HIT})""",
@@ -288,12 +300,17 @@ ORACLE_SQL = {
     "rolling_char_window": """WITH c AS (SELECT conv_id, turn, length(coalesce(text, '')) + 1 AS size, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS until FROM conversations)
       SELECT t.conv_id, t.turn, min(s.turn) AS first_turn, count(*) AS n_messages, sum(s.size)::BIGINT AS n_chars FROM c t JOIN c s ON s.conv_id = t.conv_id AND s.turn <= t.turn AND (s.turn = t.turn OR t.until - s.until + s.size <= 600) GROUP BY ALL""",
     "session_roster": "WITH messages AS (SELECT conv_id * 10000 + turn AS doc_id, text FROM conversations), " + spans_of("messages") + "SELECT doc_id // 10000 AS conv_id, key AS name, min(doc_id % 10000) AS first_turn, max(doc_id % 10000) AS last_turn, count(*) AS n_seen, bool_or(decision = 'accepted') AS accepted FROM judged GROUP BY ALL",
+    "newly_accepted": "WITH messages AS (SELECT conv_id * 10000 + turn AS doc_id, text FROM conversations), " + spans_of("messages") + "SELECT doc_id // 10000 AS conv_id, min(doc_id % 10000) AS turn, key AS name FROM judged WHERE decision = 'accepted' GROUP BY ALL",
     "feedback_dedupe": DOCS + "SELECT key AS name, min(doc_id) AS doc_id FROM people WHERE decision = 'review' AND key NOT IN (SELECT key FROM people WHERE decision = 'accepted') GROUP BY key",
+    "candidate_records": DOCS + RECORDS + "SELECT * FROM records",
+    "review_records": DOCS + RECORDS + """, firsts AS (SELECT doc_id, key, min((line_no, s)) AS place FROM judged GROUP BY ALL HAVING bool_or(decision = 'review') AND NOT bool_or(decision = 'accepted'))
+      SELECT * FROM records WHERE (doc_id, lower(text), (line_no, span_start)) IN (SELECT (doc_id, key, place) FROM firsts)""",
     "stratified_sample": "SELECT * FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS rank FROM documents) WHERE rank <= 25",
     "holdout_sample": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents ORDER BY 2, 1 LIMIT 20",
     "class_balance": "SELECT *, least(positive, negative) >= 10 AND greatest(positive, negative) <= 3 * least(positive, negative) AS trainable FROM (SELECT count(*) FILTER (quality = 1) AS positive, count(*) FILTER (quality = 0) AS negative FROM labels)",
     "privacy_scan": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM documents WHERE regexp_matches(text, '{p}')" for k, p in PRIVATE.items()),
     "latency_quantiles": "SELECT event_type, n, value AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE k = floor(0.95 * (n - 1))",
+    "stage_medians": "SELECT event_type, count(*) AS n, (quantile_disc(value, 0.5) + list_sort(list(value))[count(*) // 2 + 1]) / 2 AS median FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "context_rules": DOCS + CODE + CONTEXT + f"""
       SELECT doc_id, line_no, s AS span_start, text, coalesce(failed, '-') AS failed, score::DOUBLE AS score,
         CASE WHEN score >= 0.75 AND sure THEN 'accepted' WHEN score >= 0.45 AND NOT sure AND common THEN 'rejected' WHEN score >= 0.45 THEN 'review' ELSE 'rejected' END AS decision FROM t""",
@@ -331,7 +348,15 @@ ORACLE_SQL = {
         ) SELECT * FROM steps WHERE i > len(gs)
       )SELECT doc_id, line_no, len(gs) AS n_gold, len(ps) AS n_predicted, len(used) AS n_matched FROM steps""",
     "promotion_gate": DOCS + GOLD + f""", sh AS (SELECT text LIKE '% %' AS multi, count(*) AS n, count(*) FILTER (EXISTS (FROM acc y WHERE {HIT})) AS b, count(*) FILTER (EXISTS (FROM acc y WHERE y.text LIKE '% %' AND {HIT})) AS a FROM gold x GROUP BY 1)
-      SELECT round_even(max(b / n - a / n), 4) AS worst_drop, max(b / n - a / n) <= 0.02 AS promote FROM sh""",
+      , t AS (SELECT sum(n) AS n, sum(a) AS a, sum(b) AS b FROM sh), pr AS (SELECT count(*) AS nb, count(*) FILTER (text LIKE '% %') AS na, count(*) FILTER (EXISTS (FROM gold y WHERE {HIT})) AS hb, count(*) FILTER (text LIKE '% %' AND EXISTS (FROM gold y WHERE {HIT})) AS ha FROM acc x
+      ), f AS (SELECT round_even(2 * (hb / nb) * (b / n) / (hb / nb + b / n), 4) AS fb, round_even(2 * (ha / na) * (a / n) / (ha / na + a / n), 4) AS fa FROM t, pr)
+      SELECT round_even(max(b / n - a / n), 4) AS worst_drop, round_even(any_value(fa - fb), 4) AS f1_gain, max(b / n - a / n) <= 0.02 OR any_value(fa >= fb) AS promote FROM sh, f""",
+    "dictionary_recall": DOCS + GOLD + f"SELECT CASE WHEN len(list_filter(string_split(lower(text), ' '), lambda w: w IN {_in('first')} OR w IN {_in('last')})) > 0 THEN 'dictionary_known' ELSE 'unseen' END AS shape, count(*) AS n_gold, count(*) FILTER (EXISTS (FROM acc y WHERE {HIT})) AS n_found FROM gold x GROUP BY 1",
+    "domain_metrics": DOCS + GOLD + f""", a AS (SELECT coalesce(source, 'uncategorized') AS domain, count(*) AS n_predicted, count(*) FILTER (EXISTS (FROM gold y WHERE {HIT})) AS tp FROM acc x JOIN documents d USING (doc_id) GROUP BY 1
+      ), g AS (SELECT coalesce(source, 'uncategorized') AS domain, count(*) AS n_gold, count(*) FILTER (EXISTS (FROM acc y WHERE {HIT})) AS gold_found FROM gold x JOIN documents d USING (doc_id) GROUP BY 1
+      ), b AS (SELECT domain, coalesce(tp, 0) AS tp, coalesce(n_predicted, 0) AS n_predicted, coalesce(gold_found, 0) AS gold_found, coalesce(n_gold, 0) AS n_gold FROM a FULL JOIN g USING (domain)
+      ), r AS (SELECT *, tp / nullif(n_predicted, 0) AS p, gold_found / nullif(n_gold, 0) AS q FROM b)
+      SELECT domain, tp, n_predicted, gold_found, n_gold, round_even(p, 4) AS precision, round_even(q, 4) AS recall, round_even(2 * p * q / nullif(p + q, 0), 4) AS f1 FROM r""",
     "threshold_what_if": DOCS + """SELECT scenario, threshold, count(*) FILTER (decision = 'accepted' AND (scenario = 'promote' OR score::DOUBLE / 2 >= threshold) OR decision = 'review' AND scenario <> 'cleanup' AND score::DOUBLE / 2 >= threshold) AS n_accepted
       FROM judged, (VALUES ('cleanup'), ('promote'), ('both')) AS a(scenario), (VALUES (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)) AS b(threshold) GROUP BY ALL""",
     "gold_labels": DOCS + GOLD + f"SELECT doc_id, line_no, s AS span_start, text, (EXISTS (FROM gold y WHERE {HIT}))::INT AS label FROM judged x",

@@ -162,7 +162,7 @@ def boundary_refine(spark, d):
 
 @query
 def features(spark, d):
-    return refine.features(judged_of(spark, d))
+    return refine.features(judged_of(spark, d), docs_of(spark, d))
 
 
 @query
@@ -305,12 +305,37 @@ def session_roster(spark, d):
     return sessions.roster(rows.select("doc_id.conv_id", "doc_id.turn", F.col("key").alias("name"), "decision"))
 
 
+@query
+def newly_accepted(spark, d):
+    rows = candidates.judged(candidates.canonical(candidates.overlap_groups(detect.detections(_messages(spark, d)))))
+    return sessions.newly_accepted(rows.select("doc_id.conv_id", "doc_id.turn", F.col("key").alias("name"), "decision"))
+
+
 @query
 def feedback_dedupe(spark, d):
     people = candidates.persons(judged_of(spark, d)).select("doc_id", F.col("key").alias("name"), "decision")
     return feedback.new_records(people.where("decision = 'review'"), people.where("decision = 'accepted'"))
 
 
+def _records(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs, j = docs_of(spark, d), judged_of(spark, d)
+    return feedback.candidate_records(j, refine.features(j, docs), docs), j
+
+
+def _record_columns(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "line_no", F.col("start").alias("span_start"), "text", F.col("score").cast("double").alias("score"), "decision", F.col("features.char_length").alias("char_length"), F.sha2("context", 256).alias("context_sha256"))
+
+
+@query
+def candidate_records(spark, d):
+    return _record_columns(_records(spark, d)[0])
+
+
+@query
+def review_records(spark, d):
+    return _record_columns(feedback.review_records(*_records(spark, d)))
+
+
 @query
 def stratified_sample(spark, d):
     return feedback.stratified_sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 25)
@@ -339,6 +364,11 @@ def latency_quantiles(spark, d):
     return ranked.where("k = floor(0.95 * (n - 1))").select("event_type", "n", F.col("value").alias("p95"))
 
 
+@query
+def stage_medians(spark, d):
+    return evaluate.medians(table(spark, d, "events"), "event_type", "value")
+
+
 def _found(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "line_no", F.col("start").alias("span_start"), "text", "decision")
 
@@ -417,7 +447,19 @@ def one_to_one_matches(spark, d):
 @query
 def promotion_gate(spark, d):
     accepted, gold = _evaluated(spark, d)
-    return evaluate.promotion_gate(evaluate.shape_recall(gold, accepted), evaluate.shape_recall(gold, accepted.where("instr(text, ' ') > 0")))
+    full = accepted.where("instr(text, ' ') > 0")
+    return evaluate.promotion_gate(evaluate.shape_recall(gold, accepted), evaluate.shape_recall(gold, full), evaluate.metrics(accepted, gold), evaluate.metrics(full, gold))
+
+
+@query
+def dictionary_recall(spark, d):
+    accepted, gold = _evaluated(spark, d)
+    return evaluate.shape_recall(gold, accepted, evaluate.by_dictionary)
+
+
+@query
+def domain_metrics(spark, d):
+    return evaluate.domain_metrics(*_evaluated(spark, d), table(spark, d, "documents").select("doc_id", F.col("source").alias("domain")))
 
 
 @query
@@ -454,7 +496,7 @@ def roster_vouchers(spark, d):
 def classifier_scores(spark, d):
     """Trees learned from the planted mentions, then the probability of every candidate that no rule rejects."""
     docs, j = table(spark, d, "documents").select("doc_id", "text"), judged_of(spark, d)
-    rows = refine.features(j).withColumnRenamed("span_start", "start")
+    rows = refine.features(j, docs_of(spark, d)).withColumnRenamed("span_start", "start")
     marked = feedback.labelled(j, fixtures.gold(fixtures.marked(docs))).select("doc_id", "line_no", "start", "label")
     model = learn.train(rows.join(marked, ["doc_id", "line_no", "start"]))
     return learn.scored(rows, model).select("doc_id", "line_no", F.col("start").alias("span_start"), "p")

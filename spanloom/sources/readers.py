@@ -10,10 +10,13 @@ import io
 import json
 import re
 import sys
+import warnings
 import xml.etree.ElementTree as ET
 import zipfile
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -124,12 +127,22 @@ def docx_lines(content: bytes) -> str:
                 out += [" | ".join(text(c) for c in row.iter(word + "tc")) for row in e.iter(word + "tr")]
             else:
                 out.append(text(e))
+        parts = set(z.namelist())
+        for part in ("footnotes", "endnotes", "comments"):
+            if f"word/{part}.xml" in parts:
+                for note in ET.fromstring(z.read(f"word/{part}.xml")):
+                    out += [text(p) for p in note.iter(word + "p")]
+                    out += [f"Comment author: {note.get(word + 'author')}"] if note.get(word + "author") else []
+        if "docProps/core.xml" in parts:
+            known = {e.tag.rpartition("}")[2]: (e.text or "").strip() for e in ET.fromstring(z.read("docProps/core.xml"))}
+            out += [f"{label}: {known[k]}" for k, label in (("creator", "Document author"), ("lastModifiedBy", "Last modified by")) if known.get(k)]
     return "\n".join(x for x in out if x.strip())
 
 
 def eml_text(content: bytes) -> str:
     m = email.message_from_bytes(content, policy=email.policy.default)
-    head = [f"{k}: {m[k]}" for k in ("From", "Sender", "Reply-To", "To", "Cc", "Bcc", "Subject", "Date") if m[k]]
+    values = ((k, " ".join(str(v).split())) for k in ("From", "Sender", "Reply-To", "To", "Cc", "Bcc", "Subject", "Date") for v in m.get_all(k) or [])
+    head = [f"{k}: {v}" for k, v in values if v]
     body = m.get_body(("plain",)) or m.get_body(("html",))
     text = body.get_content() if body else ""
     return "\n".join([*head, "", html_text(text) if body and body.get_content_subtype() == "html" else text])
@@ -189,6 +202,37 @@ def read_folder(spark: SparkSession, path: str, exclude: str | None = None) -> D
     return parse(files.where(~F.col("path").rlike(exclude)) if exclude else files)
 
 
+def manifest_paths(text: str) -> list[str]:
+    """The paths that a list of files names: a line each, without comments, empty lines and one layer of quotation marks."""
+    lines = (line.strip() for line in text.removeprefix("\ufeff").splitlines())
+    return [line[1:-1] if len(line) > 1 and line[0] == line[-1] and line[0] in "\"'" else line for line in lines if line and not line.startswith("#")]
+
+
+def read_manifest(spark: SparkSession, path: str, at_most: int = 200) -> DataFrame | None:
+    """parse() of the files that a list names, or None where the file is no list: it has no line, over at_most, or none that is there.
+
+    A list is small by definition; only its head is brought to the driver. Paths that are missing are left out with a warning.
+    """
+    head = spark.read.text(path).where("btrim(value) <> '' and not startswith(btrim(value), '#')").limit(at_most + 1).collect()
+    paths = manifest_paths("\n".join(r.value for r in head))
+    if not paths or len(paths) > at_most or max(map(len, paths)) > 260:
+        return None
+    there = [p for p in paths if _exists(spark, p)]
+    if not there:
+        return None
+    for p in sorted(set(paths) - set(there)):
+        warnings.warn(f"{path}: no file {p}", stacklevel=2)
+    return parse(spark.read.format("binaryFile").load(list(dict.fromkeys(there))).select("path", "content"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    except (Py4JJavaError, IllegalArgumentException):  # no path at all, such as a line of prose with a colon
+        return False
+
+
 def excluded_by(path: Column, globs: list[str]) -> Column:
     """The first pattern that matches a path's last part or the whole path in any case, else null; a backslash counts as a slash."""
     path = F.lower(F.translate(path, "\\", "/"))

@@ -29,6 +29,11 @@ def roster(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("conv_id", "name").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n_seen"), F.bool_or(F.col("decision") == "accepted").alias("accepted"))
 
 
+def newly_accepted(mentions: DataFrame) -> DataFrame:
+    """(conv_id, turn, name): the message with which each name of a conversation was first accepted."""
+    return mentions.where("decision = 'accepted'").groupBy("conv_id", "name").agg(F.min("turn").alias("turn")).select("conv_id", "turn", "name")
+
+
 def stream_windows(messages: DataFrame, cap: int = CAP) -> DataFrame:
     """rolling_window() over a stream of (conv_id, turn, text) in which each conversation's turns come in order; state is the sizes held."""
 

@@ -91,3 +91,44 @@ def test_quoted_cells_hold_separators_and_line_ends(spark):
     files = [("a.csv", b'id,name\r\n1,"Smith, Anna\nMaria"\r\n2,"a ""b"" c"\r\n'), ("b.tsv", b'x\t"p\tq"\ny\tz'), ("c.csv", b"a,b\n1,2")]
     got = {r.path: r.text for r in readers.parse(spark.createDataFrame(files, "path string, content binary")).collect()}
     assert got == {"a.csv": 'id | name\n1 | Smith, Anna Maria\n2 | a "b" c\n', "b.tsv": "x | p q\ny | z", "c.csv": "a | b\n1 | 2"}
+
+
+def test_headers_notes_and_authors():
+    assert readers.eml_text(b"From: a@x.org\nTo: b@x.org\nTo:  c@x.org\n\nText").split("\n")[:3] == ["From: a@x.org", "To: b@x.org", "To: c@x.org"]
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>Body</w:t></w:r></w:p></w:body></w:document>")
+        z.writestr("word/footnotes.xml", f"<w:footnotes {w}><w:footnote><w:p><w:r><w:t>See Anna</w:t></w:r></w:p></w:footnote></w:footnotes>")
+        z.writestr("word/comments.xml", f'<w:comments {w}><w:comment w:author="Karl"><w:p><w:r><w:t>Why?</w:t></w:r></w:p></w:comment></w:comments>')
+        z.writestr("docProps/core.xml", '<c:p xmlns:c="c" xmlns:dc="d"><dc:creator>Maria</dc:creator><c:lastModifiedBy> Peter </c:lastModifiedBy></c:p>')
+    assert readers.docx_lines(out.getvalue()) == "Body\nSee Anna\nWhy?\nComment author: Karl\nDocument author: Maria\nLast modified by: Peter"
+
+
+def test_manifest(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.csv").write_text("x,y")
+    (tmp_path / "list.txt").write_text(f"# files\n\"{tmp_path}/a.txt\"\n\n{tmp_path}/b.csv\n{tmp_path}/none.txt\n")
+    with pytest.warns(UserWarning, match="none.txt"):
+        got = readers.read_manifest(spark, str(tmp_path / "list.txt"))
+    assert sorted(r.text for r in got.collect()) == ["one", "x | y"]
+    (tmp_path / "prose.txt").write_text("so said: Anna\n")
+    assert readers.read_manifest(spark, str(tmp_path / "prose.txt")) is None
+    (tmp_path / "empty.txt").write_text("# nothing\n")
+    assert readers.read_manifest(spark, str(tmp_path / "empty.txt")) is None
+
+
+def test_line_around(spark):
+    from spanloom.operators import context
+
+    rows = spark.createDataFrame([("abcdefghij", 0), ("abcdefghij", 5), ("abcdefghij", 9), ("abc", 2)], "line string, start int")
+    assert [r.x for r in rows.select(context.line_around(F.col("line"), F.col("start"), 4).alias("x")).collect()] == ["abcd", "defg", "ghij", "abc"]
+
+
+def test_medians(spark):
+    from spanloom.operators import evaluate
+
+    rows = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 2.0), ("b", 1.0), ("b", 2.0), ("b", None), ("c", None)], "s string, v double")
+    assert sorted(map(tuple, evaluate.medians(rows, "s", "v").collect())) == [("a", 3, 2.0), ("b", 2, 1.5)]
