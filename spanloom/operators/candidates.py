@@ -109,7 +109,7 @@ def judged(cands: DataFrame, counts: DataFrame | None = None) -> DataFrame:
 
     reps is how often a name is a candidate of its document, or more where counts, of occurrences(), finds it more often.
     """
-    rows = cands.withColumn("key", F.lower("text")).join(repetitions(cands), ["doc_id", "key"])
+    rows = cands.withColumn("key", F.lower("text")).withColumn("reps", F.count("*").over(Window.partitionBy("doc_id", "key")))
     if counts is not None:
         rows = rows.join(counts, ["doc_id", "text"], "left").withColumn("reps", F.greatest("reps", F.col("occurrences").cast("long"))).drop("occurrences")
     rows = rows.withColumn("ws", F.split("key", " ")).withColumn("raw", F.split("text", " "))
@@ -118,7 +118,7 @@ def judged(cands: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     # all runs of words, the whole name among them; names of over five words fail by their length before
     runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("ws", i, k)))).otherwise(F.array().cast("array<string>"))
     pairs = F.concat("ws", *[runs(k) for k in range(2, 6)])
-    strong = F.arrays_overlap("patterns", F.array(F.lit("titled"), F.lit("dictionary")))
+    strong = F.arrays_overlap("patterns", F.array(F.lit("titled"), F.lit("dictionary"), F.lit("document_name")))
     single = F.array_contains("patterns", "dictionary_single_token") & ~(has(F.col("ws")[0], "ambiguous") | ((n == 1) & has(F.col("key"), "calendar")))
     fails = {
         "length": (F.length("text") < 3) | (F.length("text") > 60) | (n > 5),

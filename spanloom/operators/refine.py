@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .candidates import decide, dominance, rank
 from .context import cue_features, with_line
 from .detect import CONFIDENCE
-from .evaluate import without_overlap
 from .lexicon import has
 
 
@@ -55,27 +54,45 @@ def features(judged: DataFrame, docs: DataFrame, text: str = "text") -> DataFram
     )
 
 
+def _vouches() -> Column:
+    """Whether a row is an accepted full name whose first word may stand for the person."""
+    first = F.split("text", " ")[0]
+    barred = [has(F.lower(first), x) for x in ("common", "ambiguous", "calendar", "language")]
+    return (F.col("decision") == "accepted") & (F.instr("text", " ") > 0) & (F.length(first) >= 2) & ~barred[0] & ~barred[1] & ~barred[2] & ~barred[3]
+
+
+def _any_with(flag: Column, word: Column) -> Column:
+    """Whether flag holds for some row of the document with the same word; a window, so that the rows aren't worked out twice for a join."""
+    return F.coalesce(F.max(flag.cast("int")).over(Window.partitionBy("doc_id", word)) == 1, F.lit(False))
+
+
 def propagatable(judged: DataFrame) -> DataFrame:
     """(doc_id, tok): first words of accepted full names that may stand for the person."""
-    first = F.split("text", " ")[0]
-    key = F.lower(first)
-    rows = judged.where("decision = 'accepted' and instr(text, ' ') > 0").where((F.length(first) >= 2) & ~has(key, "common") & ~has(key, "ambiguous") & ~has(key, "calendar"))
-    return rows.select("doc_id", first.alias("tok")).distinct()
+    return judged.where(_vouches()).select("doc_id", F.split("text", " ")[0].alias("tok")).distinct()
 
 
-def undetected(words: DataFrame, judged: DataFrame) -> DataFrame:
-    """Words of a document that are a propagatable name, exactly, and overlap no candidate."""
+def undetected(words: DataFrame, judged: DataFrame, cands: DataFrame) -> DataFrame:
+    """Words of a document that are a propagatable name, exactly, overlap no candidate and don't stand one or two characters before one."""
     found = words.join(propagatable(judged), ["doc_id", "tok"]).select("doc_id", "line_no", "start", "end", F.col("tok").alias("text"))
-    return without_overlap(found, judged.select("doc_id", "line_no", "start", "end"))
+    a, b = found.alias("a"), cands.select("doc_id", "line_no", "start", "end").alias("b")
+    same, before = F.expr("a.doc_id = b.doc_id and a.line_no = b.line_no"), F.expr("b.start between a.end + 1 and a.end + 2")
+    return a.join(b, same & (F.expr("a.start < b.end and b.start < a.end") | before), "left_anti")
+
+
+def propagated(judged: DataFrame, words: DataFrame, cands: DataFrame) -> DataFrame:
+    """The undetected() mentions as candidates, in the form of canonical(), with the evidence of the name that vouches for them."""
+    evidence = F.lit(CONFIDENCE["document_name"]).cast("decimal(16,4)")
+    spans = undetected(words, judged, cands).select("doc_id", "line_no", "start", "end", "text")
+    return spans.withColumns({"evidence": evidence, "patterns": F.array(F.lit("document_name")), "n_detections": F.lit(1).cast("long")})
 
 
 def capped(judged: DataFrame) -> DataFrame:
     """Accepted single words that are common and a last name only go to review, unless an accepted full name has them at an edge."""
-    single = (F.col("decision") == "accepted") & (F.instr("text", " ") == 0) & has(F.col("key"), "common") & has(F.col("key"), "last") & ~has(F.col("key"), "first") & ~F.array_contains("patterns", "titled")
-    full = judged.where("decision = 'accepted' and instr(text, ' ') > 0")
-    edges = full.select("doc_id", F.explode(F.array(F.element_at(F.split("key", " "), 1), F.element_at(F.split("key", " "), -1))).alias("key")).distinct().withColumn("edge", F.lit(True))
-    rows = judged.join(edges, ["doc_id", "key"], "left")
-    return rows.withColumn("decision", F.when(single & F.col("edge").isNull(), "review").otherwise(F.col("decision"))).drop("edge")
+    single = (F.col("decision") == "accepted") & (F.instr("text", " ") == 0) & has(F.col("key"), "common") & has(F.col("key"), "last") & ~has(F.col("key"), "first") & ~F.arrays_overlap("patterns", F.array(F.lit("titled"), F.lit("document_name")))
+    full = (F.col("decision") == "accepted") & (F.instr("text", " ") > 0)
+    edge = _any_with(full, F.element_at(F.split("key", " "), 1)) | _any_with(full, F.element_at(F.split("key", " "), -1))
+    rows = judged.withColumn("edge", edge)
+    return rows.withColumn("decision", F.when(single & ~F.col("edge"), "review").otherwise(F.col("decision"))).drop("edge")
 
 
 def strongest(patterns: Column) -> Column:
@@ -85,8 +102,7 @@ def strongest(patterns: Column) -> Column:
 
 def promoted(judged: DataFrame) -> DataFrame:
     """Lone words under review that are the first word of an accepted full name of their document are decided anew with its evidence."""
-    names = propagatable(judged).select("doc_id", F.lower("tok").alias("key")).distinct().withColumn("vouched", F.lit(True))
-    rows = judged.join(names, ["doc_id", "key"], "left")
+    rows = judged.withColumn("vouched", _any_with(_vouches(), F.split("key", " ")[0]))
     lone = F.col("vouched") & (F.col("decision") == "review") & (F.instr("text", " ") == 0)
     score = F.when(lone, F.col("score") + F.lit("0.60").cast("decimal(6,4)")).otherwise(F.col("score")).cast("decimal(8,4)")
     rows = rows.withColumn("score", score)

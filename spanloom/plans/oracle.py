@@ -3,6 +3,8 @@ windows, the greedy dictionary scan from a recursion."""
 
 from __future__ import annotations
 
+import re
+
 from ..operators.lexicon import LISTS
 from .fixtures import MARKED
 
@@ -127,7 +129,7 @@ planted AS (
 ), tested AS (
   SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: w IN {_in('first')} OR w IN {_in('last')})) AS known,
     flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, greatest(len(ws) - k + 2, 1)), lambda i: array_to_string(ws[i:i + k - 1], ' ')))) AS pairs,
-    list_has_any(pats, ['titled', 'dictionary']) AS strong FROM counted
+    list_has_any(pats, ['titled', 'dictionary', 'document_name']) AS strong FROM counted
 ), failing AS (
   SELECT *, CASE
     WHEN length(text) < 3 OR length(text) > 60 OR n > 5 THEN 'length'
@@ -201,24 +203,37 @@ SCAN = f""", words_of AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+
 RECORDS = """, records AS (SELECT doc_id, line_no, s AS span_start, text, score::DOUBLE AS score, decision, length(text) AS char_length, sha256(CASE WHEN length(line) <= 2000 THEN line ELSE line[greatest(least(s - 1000, length(line) - 2000), 0) + 1:greatest(least(s - 1000, length(line) - 2000), 0) + 2000] END) AS context_sha256
         FROM judged JOIN lines USING (doc_id, line_no) WHERE failed IS NULL)"""
 VOUCHED = f""", f AS (SELECT DISTINCT doc_id, lower(raw[1]) AS key FROM judged WHERE decision = 'accepted' AND n >= 2 AND length(raw[1]) >= 2
-        AND ws[1] NOT IN {_in('common')} AND ws[1] NOT IN {_in('ambiguous')} AND ws[1] NOT IN {_in('calendar')})"""
+        AND ws[1] NOT IN {_in('common')} AND ws[1] NOT IN {_in('ambiguous')} AND ws[1] NOT IN {_in('calendar')} AND ws[1] NOT IN {_in('language')})"""
 
 CONTEXT = f"""
       , ctx AS (SELECT j.*, line[:j.s] AS pre, line[j.e + 1:] AS post, code.s IS NOT NULL OR coalesce({_log_line()}, false) OR regexp_matches(line[1:300], '{TABLE_ROW}') AS machine
         FROM judged j JOIN lines USING (doc_id, line_no) LEFT JOIN code ON code.doc_id = j.doc_id AND code.line_no = j.line_no AND code.s = j.s
-      ), r AS (SELECT * EXCLUDE (failed, score), CASE WHEN failed IN ('length', 'structure') THEN failed WHEN machine THEN 'system_log' WHEN failed IS NOT NULL THEN failed
+      ), told AS (SELECT * EXCLUDE (failed, score), CASE WHEN failed IN ('length', 'structure') THEN failed WHEN machine THEN 'system_log' WHEN failed IS NOT NULL THEN failed
           WHEN regexp_matches(lower(pre[-10:]), 'http://|https://|www\\.') OR ltrim(post, ' ' || chr(9))[1:1] = '@' THEN 'context' END AS failed, score
         FROM ctx
-      ), t AS (SELECT * EXCLUDE (score), CASE WHEN failed IS NOT NULL THEN 0 ELSE score + CASE WHEN lower(regexp_extract(pre, '([A-Za-z'']+)\\s*$', 1)) IN {_in('occupation')} THEN 0.10 ELSE 0 END END::DECIMAL(8, 4) AS score FROM r)
+      ), weighed AS (SELECT * EXCLUDE (score), CASE WHEN failed IS NOT NULL THEN 0 ELSE score + CASE WHEN lower(regexp_extract(pre, '([A-Za-z'']+)\\s*$', 1)) IN {_in('occupation')} THEN 0.10 ELSE 0 END END::DECIMAL(8, 4) AS score FROM told)
 """
-EXTRACT = "WITH " + spans_of("documents", counts=True) + CODE + CONTEXT + f"""
-      , decided AS (SELECT * EXCLUDE (decision), CASE WHEN score >= 0.75 AND sure THEN 'accepted' WHEN score >= 0.45 AND NOT sure AND common THEN 'rejected' WHEN score >= 0.45 THEN 'review' ELSE 'rejected' END AS decision FROM t)""" + VOUCHED.replace("FROM judged", "FROM decided") + f"""
+DECIDED = """
+      , decided AS (SELECT * EXCLUDE (decision), CASE WHEN score >= 0.75 AND sure THEN 'accepted' WHEN score >= 0.45 AND NOT sure AND common THEN 'rejected' WHEN score >= 0.45 THEN 'review' ELSE 'rejected' END AS decision FROM weighed)"""
+ADDED = f"""
+      , tokens AS (SELECT DISTINCT doc_id, raw[1] AS tok FROM decided WHERE decision = 'accepted' AND (doc_id, lower(raw[1])) IN (SELECT (doc_id, key) FROM f) AND n >= 2
+      ), cands_x AS (SELECT x.doc_id, x.line_no, 0 AS grp, x.s, x.e, x.tok AS text, 0.60 AS evidence, ['document_name'] AS pats FROM flagged x JOIN tokens USING (doc_id, tok)
+        WHERE NOT EXISTS (FROM cands y WHERE {HIT}) AND NOT EXISTS (FROM cands y WHERE y.doc_id = x.doc_id AND y.line_no = x.line_no AND y.s IN (x.e + 1, x.e + 2)))"""
+
+
+def _again(sql: str) -> str:
+    """The steps from candidates to decisions for the mentions that were added."""
+    return re.sub(r"\b(cands|occ|counted|tested|failing|scored|judged|found|bare_names|labelled|hosts|code|ctx|told|weighed|decided)\b", r"\1_x", sql)
+
+
+WHOLE = spans_of("documents", counts=True)
+EXTRACT = "WITH " + WHOLE + CODE + CONTEXT + DECIDED + VOUCHED.replace("FROM judged", "FROM decided") + ADDED + _again(", " + WHOLE[WHOLE.index("occ AS (") : WHOLE.index("), forms AS") + 1] + CODE + CONTEXT + DECIDED) + f"""
       , risen AS (SELECT * EXCLUDE (decision, score), CASE WHEN up THEN score + 0.60 ELSE score END::DECIMAL(8, 4) AS score, CASE WHEN up THEN 'accepted' ELSE decision END AS decision
-        FROM (SELECT *, decision = 'review' AND n = 1 AND (doc_id, key) IN (SELECT (doc_id, key) FROM f) AS up FROM decided)
+        FROM (SELECT *, decision = 'review' AND n = 1 AND (doc_id, key) IN (SELECT (doc_id, key) FROM f) AS up FROM decided) UNION ALL BY NAME SELECT * FROM decided_x
       ), edges AS (SELECT DISTINCT doc_id, unnest([ws[1], ws[-1]]) AS key FROM risen WHERE decision = 'accepted' AND n >= 2
       ), wf AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM planted
       ), flat AS (SELECT doc_id FROM wf WHERE len(w) < 30 AND (len(w) = 0 OR len(list_filter(w, lambda x: x IN {_in('stopword')})) / len(w) < 0.15)
-      ), final AS (SELECT * EXCLUDE (decision), CASE WHEN decision = 'accepted' AND n = 1 AND NOT list_contains(pats, 'titled')
+      ), final AS (SELECT * EXCLUDE (decision), CASE WHEN decision = 'accepted' AND n = 1 AND NOT list_has_any(pats, ['titled', 'document_name'])
           AND (doc_id IN (FROM flat) OR key IN {_in('common')} AND key IN {_in('last')} AND key NOT IN {_in('first')} AND (doc_id, key) NOT IN (SELECT (doc_id, key) FROM edges)) THEN 'review' ELSE decision END AS decision FROM risen)
 """
 
@@ -264,8 +279,8 @@ ORACLE_SQL = {
         len(list_filter(body, lambda w: w IN {_in('location')} OR w IN {_in('organization')})) AS place_or_org, list_contains(pats, 'titled')::INT AS titled, list_contains(pats, 'dictionary')::INT AS dictionary,
         list_contains(pats, 'bare')::INT AS bare, n_detections, reps FROM near WHERE failed IS NULL""",
     "propagate_names": DOCS + f"""
-      , f AS (SELECT DISTINCT doc_id, raw[1] AS tok FROM judged WHERE decision = 'accepted' AND n >= 2 AND length(raw[1]) >= 2 AND ws[1] NOT IN {_in('common')} AND ws[1] NOT IN {_in('ambiguous')} AND ws[1] NOT IN {_in('calendar')})
-      SELECT x.doc_id, x.line_no, x.s AS span_start, x.e AS span_end, x.tok AS text FROM flagged x JOIN f ON f.doc_id = x.doc_id AND f.tok = x.tok WHERE NOT EXISTS (FROM cands y WHERE {HIT})""",
+      , f AS (SELECT DISTINCT doc_id, raw[1] AS tok FROM judged WHERE decision = 'accepted' AND n >= 2 AND length(raw[1]) >= 2 AND ws[1] NOT IN {_in('common')} AND ws[1] NOT IN {_in('ambiguous')} AND ws[1] NOT IN {_in('calendar')} AND ws[1] NOT IN {_in('language')})
+      SELECT x.doc_id, x.line_no, x.s AS span_start, x.e AS span_end, x.tok AS text FROM flagged x JOIN f ON f.doc_id = x.doc_id AND f.tok = x.tok WHERE NOT EXISTS (FROM cands y WHERE {HIT}) AND NOT EXISTS (FROM cands y WHERE y.doc_id = x.doc_id AND y.line_no = x.line_no AND y.s IN (x.e + 1, x.e + 2))""",
     "caps": DOCS + f"""
       , edges AS (SELECT DISTINCT doc_id, unnest([ws[1], ws[-1]]) AS key FROM judged WHERE decision = 'accepted' AND n >= 2)
       SELECT doc_id, line_no, s AS span_start, text, CASE WHEN decision = 'accepted' AND n = 1 AND key IN {_in('common')} AND key IN {_in('last')} AND key NOT IN {_in('first')} AND NOT list_contains(pats, 'titled')
@@ -313,7 +328,7 @@ ORACLE_SQL = {
     "stage_medians": "SELECT event_type, count(*) AS n, (quantile_disc(value, 0.5) + list_sort(list(value))[count(*) // 2 + 1]) / 2 AS median FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "context_rules": DOCS + CODE + CONTEXT + f"""
       SELECT doc_id, line_no, s AS span_start, text, coalesce(failed, '-') AS failed, score::DOUBLE AS score,
-        CASE WHEN score >= 0.75 AND sure THEN 'accepted' WHEN score >= 0.45 AND NOT sure AND common THEN 'rejected' WHEN score >= 0.45 THEN 'review' ELSE 'rejected' END AS decision FROM t""",
+        CASE WHEN score >= 0.75 AND sure THEN 'accepted' WHEN score >= 0.45 AND NOT sure AND common THEN 'rejected' WHEN score >= 0.45 THEN 'review' ELSE 'rejected' END AS decision FROM weighed""",
     "occurrences": DOCS + "SELECT doc_id, text, occurrences FROM occ",
     "extract": EXTRACT + "SELECT doc_id, line_no, s AS span_start, text, reps, coalesce(failed, '-') AS failed, score::DOUBLE AS score, decision FROM final",
     "extract_persons": EXTRACT + """, ff AS (SELECT doc_id, key, text, count(*) AS n, min((line_no, s)) AS place, max(score) AS best, max(CASE decision WHEN 'accepted' THEN 2 WHEN 'review' THEN 1 ELSE 0 END) AS level FROM final GROUP BY ALL)

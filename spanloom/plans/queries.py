@@ -120,12 +120,18 @@ def occurrences(spark, d):
     return candidates.occurrences(candidates.canonical(candidates.overlap_groups(detect.detections(docs))), docs)
 
 
+def _judged_whole(cands: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidates counted in their whole documents, validated, put under the rules on lines and decided."""
+    return context.judged_in_context(candidates.judged(cands, candidates.occurrences(cands, docs)), docs)
+
+
 def extracted(docs: DataFrame) -> DataFrame:
-    """The whole flow by rules: detect, merge, count, validate, rules on lines, decide, promote, cap."""
+    """The whole flow by rules: detect, merge, count, validate, rules on lines, decide, promote, add mentions that no detector saw, cap."""
     cands = candidates.canonical(candidates.overlap_groups(detect.detections(docs)))
-    judged = context.judged_in_context(candidates.judged(cands, candidates.occurrences(cands, docs)), docs)
+    judged = _judged_whole(cands, docs)
+    added = _judged_whole(refine.propagated(judged, detect.words(docs), cands), docs)
     flagged = docs.where(T.is_short_non_prose(F.col("text")))
-    return refine.lone_capped(refine.capped(refine.promoted(judged)), flagged)
+    return refine.lone_capped(refine.capped(refine.promoted(judged).unionByName(added, allowMissingColumns=True)), flagged)
 
 
 @query
@@ -167,7 +173,8 @@ def features(spark, d):
 
 @query
 def propagate_names(spark, d):
-    return _spans(refine.undetected(detect.words(docs_of(spark, d)), judged_of(spark, d)))
+    judged = judged_of(spark, d)
+    return _spans(refine.undetected(detect.words(docs_of(spark, d)), judged, judged))
 
 
 @query
