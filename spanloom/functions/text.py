@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..operators.lexicon import LISTS
+from ..operators.lexicon import has
 
 
 @F.pandas_udf(StringType())
@@ -40,7 +40,7 @@ def stopword_share(text: Column) -> tuple[Column, Column]:
     """Number of words, and the share of stopwords among them."""
     words = ascii_words(F.lower(text))
     n = F.size(words)
-    return n, F.size(F.filter(words, lambda w: w.isin(LISTS["stopword"]))) / F.greatest(n, F.lit(1))
+    return n, F.size(F.filter(words, lambda w: has(w, "stopword"))) / F.greatest(n, F.lit(1))
 
 
 def english_ratio(text: Column) -> Column:
@@ -125,6 +125,22 @@ def fold_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "".join(single), "".join(single.values())), "[\\u0300-\\u036F]", "")
 
 
+def folded(key: str) -> str:
+    """fold_accents() of a string in lower case."""
+    table = {**_accents(), **LETTERS}
+    plain = "".join(table.get(c, c) for c in unicodedata.normalize("NFC", key))
+    return "".join(c for c in plain if not unicodedata.combining(c)).lower()
+
+
+def fold_key(key: Column) -> Column:
+    """fold_accents() of keys in lower case: fewer letters to replace, cheap enough for every word."""
+    table = {c: x.lower() for c, x in {**_accents(), **LETTERS}.items() if c == c.lower()}
+    for c, plain in ((c, x) for c, x in table.items() if len(x) > 1):
+        key = F.replace(key, F.lit(c), F.lit(plain))
+    single = {c: x for c, x in table.items() if len(x) == 1}
+    return F.regexp_replace(F.translate(key, "".join(single), "".join(single.values())), "[\\u0300-\\u036F]", "")
+
+
 def sentences(line: Column) -> Column:
     """A line cut after . ! or ? and blanks before a capital or a quotation mark with one."""
     return F.split(line, "(?<=[.!?])\\s+(?=[\"']?[A-Z])", -1)

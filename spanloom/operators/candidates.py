@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lexicon import LISTS, has
+from .lexicon import has, keys, name_key
 
 PLACE = ("doc_id", "line_no")
 ACCEPT, REVIEW = "0.75", "0.45"
@@ -63,7 +65,7 @@ def canonical(groups: DataFrame) -> DataFrame:
 
 def trim_stopwords(name: Column) -> Column:
     """Drops leading, then trailing stopwords, four at most, and keeps a word."""
-    edge = "|".join(LISTS["stopword"])
+    edge = "|".join(map(re.escape, keys("stopword")))
     name = F.regexp_replace(name, f"(?i)^(?:(?:{edge}) ){{1,4}}(?=\\S)", "")
     return F.regexp_replace(name, f"(?i)(?<=\\S)(?: (?:{edge})){{1,4}}$", "")
 
@@ -114,7 +116,8 @@ def judged(cands: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         rows = rows.join(counts, ["doc_id", "text"], "left").withColumn("reps", F.greatest("reps", F.col("occurrences").cast("long"))).drop("occurrences")
     rows = rows.withColumn("ws", F.split("key", " ")).withColumn("raw", F.split("text", " "))
     n = F.size("ws")
-    known = F.size(F.filter("ws", lambda w: has(w, "first") | has(w, "last")))
+    rows = rows.withColumn("looked_up", F.transform("ws", name_key))
+    known = F.size(F.filter("looked_up", lambda w: has(w, "first") | has(w, "last")))
     # all runs of words, the whole name among them; names of over five words fail by their length before
     runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("ws", i, k)))).otherwise(F.array().cast("array<string>"))
     pairs = F.concat("ws", *[runs(k) for k in range(2, 6)])
@@ -131,7 +134,7 @@ def judged(cands: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         "corroboration": ~(strong | single | ((F.col("reps") >= 4) & ~((n == 1) & has(F.col("key"), "calendar")))),
         "blacklist": F.exists(pairs, lambda p: has(p, "blacklist")),
         "organization": F.exists("ws", lambda w: has(w, "organization")),
-        "location": F.exists(pairs, lambda p: has(p, "location")) & ~(F.exists("ws", lambda w: has(w, "first") & ~has(w, "location")) | ((n > 1) & (F.col("reps") >= 4))),
+        "location": F.exists(pairs, lambda p: has(p, "location")) & ~(F.exists("looked_up", lambda w: has(w, "first") & ~has(w, "location")) | ((n > 1) & (F.col("reps") >= 4))),
         "stopword": F.exists("ws", lambda w: has(w, "stopword")),
     }
     rows = rows.withColumn("failed", F.coalesce(*[F.when(fails[k], F.lit(k)) for k in ORDER]))
@@ -140,7 +143,7 @@ def judged(cands: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     initials = F.when(F.exists("raw", lambda w: F.length(w) == 1), F.lit("0.05")).otherwise("0.00").cast("decimal(6,4)")
     score = F.when(F.col("failed").isNotNull(), F.lit(0)).otherwise(F.col("evidence") + F.lit("0.20").cast("decimal(6,4)") + ratio + title + initials).cast("decimal(8,4)")
     rows = rows.withColumn("score", score)
-    return rows.withColumn("decision", decide(F.col("score"), is_sure(F.col("patterns"), F.col("reps")), all_common(F.col("key")))).drop("ws", "raw")
+    return rows.withColumn("decision", decide(F.col("score"), is_sure(F.col("patterns"), F.col("reps")), all_common(F.col("key")))).drop("ws", "raw", "looked_up")
 
 
 def persons(cands: DataFrame) -> DataFrame:

@@ -7,13 +7,18 @@ Runs of words then live in an array of the row, which higher-order functions fol
 
 from __future__ import annotations
 
+import re
+import warnings
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexicon import has
+from .lexicon import has, name_key
 
 WORD = r"(?<![\p{L}_'\-])\p{Lu}[\p{L}_'\-]*"
-CONFIDENCE = {"titled": "0.90", "bare": "0.55", "dictionary": "0.85", "dictionary_single_token": "0.40", "document_name": "0.60"}
+CONFIDENCE = {"titled": "0.90", "bare": "0.55", "dictionary": "0.85", "dictionary_single_token": "0.40", "document_name": "0.60", "model": "0.50"}
 BLANKS = r"^[ \t]{1,2}$"
 AFTER_POINT = r"^\.[ \t]{1,2}$"
 
@@ -34,12 +39,15 @@ def places(found: Column, between: Column) -> Column:
 
 
 def words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, line_no, ix, start, end, tok, key, linked): capitalised words; linked if one belongs to the word before it."""
+    """(doc_id, line_no, ix, start, end, tok, key, linked, spaced): capitalised words; key is what names are looked up by.
+
+    A word is linked if it belongs to the word before it, and spaced if only one or two blanks follow up to the next.
+    """
     rows = lines(docs, text).where(F.col("line").rlike(r"\p{Lu}")).select("doc_id", "line_no", F.regexp_extract_all("line", F.lit(WORD), 0).alias("found"), F.split("line", WORD, -1).alias("between"))
     rows = rows.select("doc_id", "line_no", places(F.col("found"), F.col("between")).alias("ws"))
     before = lambda ws, i: F.get(ws, i - 1)
     joins = lambda w: w["gap"].rlike(BLANKS) | (w["gap"].rlike(AFTER_POINT) & ((F.length(w["tok"]) == 1) | has(F.lower(w["tok"]), "title")))
-    marked = F.transform("ws", lambda w, i: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["tok"].alias("tok"), F.lower(w["tok"]).alias("key"), F.coalesce(joins(before(F.col("ws"), i)), F.lit(False)).alias("linked")))
+    marked = F.transform("ws", lambda w, i: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["tok"].alias("tok"), name_key(F.lower(w["tok"])).alias("key"), F.coalesce(joins(before(F.col("ws"), i)), F.lit(False)).alias("linked"), w["gap"].rlike(BLANKS).alias("spaced")))
     return rows.select("doc_id", "line_no", F.posexplode(marked).alias("ix", "w")).select("doc_id", "line_no", "ix", "w.*")
 
 
@@ -112,6 +120,34 @@ def dictionary_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return _spans(docs, text, _dictionary())
 
 
-def detections(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All detectors in one pass."""
-    return _spans(docs, text, F.concat(_titled(), _bare(), _dictionary()))
+def model_spans(docs: DataFrame, load: Callable[[], Callable[[str], list[tuple[int, int]]]], text: str = "text") -> DataFrame:
+    """Spans that a model finds in each line. load() is called once a task and gives a function of a line to places (start, end).
+
+    Words with digits aren't part of a name, and part its pieces. A line that the model fails on has no spans.
+    """
+
+    def run(batches):
+        find = load()
+        for b in batches:
+            for doc, line_no, line in zip(b["doc_id"], b["line_no"], b["line"]):
+                try:
+                    places = find(line)
+                except Exception as e:  # one line's failure is no reason to lose the others
+                    warnings.warn(f"no spans of line {line_no} of {doc}: {e}", stacklevel=2)
+                    continue
+                pieces = [(s + m.start(), m.group()) for s, e in places for m in re.finditer(r"[^\s\d]+(?:\s+(?!\S*\d)\S+)*", re.sub(r"\S*\d\S*", lambda d: "0" * len(d.group()), line[s:e]))]
+                if pieces:
+                    yield pd.DataFrame([(doc, line_no, at, at + len(p), " ".join(p.split())) for at, p in pieces], columns=["doc_id", "line_no", "start", "end", "text"])
+
+    rows = lines(docs, text).where(F.col("line").rlike(r"\p{Lu}"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInPandas(run, f"doc_id {kind}, line_no int, start int, end int, text string")
+    return found.select("*", F.lit("model").alias("pattern"), F.lit(CONFIDENCE["model"]).cast("decimal(6,4)").alias("confidence"))
+
+
+def detections(docs: DataFrame, text: str = "text", more: Sequence[Callable[[DataFrame, str], DataFrame]] = ()) -> DataFrame:
+    """All detectors in one pass, and the spans of more detectors, of the same columns; these may have patterns of their own."""
+    found = _spans(docs, text, F.concat(_titled(), _bare(), _dictionary()))
+    for detector in more:
+        found = found.unionByName(detector(docs, text))
+    return found

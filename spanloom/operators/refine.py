@@ -72,11 +72,11 @@ def propagatable(judged: DataFrame) -> DataFrame:
 
 
 def undetected(words: DataFrame, judged: DataFrame, cands: DataFrame) -> DataFrame:
-    """Words of a document that are a propagatable name, exactly, overlap no candidate and don't stand one or two characters before one."""
-    found = words.join(propagatable(judged), ["doc_id", "tok"]).select("doc_id", "line_no", "start", "end", F.col("tok").alias("text"))
+    """Words of a document that are a propagatable name, exactly, overlap no candidate and don't stand one or two blanks before one."""
+    found = words.join(propagatable(judged), ["doc_id", "tok"]).select("doc_id", "line_no", "start", "end", F.col("tok").alias("text"), "spaced")
     a, b = found.alias("a"), cands.select("doc_id", "line_no", "start", "end").alias("b")
-    same, before = F.expr("a.doc_id = b.doc_id and a.line_no = b.line_no"), F.expr("b.start between a.end + 1 and a.end + 2")
-    return a.join(b, same & (F.expr("a.start < b.end and b.start < a.end") | before), "left_anti")
+    same, before = F.expr("a.doc_id = b.doc_id and a.line_no = b.line_no"), F.expr("a.spaced and b.start between a.end + 1 and a.end + 2")
+    return a.join(b, same & (F.expr("a.start < b.end and b.start < a.end") | before), "left_anti").drop("spaced")
 
 
 def propagated(judged: DataFrame, words: DataFrame, cands: DataFrame) -> DataFrame:

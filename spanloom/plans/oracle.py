@@ -218,7 +218,7 @@ DECIDED = """
 ADDED = f"""
       , tokens AS (SELECT DISTINCT doc_id, raw[1] AS tok FROM decided WHERE decision = 'accepted' AND (doc_id, lower(raw[1])) IN (SELECT (doc_id, key) FROM f) AND n >= 2
       ), cands_x AS (SELECT x.doc_id, x.line_no, 0 AS grp, x.s, x.e, x.tok AS text, 0.60 AS evidence, ['document_name'] AS pats FROM flagged x JOIN tokens USING (doc_id, tok)
-        WHERE NOT EXISTS (FROM cands y WHERE {HIT}) AND NOT EXISTS (FROM cands y WHERE y.doc_id = x.doc_id AND y.line_no = x.line_no AND y.s IN (x.e + 1, x.e + 2)))"""
+        WHERE NOT EXISTS (FROM cands y WHERE {HIT}) AND NOT EXISTS (FROM cands y JOIN lines USING (doc_id, line_no) WHERE y.doc_id = x.doc_id AND y.line_no = x.line_no AND y.s IN (x.e + 1, x.e + 2) AND trim(line[x.e + 1:y.s], ' ' || chr(9)) = ''))"""
 
 
 def _again(sql: str) -> str:
@@ -237,7 +237,13 @@ EXTRACT = "WITH " + WHOLE + CODE + CONTEXT + DECIDED + VOUCHED.replace("FROM jud
           AND (doc_id IN (FROM flat) OR key IN {_in('common')} AND key IN {_in('last')} AND key NOT IN {_in('first')} AND (doc_id, key) NOT IN (SELECT (doc_id, key) FROM edges)) THEN 'review' ELSE decision END AS decision FROM risen)
 """
 
+NAMES = f"({_in('first')[1:-1]}, {_in('last')[1:-1]})"
+
 ORACLE_SQL = {
+    "folded_lookup": f"""WITH w AS (SELECT c_custkey, ['Änna', 'María', 'Jöhn', 'Kellér', 'Łopez', 'Nóvak', 'Lopez', 'Đavid', 'Zoë', 'Straße'][c_custkey % 10 + 1] || CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE '' END AS word FROM customer
+      ), k AS (SELECT c_custkey, word, lower(word) AS key, replace(translate(strip_accents(lower(word)), 'łđ', 'ld'), 'ß', 'ss') AS plain FROM w
+      ), u AS (SELECT c_custkey, word, CASE WHEN key NOT IN {NAMES} AND plain IN {NAMES} THEN plain ELSE key END AS key FROM k)
+      SELECT c_custkey, word, key, key IN {_in('first')} AS first_name, key IN {_in('last')} AS last_name FROM u""",
     "clean_text": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, '') || ' ' || chr(9) || chr(13) || chr(10) || 'end' || chr(1) || chr(13), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g') AS cleaned FROM documents""",
     "doc_metrics": "SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS n_lines, length(coalesce(text, '')) AS n_code_points FROM documents",
     "english_gate": f"SELECT doc_id, {WORDS} AS n_words, round_even({SHARE}, 4) AS share, CASE WHEN {WORDS} < 30 THEN 1.0 ELSE round_even({SHARE}, 4) END::DOUBLE AS ratio, {WORDS} < 30 OR {SHARE} >= 0.15 AS english FROM documents",
@@ -280,7 +286,7 @@ ORACLE_SQL = {
         list_contains(pats, 'bare')::INT AS bare, n_detections, reps FROM near WHERE failed IS NULL""",
     "propagate_names": DOCS + f"""
       , f AS (SELECT DISTINCT doc_id, raw[1] AS tok FROM judged WHERE decision = 'accepted' AND n >= 2 AND length(raw[1]) >= 2 AND ws[1] NOT IN {_in('common')} AND ws[1] NOT IN {_in('ambiguous')} AND ws[1] NOT IN {_in('calendar')} AND ws[1] NOT IN {_in('language')})
-      SELECT x.doc_id, x.line_no, x.s AS span_start, x.e AS span_end, x.tok AS text FROM flagged x JOIN f ON f.doc_id = x.doc_id AND f.tok = x.tok WHERE NOT EXISTS (FROM cands y WHERE {HIT}) AND NOT EXISTS (FROM cands y WHERE y.doc_id = x.doc_id AND y.line_no = x.line_no AND y.s IN (x.e + 1, x.e + 2))""",
+      SELECT x.doc_id, x.line_no, x.s AS span_start, x.e AS span_end, x.tok AS text FROM flagged x JOIN f ON f.doc_id = x.doc_id AND f.tok = x.tok WHERE NOT EXISTS (FROM cands y WHERE {HIT}) AND NOT EXISTS (FROM cands y JOIN lines USING (doc_id, line_no) WHERE y.doc_id = x.doc_id AND y.line_no = x.line_no AND y.s IN (x.e + 1, x.e + 2) AND trim(line[x.e + 1:y.s], ' ' || chr(9)) = '')""",
     "caps": DOCS + f"""
       , edges AS (SELECT DISTINCT doc_id, unnest([ws[1], ws[-1]]) AS key FROM judged WHERE decision = 'accepted' AND n >= 2)
       SELECT doc_id, line_no, s AS span_start, text, CASE WHEN decision = 'accepted' AND n = 1 AND key IN {_in('common')} AND key IN {_in('last')} AND key NOT IN {_in('first')} AND NOT list_contains(pats, 'titled')

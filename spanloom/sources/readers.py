@@ -13,6 +13,7 @@ import sys
 import warnings
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -151,15 +152,20 @@ def eml_text(content: bytes) -> str:
 PARSERS = {"json": lambda raw, t: json_lines(t), "html": lambda raw, t: html_text(t), "xml": lambda raw, t: xml_lines(t), "docx": lambda raw, t: docx_lines(raw), "eml": lambda raw, t: eml_text(raw)}
 
 
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("error", StringType())]))
-def _parsed(kinds: pd.Series, contents: pd.Series, texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for kind, raw, text in zip(kinds, contents, texts):
-        try:
-            rows.append((PARSERS[kind](raw, text), None))
-        except Exception as e:  # a broken file is a row with an error, never a failed task
-            rows.append((None, f"{type(e).__name__}: {e}"))
-    return pd.DataFrame(rows, columns=["text", "error"])
+def _parsed(parsers: dict[str, Callable]):
+    """The Arrow UDF (format, content, text) to (text, error) of these parsers."""
+
+    @F.pandas_udf(StructType([StructField("text", StringType()), StructField("error", StringType())]))
+    def run(kinds: pd.Series, contents: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for kind, raw, text in zip(kinds, contents, texts):
+            try:
+                rows.append((parsers[kind](raw, text), None))
+            except Exception as e:  # a broken file is a row with an error, never a failed task
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["text", "error"])
+
+    return run
 
 
 def csv_lines(text: Column, separator: Column) -> Column:
@@ -181,18 +187,23 @@ def _quoted_lines(texts: pd.Series, separators: pd.Series) -> pd.Series:
     return pd.Series([lines(t, s) for t, s in zip(texts, separators)], dtype=object)
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """files: (path, content). (path, format, ok, error, skipped, text); only structured formats and CSV with quotes go through Python."""
+def parse(files: DataFrame, more: dict[str, Callable] | None = None) -> DataFrame:
+    """files: (path, content). (path, format, ok, error, skipped, text); only structured formats and CSV with quotes go through Python.
+
+    more: parsers of the user's by format, functions (bytes, decoded text or None) to text; one for pdf has its files read,
+    which are passed over without.
+    """
     from ..functions.text import delimiter
 
+    parsers = {**PARSERS, **(more or {})}
     rows = files.select("path", "content", format_of(F.col("path")).alias("format"), is_binary(F.col("content")).alias("binary"))
     rows = rows.withColumn("raw", F.when(~F.col("binary") & ~F.col("format").isin("docx", "pdf"), decode(F.col("content"))))
-    rows = rows.withColumn("skipped", F.when(F.col("format").isNull(), "unsupported").when(F.col("binary") & ~F.col("format").isin("docx", "pdf"), "binary_content").when(F.col("format") == "pdf", "no_pdf_reader"))
-    parsed = F.when(F.col("skipped").isNull() & F.col("format").isin(*PARSERS), _parsed("format", "content", "raw"))
+    rows = rows.withColumn("skipped", F.when(F.col("format").isNull(), "unsupported").when(F.col("binary") & ~F.col("format").isin("docx", "pdf"), "binary_content").when((F.col("format") == "pdf") & F.lit("pdf" not in parsers), "no_pdf_reader"))
+    parsed = F.when(F.col("skipped").isNull() & F.col("format").isin(*parsers), _parsed(parsers)("format", "content", "raw"))
     separator = F.when(F.col("path").endswith(".tsv"), "\t").otherwise(delimiter(F.substring_index(F.ltrim("raw"), "\n", 1)))
     quoted = F.col("raw").contains('"')
     rows = rows.withColumn("parsed", parsed).withColumn("cells", F.when((F.col("format") == "csv") & quoted, _quoted_lines("raw", separator)))
-    text = F.when(F.col("format") == "txt", F.col("raw")).when((F.col("format") == "csv") & quoted, F.col("cells")).when(F.col("format") == "csv", csv_lines(F.col("raw"), separator)).otherwise(F.col("parsed.text"))
+    text = F.when(F.col("format").isin(*(more or {})), F.col("parsed.text")).when(F.col("format") == "txt", F.col("raw")).when((F.col("format") == "csv") & quoted, F.col("cells")).when(F.col("format") == "csv", csv_lines(F.col("raw"), separator)).otherwise(F.col("parsed.text"))
     return rows.select("path", "format", (F.col("skipped").isNull() & F.col("parsed.error").isNull()).alias("ok"), F.col("parsed.error").alias("error"), "skipped", F.when(F.col("skipped").isNull(), text).alias("text"))
 
 

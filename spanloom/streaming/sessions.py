@@ -34,24 +34,35 @@ def newly_accepted(mentions: DataFrame) -> DataFrame:
     return mentions.where("decision = 'accepted'").groupBy("conv_id", "name").agg(F.min("turn").alias("turn")).select("conv_id", "turn", "name")
 
 
-def stream_windows(messages: DataFrame, cap: int = CAP) -> DataFrame:
-    """rolling_window() over a stream of (conv_id, turn, text) in which each conversation's turns come in order; state is the sizes held."""
+def stream_windows(messages: DataFrame, cap: int = CAP, idle_minutes: int | None = None) -> DataFrame:
+    """rolling_window() over a stream of (conv_id, turn, text) in which each conversation's turns come in order; state is the sizes held.
+
+    The state of a conversation without a message for idle_minutes goes (None: never); one that goes on later begins anew.
+    """
 
     def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         turns, sizes = (list(x) for x in state.get) if state.exists else ([], [])
         rows = pd.concat(list(batches)).sort_values("turn")
-        out = []
+        out, first, held = [], 0, sum(sizes)
         for turn, text in zip(rows["turn"], rows["text"]):
             turns.append(int(turn))
             sizes.append(len(text or "") + 1)
-            while len(sizes) > 1 and sum(sizes) > cap:
-                del turns[0], sizes[0]
-            out.append((key[0], int(turn), turns[0], len(turns), sum(sizes)))
-        state.update((turns, sizes))
+            held += sizes[-1]
+            while first < len(sizes) - 1 and held > cap:
+                held -= sizes[first]
+                first += 1
+            out.append((key[0], int(turn), turns[first], len(turns) - first, held))
+        state.update((turns[first:], sizes[first:]))
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60_000)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "first_turn", "n_messages", "n_chars"])
 
     return messages.groupBy("conv_id").applyInPandasWithState(
-        step, "conv_id long, turn long, first_turn long, n_messages long, n_chars long", "turns array<long>, sizes array<long>", "append", GroupStateTimeout.NoTimeout
+        step, "conv_id long, turn long, first_turn long, n_messages long, n_chars long", "turns array<long>, sizes array<long>", "append",
+        GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
