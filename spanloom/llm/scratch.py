@@ -32,11 +32,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files behind a table() that nothing reads any more."""
+def drop(df: DataFrame, but: DataFrame | None = None) -> None:
+    """Deletes the files behind a table(), or those of all tables that df reads and `but` doesn't, which nothing reads any more."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    folders = lambda x: {f.rsplit("/", 1)[0] for f in x.inputFiles()}
+    for folder in folders(df) - (folders(but) if but is not None else set()):
         path = jvm.org.apache.hadoop.fs.Path(folder)
         if "/spanloom/" in folder:
             path.getFileSystem(conf).delete(path, True)

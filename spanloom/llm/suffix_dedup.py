@@ -18,6 +18,9 @@ leaf are dealt by document too, so that no task gets them all.
 repeat_groups() gives the groups with all their occurrences, removals() and without_repeats() what is left of the texts. Very long
 texts are read by chunks; a document's bytes are held in one task.
 
+A passage of 50 words is shorter than 400 bytes as a rule. The query op2 also gives the text without such passages, found by strings of 200
+bytes. A string of 400 bytes that repeats lies in one run of repeated strings of 200, so only those runs are sought for it.
+
 Null text counts as empty. Matches never cross rows. Rows that repeat an id or a text are rows of their own, and repeat each
 other. An empty table gives an empty result. Only the id and text column are read, so others may have any name.
 """
@@ -39,6 +42,8 @@ KGRAM = 128
 HOT = 1024
 CHUNK = 1 << 19
 PLACE = (1 << 20) - 1
+#: Bytes, k-gram and words of a repeated passage; one of so many words with fewer bytes isn't prose.
+PASSAGE = (200, 64, 50)
 LEAST = -(2**63)
 LEAF = ("k0", "s0", "i0")
 SEGMENT = "kh long, sh long, si long, n long, rd long, rk long, at long, seg binary"
@@ -103,11 +108,21 @@ def _anchor_rows(match: int, k: int):
                 continue
             data = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             # empty texts would share their start with the next one
-            full = np.flatnonzero(offsets[1:] > offsets[:-1])
-            starts, ends = offsets[:-1][full] - offsets[0], offsets[1:][full] - offsets[0]
-            rd, rk = (b.column(i).to_numpy(zero_copy_only=False)[full] for i in (0, 1))
+            row = np.flatnonzero(offsets[1:] > offsets[:-1])
+            starts, ends = offsets[:-1][row] - offsets[0], offsets[1:][row] - offsets[0]
+            begin = np.zeros(len(row), np.int64)
+            if b.num_columns > 3:  # only these runs of each text
+                parts = [(i, x["s"], x["e"]) for i, runs in enumerate(b.column(3).to_pylist()) for x in runs if x["e"] - x["s"] >= match]
+                if not parts:
+                    continue
+                row, begin, until = np.array(parts, np.int64).T
+                first = offsets[row] - offsets[0]
+                data = np.concatenate([data[s:e] for s, e in zip((first + begin).tolist(), (first + until).tolist())])
+                ends = np.cumsum(until - begin)
+                starts = ends - (until - begin)
+            rd, rk = (b.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
             for doc, kh, sh, si, place, lo, hi in anchors_of(data, starts, ends, match, k):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (kh, sh, si, rd[doc], rk[doc], place << 20 | lo << 10 | hi)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (kh, sh, si, rd[doc], rk[doc], place + begin[doc] << 20 | lo << 10 | hi)], names)
 
     return run
 
@@ -267,9 +282,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("rd"), F.xxhash64(text).alias("rk"), text.cast("binary").alias("text"))
 
 
-def _shared(docs: DataFrame, match: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    """The anchors whose k-gram occurs more than once."""
-    anchors = scratch.table(keyed(docs, id_col, text_col).mapInArrow(_anchor_rows(match, k), "kh long, sh long, si long, rd long, rk long, at long"), "anchors")
+def _shared(docs: DataFrame, match: int, k: int, id_col: str, text_col: str, within: DataFrame | None = None) -> DataFrame:
+    """The anchors whose k-gram occurs more than once; within: (rd, rk, spans), the only runs of bytes that are looked at."""
+    texts = keyed(docs, id_col, text_col)
+    if within is not None:
+        texts = texts.join(within, ["rd", "rk"]).select("rd", "rk", "text", "spans")
+    anchors = scratch.table(texts.mapInArrow(_anchor_rows(match, k), "kh long, sh long, si long, rd long, rk long, at long"), "anchors")
     # a table of its own, so that the join's sides are plain exchanges and a hot k-gram's rows can be split
     kgrams = scratch.table(anchors.groupBy("kh").count().where("count > 1").select("kh"), "kgrams")
     shared = scratch.table(anchors.join(kgrams, "kh", "left_semi"), "shared")
@@ -323,9 +341,12 @@ def _rounds(shared: DataFrame, texts: DataFrame, match: int, hot: int, groups: b
         finer.append(found)
 
 
-def repeated_spans(docs: DataFrame, match: int = MATCH, k: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rd, rk, s, e): stretches of bytes that strings of match bytes cover which start elsewhere too; they may overlap."""
-    return _rounds(_shared(docs, match, k, id_col, text_col), keyed(docs, id_col, text_col), match, hot, False)
+def repeated_spans(docs: DataFrame, match: int = MATCH, k: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", within: DataFrame | None = None) -> DataFrame:
+    """(rd, rk, s, e): stretches of bytes that strings of match bytes cover which start elsewhere too; they may overlap.
+
+    within: runs (rd, rk, spans) known to hold all such strings, of those that strings of fewer bytes cover.
+    """
+    return _rounds(_shared(docs, match, k, id_col, text_col, within), keyed(docs, id_col, text_col), match, hot, False)
 
 
 def repeat_groups(docs: DataFrame, match: int = MATCH, k: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,22 +383,58 @@ def _by_document(spans: DataFrame) -> DataFrame:
     return spans.groupBy("rd", "rk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def removals(docs: DataFrame, match: int = MATCH, k: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs."""
+def _merged_runs(spans: DataFrame) -> DataFrame:
+    """(rd, rk, spans): the maximal runs of each document's spans."""
+    schema = "rd long, rk long, spans array<struct<s:long,e:long>>"
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+
+    def run(batches):
+        for b in batches:
+            runs = [[{"s": s, "e": e} for s, e in merged([(x["s"], x["e"]) for x in spans])] for spans in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(runs, kind)], ["rd", "rk", "spans"])
+
+    return _by_document(spans).mapInArrow(run, schema)
+
+
+def removals(
+    docs: DataFrame, match: int = MATCH, k: int = KGRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", passage: tuple[int, int, int] | None = None
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs.
+
+    passage: (match, k, least_words), with fewer bytes than match. Then (text, n_passages) follow: what without_repeats() leaves by these, empty for
+    null, and the number of runs that it takes away. The other columns stay what they are.
+    """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    kinds = [pa.int64()] * 4 + [pa.string()]
+    runs = None
+    if passage:
+        if passage[0] > match:
+            raise ValueError("a passage's bytes are match at most")
+        schema, kinds = f"{schema}, text string, n_passages long", [*kinds, pa.string(), pa.int64()]
+        short = repeated_spans(docs, *passage[:2], hot, id_col, text_col)
+        runs = scratch.table(_merged_runs(short), "runs")
+        scratch.drop(short, docs)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for b in batches:
             out = []
-            for rd, _, text, spans in zip(*(c.to_pylist() for c in b.columns)):
+            for rd, _, text, spans, *more in zip(*(c.to_pylist() for c in b.columns)):
                 runs = merged([(x["s"], x["e"]) for x in spans or ()])
                 kept = kept_bytes(text, runs)
-                out.append((None if rd == LEAST else rd, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], [c.split()[0] for c in schema.split(", ")])
+                row = (None if rd == LEAST else rd, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
+                for found in more:
+                    gone = long_runs(text, [(x["s"], x["e"]) for x in found or ()], passage[2])
+                    row += (kept_bytes(text, gone).decode(errors="ignore"), len(gone))
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(names), kinds)], names)
 
-    spans = _by_document(repeated_spans(docs, match, k, hot, id_col, text_col))
-    return keyed(docs, id_col, text_col).join(spans, ["rd", "rk"], "left").select("rd", "rk", "text", "spans").mapInArrow(run, schema)
+    within = None if runs is None else runs.where(F.exists("spans", lambda x: x["e"] - x["s"] >= match))
+    spans = _by_document(repeated_spans(docs, match, k, hot, id_col, text_col, within))
+    rows = keyed(docs, id_col, text_col).join(spans, ["rd", "rk"], "left")
+    if runs is not None:
+        rows = rows.join(runs.withColumnRenamed("spans", "runs"), ["rd", "rk"], "left")
+    return rows.select("rd", "rk", "text", "spans", *(["runs"] if passage else [])).mapInArrow(run, schema)
 
 
 def long_runs(text: bytes, runs: list[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
@@ -408,4 +465,4 @@ def without_repeats(docs: DataFrame, match: int = MATCH, k: int = KGRAM, id_col:
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return removals(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return removals(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE)

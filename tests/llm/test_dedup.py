@@ -418,6 +418,24 @@ def test_without_repeats(spark, rows):
         assert {r.doc_id for r in got if r.text is None} == {200, None}
 
 
+def test_suffix_query_takes_passages(spark, rows, tmp_path):
+    """Passages of 50 words that are shorter than 400 bytes go from the text; the contract's columns are as before."""
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8))) for _ in range(n))
+    passages, long = [prose(55) for _ in range(3)], "x" + prose(100)
+    assert all(200 < len(p) < 380 for p in passages) and len(long) > 410
+    made = [(1000 + i, f"{prose(40)}\n{prose(6)} {passages[i % 3]} {prose(60)}") for i in range(9)]
+    made += [(2000 + i, f"{prose(30)} {long[i:][: 395 + 5 * i]} {prose(20)}{passages[0]}") for i in range(4)] + [(3000, "é" + long), (3001, None), (3002, prose(80))]
+    small = [x for x in rows if len(x[1] or "") < 60_000] + made
+    frame(spark, small).write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix_dedup.op2_suffix_array_dedup(spark, str(tmp_path)).collect()
+    assert by_key(tuple(r)[:5] for r in got) == by_key(cover(small, 400))
+    assert by_key((r.doc_id, r.text) for r in got) == by_key(removed_passages(small, 200, 50))
+    found = {r.doc_id: r for r in got}
+    assert all(found[d].n_removed == 0 and found[d].n_passages == 1 and t.replace(passages[d % 1000 % 3], "").startswith(found[d].text[:40]) for d, t in made[:9])
+    assert found[2003].n_removed > 0 and found[3002].text == made[-1][1]
+
+
 @pytest.mark.parametrize("what", [exact_dedup.exact_dedup, suffix_dedup.removals, simhash.near_dedup, line_dedup.line_dedup, paragraph_dedup.paragraph_dedup])
 def test_empty_table(spark, what):
     assert what(frame(spark, [])).collect() == []
