@@ -178,6 +178,8 @@ def links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bucket: in
     four = [*place, "band2", "key2"]
     rest = rest.join(sets, "cid").select(*four, "cid", "component", "shingles").repartition(scratch.partitions(spark), *four).sortWithinPartitions(*four)
     more = scratch.table(rest.mapInArrow(_forests, "u long, v long"), "links")
-    if not more.head(1):
-        return joined
-    return connected_components(found.unionByName(more))
+    if more.head(1):
+        joined = connected_components(found.unionByName(more))
+    for done in (dealt, sets, found, named, more):
+        scratch.drop(done)
+    return joined

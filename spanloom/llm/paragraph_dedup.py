@@ -10,6 +10,9 @@ A paragraph may be one line, or wrapped over many. So what goes is a run of adja
 more: a short line alone, such as a licence or a greeting, stays, as that is for line dedup to judge; the lines of a wrapped
 paragraph go together.
 
+A passage that several documents hold inside longer lines has no line of its own. It is found by the minima of windows of words (passages.py) over the
+whole document, and named with its place and its first document; no line goes for it.
+
 Null text counts as empty: no paragraph. Rows that repeat an id and a text are one document's copies: of equal lines in
 them all stay or go together. A null doc_id is less than any other. Very long texts are taken whole; a line is held in one task, a
 document too. Ties go by doc_id, then line. An empty table gives an empty result. Only the id and text column are read.
@@ -21,34 +24,28 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import jaccard, scratch
-from .suffix_dedup import LEAST, keyed
+from . import jaccard, passages, scratch
+from .suffix_dedup import LEAST, keyed, merged
 
 SHINGLE, LEAST_WORDS = 5, 20
 BANDS, ROWS = 6, 2
-CACHED = 300_000
+HELD = 1 << 17
 _random = np.random.default_rng(7)
 ODD = _random.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Shingler:
-    """Sets of shingle hashes; words' hashes are kept until the table is full."""
+    """Sets of shingle hashes."""
 
     def __init__(self):
-        self.words: dict[bytes, int] = {}
+        self.words = passages.WordHashes()
 
     def set_of(self, words: list[bytes]) -> np.ndarray:
         """The sorted set of the hashes of all runs of SHINGLE words; fewer words: of all of them."""
-        known = self.words
-        if len(known) > CACHED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = self.words.of(words)
         size = min(SHINGLE, len(h))
         n = len(h) - size + 1
         s = sum((h[i : i + n] * ODD[i] for i in range(1, size)), h[:n] * ODD[0])
@@ -64,50 +61,90 @@ class Shingler:
                     yield number, self.set_of(words)
 
 
+def all_band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """The BANDS keys of each set, none of them empty."""
+    x = np.concatenate(sets)
+    x ^= x >> np.uint64(29)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    minima = np.empty((len(sets), BANDS * ROWS), np.uint64)
+    for i in range(BANDS * ROWS):
+        h = x * ODD[8 + i]
+        h ^= h >> np.uint64(31)
+        minima[:, i] = np.minimum.reduceat(h, starts)
+    return (minima.reshape(-1, BANDS, ROWS) * ODD[40 : 40 + ROWS]).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
 def band_keys(shingles: np.ndarray) -> np.ndarray:
-    minima = np.bitwise_xor(shingles, shingles >> np.uint64(29))[None, :] * ODD[8 : 8 + BANDS * ROWS, None]
-    minima = (minima ^ minima >> np.uint64(31)).min(axis=1).reshape(BANDS, ROWS)
-    return (minima * ODD[40 : 40 + ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return all_band_keys([shingles])[0]
 
 
 def _signatures(batches):
     shingler = Shingler()
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def rows(out: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
+        bands = pa.array(list(all_band_keys(sets)) if sets else [], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 5, kinds)), bands], ["rd", "rk", "par", "c1", "c2", "bands"])
+
     for b in batches:
-        out = []
+        out, sets, held = [], [], 0
         for rd, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             for number, s in shingler.paragraphs(text.as_py()):
                 c = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                out.append((rd, rk, number, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True), band_keys(s)))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["rd", "rk", "par", "c1", "c2", "bands"])
+                out.append((rd, rk, number, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True)))
+                sets.append(s)
+                held += len(s)
+            if held > HELD:
+                yield rows(out, sets)
+                out, sets, held = [], [], 0
+        yield rows(out, sets)
 
 
 def _sets(batches):
-    """Rows (text, wanted: array of cid and par) to (cid, shingles)."""
+    """Rows (rd, rk, text, wanted: array of cid and par, leaves of passages) to rows of (cid, shingles) or of a leaf's windows."""
     shingler = Shingler()
+    names = ["cid", "shingles", "rd", "rk", "kh", "sh", "several", "lo", "windows"]
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.bool_(), pa.int32(), pa.list_(pa.int64())]
     for b in batches:
         out = []
-        for text, wanted in zip(b.column(0), b.column(1).to_pylist()):
+        for rd, rk, text, wanted, leaves in zip(*(c.to_pylist() for c in b.columns)):
             cids: dict[int, list[int]] = {}
-            for w in wanted:
+            for w in wanted or ():
                 cids.setdefault(w["par"], []).append(w["cid"])
-            for number, s in shingler.paragraphs(text.as_py(), cids):
-                out += [(cid, s.tobytes()) for cid in cids[number]]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cid", "shingles"])
+            for number, s in shingler.paragraphs(text, cids):
+                out += [(cid, s.tobytes(), *[None] * 7) for cid in cids[number]]
+            if leaves:
+                out += [(None, None, rd, rk, *x) for x in passages.windows_of(shingler.words.of(text.lower().split()), leaves)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names)
 
 
 def paragraph_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rd, rk, par, first_rd, first_par): the lines of components of two or more, with the line that stays."""
-    texts = keyed(docs, id_col, text_col)
+    return _clusters(keyed(docs, id_col, text_col), None)[0]
+
+
+def _clusters(texts: DataFrame, leaves: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Lines as of paragraph_clusters(), and the windows of passages.mixed() leaves, read in the same pass over the texts."""
     rows = scratch.table(texts.mapInArrow(_signatures, "rd long, rk long, par int, c1 long, c2 long, bands array<long>"), "paragraphs")
     classes = rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rd", "par", "rk", "bands")).alias("one"))
     classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("cid"), "c1", "c2", "n", "one.*"), "classes")
+    read = []
 
     def sets_of(cids: DataFrame) -> DataFrame:
         wanted = classes.join(cids.select("cid").distinct(), "cid", "left_semi").groupBy("rd", "rk").agg(F.collect_list(F.struct("cid", "par")).alias("wanted"))
-        return texts.join(wanted, ["rd", "rk"]).select("text", "wanted").mapInArrow(_sets, "cid long, shingles binary").dropDuplicates(["cid"])
+        if leaves is None:
+            wanted = wanted.withColumn("leaves", F.lit(None).cast("array<struct<kh:long,sh:long,several:boolean,at:long>>"))
+        else:
+            wanted = wanted.join(leaves, ["rd", "rk"], "full")
+        cut = texts.join(wanted, ["rd", "rk"]).select("rd", "rk", "text", "wanted", "leaves")
+        read.append(scratch.table(cut.mapInArrow(_sets, "cid long, shingles binary, rd long, rk long, kh long, sh long, several boolean, lo int, windows array<long>"), "read"))
+        scratch.release(texts.sparkSession)
+        return read[0].where("cid is not null").select("cid", "shingles").dropDuplicates(["cid"])
 
     joined = jaccard.links(classes.select("cid", F.posexplode("bands").alias("band", "key")), sets_of)
+    windows = scratch.table(read[0].where("kh is not null").select("rd", "rk", "kh", "sh", "several", "lo", "windows"), "windows")
+    scratch.drop(read[0])
+    scratch.release(texts.sparkSession)
     named = classes.select("cid", "c1", "c2", "n", "rd", "par").join(joined, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     firsts = named.groupBy("component").agg(F.sum("n").alias("size"), F.min(F.struct("rd", "par")).alias("first"), scratch.salts("c1").alias("salts")).where("size > 1")
     firsts = firsts.select("component", "first", scratch.each_salt("salts").alias("salt"))
@@ -115,7 +152,8 @@ def paragraph_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a line in a third of all documents is one class: its rows are dealt by document too
     salts = rows.groupBy("c1", "c2").agg(scratch.salts("rd", "rk").alias("salts"))
     named = named.join(salts, ["c1", "c2"]).select("c1", "c2", "first_rd", "first_par", scratch.each_salt("salts").alias("salt"))
-    return rows.withColumn("salt", scratch.salt("rd", "rk")).join(named, ["c1", "c2", "salt"]).select("rd", "rk", "par", "first_rd", "first_par")
+    lines = rows.withColumn("salt", scratch.salt("rd", "rk")).join(named, ["c1", "c2", "salt"]).select("rd", "rk", "par", "first_rd", "first_par")
+    return lines, windows
 
 
 def removed_lines(lines: list[bytes], copies: set[int], least_words: int) -> list[int]:
@@ -136,27 +174,60 @@ def removed_lines(lines: list[bytes], copies: set[int], least_words: int) -> lis
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text, n_removed, clusters, kept_sha256) for each row of docs; text is what stays, its lines joined by \\n.
 
-    clusters lists the row's lines that have near copies: line number, and doc_id and line number of the one that stays, and whether
-    this one is removed. kept_sha256 is of the text that stays, in UTF-8.
+    clusters lists what of the row repeats, by line number and the numbers of the first word in the document and of words:
+    - the lines that have near copies, in runs of least_words words or more, with doc_id and line number of the one that stays, and
+      whether this one is removed (paragraph_clusters() has the shorter ones too);
+    - passages: the runs of words covered by windows of passages.WORDS words that another document holds too, with the least doc_id that
+      holds these windows, which may be its own. first_line is null, removed is false: the text loses whole lines only. Runs of different
+      first documents may overlap, and a passage may be of lines that are listed too.
+    kept_sha256 is of the text that stays, in UTF-8.
     """
-    schema = "doc_id long, text string, n_removed long, clusters array<struct<line:int,first_doc_id:long,first_line:int,removed:boolean>>, kept_sha256 string"
-    kind = pa.list_(pa.struct([("line", pa.int32()), ("first_doc_id", pa.int64()), ("first_line", pa.int32()), ("removed", pa.bool_())]))
+    fields = {"line": "int", "first_doc_id": "long", "first_line": "int", "removed": "boolean", "word": "long", "n_words": "long"}
+    schema = f"doc_id long, text string, n_removed long, clusters array<struct<{','.join(f'{k}:{v}' for k, v in fields.items())}>>, kept_sha256 string"
+    arrow = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    kind = pa.list_(pa.struct([(k, arrow[v]) for k, v in fields.items()]))
+    own = lambda rd: None if rd == LEAST else rd
+
+    def named(rd, lines, found, spans):
+        copies = {x["par"] for x in found if (x["first_rd"], x["first_par"]) != (rd, x["par"])}
+        gone, listed = (set(removed_lines(lines, x, least_words)) for x in (copies, {x["par"] for x in found}))
+        if not listed and not spans:
+            return gone, []
+        ends = np.cumsum([len(x.split()) for x in lines])
+        first = lambda line: int(ends[line - 1]) if line else 0
+        out = [(x["par"], own(x["first_rd"]), x["first_par"], x["par"] in gone, first(x["par"]), int(ends[x["par"]]) - first(x["par"])) for x in found if x["par"] in listed]
+        by_first: dict[int, list[tuple[int, int]]] = {}
+        for x in spans:
+            by_first.setdefault(x["first_rd"], []).append((x["s"], x["e"]))
+        out += [(int(np.searchsorted(ends, s, "right")), own(d), None, False, s, e - s) for d, x in by_first.items() for s, e in merged(x)]
+        return gone, [dict(zip(fields, x)) for x in sorted(out, key=lambda x: (x[0], x[4], x[2] is None, x[1] is not None, x[1]))]
 
     def run(batches):
         for b in batches:
             out = []
-            for rd, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            for rd, text, found, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 lines = text.as_py().split(b"\n")
-                found = sorted(found or [], key=lambda x: x["par"])
-                gone = set(removed_lines(lines, {x["par"] for x in found if (x["first_rd"], x["first_par"]) != (rd, x["par"])}, least_words))
+                gone, clusters = named(rd, lines, found or [], spans or [])
                 kept = b"\n".join(x for i, x in enumerate(lines) if i not in gone)
-                named = [{"line": x["par"], "first_doc_id": None if x["first_rd"] == LEAST else x["first_rd"], "first_line": x["first_par"], "removed": x["par"] in gone} for x in found]
-                out.append((None if rd == LEAST else rd, kept.decode(), len(gone), named, hashlib.sha256(kept).hexdigest()))
+                out.append((own(rd), kept.decode(), len(gone), clusters, hashlib.sha256(kept).hexdigest()))
             kinds = [pa.int64(), pa.string(), pa.int64(), kind, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "text", "n_removed", "clusters", "kept_sha256"])
 
-    found = paragraph_clusters(docs, id_col, text_col).groupBy("rd", "rk").agg(F.collect_set(F.struct("par", "first_rd", "first_par")).alias("found"))
-    return keyed(docs, id_col, text_col).join(found, ["rd", "rk"], "left").select("rd", "text", "found").mapInArrow(run, schema)
+    texts = keyed(docs, id_col, text_col)
+    shared = passages.shared_anchors(texts)
+    leaves = passages.leaves_of(shared)
+    lines, windows = _clusters(texts, passages.mixed(leaves))
+    spans = scratch.table(passages.repeated_passages(shared, leaves, windows), "spans")
+    for done in (shared, leaves, windows):
+        scratch.drop(done)
+    scratch.release(texts.sparkSession)
+    line, span = F.struct("par", "first_rd", "first_par"), F.struct("first_rd", "s", "e")
+    found = lines.select("rd", "rk", line.alias("line")).unionByName(spans.select("rd", "rk", span.alias("span")), allowMissingColumns=True)
+    found = scratch.table(found.groupBy("rd", "rk").agg(F.collect_set("line").alias("found"), F.collect_set("span").alias("spans")), "found")
+    scratch.drop(spans)
+    scratch.drop(lines, docs)
+    scratch.release(texts.sparkSession)
+    return texts.join(found, ["rd", "rk"], "left").select("rd", "text", "found", "spans").mapInArrow(run, schema)
 
 
 def op6_paragraph_minhash(spark, sf_dir: str) -> DataFrame:

@@ -43,6 +43,11 @@ def drop(df: DataFrame, but: DataFrame | None = None) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of tables already written: it does so when the driver's JVM collects what refers to them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

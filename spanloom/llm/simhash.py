@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from . import jaccard, scratch
 from .components import connected_components
-from .paragraph_dedup import CACHED, Shingler
+from .paragraph_dedup import Shingler
+from .passages import CACHED
 
 RADIUS = 3
 SHINGLE = 3
